@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash_dedup
+from . import hmm_scoring, line_dedup, packing, simhash_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_hmm_scoring": hmm_scoring.op2_hmm_scoring,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
 }
 
