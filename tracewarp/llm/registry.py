@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, hmm_scoring, line_dedup, media_columns, mixing, packing, simhash_dedup
+from . import embedding_dedup, hmm_scoring, line_dedup, media_columns, mixing, packing, quality_classifier, simhash_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_hmm_scoring": hmm_scoring.op2_hmm_scoring,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op7_media_columns": media_columns.op7_media_columns,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
