@@ -46,7 +46,7 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "left", most: int = 1000, least: int = 1000) -> DataFrame:
+def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "left", most: int = 1000, least: int = 64) -> DataFrame:
     """big joined with a table of one row per key, however skewed big's keys are.
 
     Keys with over 1/most of big's rows (and over ``least`` rows) are at most ``most`` in number, so their rows of

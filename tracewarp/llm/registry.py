@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, hmm_scoring, line_dedup, media_columns, mixing, packing, quality_classifier, simhash_dedup
+from . import embedding_dedup, hmm_scoring, license_scan, line_dedup, media_columns, mixing, packing, pii, quality_classifier, simhash_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_media_columns": media_columns.op7_media_columns,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {

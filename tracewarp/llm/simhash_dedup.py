@@ -90,12 +90,21 @@ def near_links(reps: DataFrame, crowd: int = 48) -> DataFrame:
 def simhash_dedup(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs (doc_id, text)."""
     marked = written(fingerprints(docs, words, seed), "simhash-fp")
-    reps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")).repartition(parts, "fp"), "simhash-reps")
     found = components(near_links(reps.where("rep is not null")), name="simhash")
     classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return skew_join(marked, written(classes, "simhash-classes"), ["fp"], "left")
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose doc_id is their component's, once each. Rows without a doc_id stay where no row with one is near."""
+    found = simhash_dedup(docs, **options)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return rows.withColumn("_tx", F.xxhash64("text")).dropDuplicates(["doc_id", "_tx"]).drop("_tx")
+
+
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = simhash_dedup(docs)
