@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, compression: str = "zstd") -> DataFrame:
+    """Like written(), with rows in buckets of key, so that grouping by key later needs no shuffle of these rows."""
+    spark = df.sparkSession
+    table = f"tracewarp_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.write.option("path", new_path(spark, name)).option("compression", compression)
+    out.bucketBy(parts, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else kept. Spark's lower() is right, and quicker, where every character is ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
