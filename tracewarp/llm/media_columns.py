@@ -1,10 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A payload is stored as an 8-bit greyscale PNG, 64 samples wide, without row filters, so the samples are the payload's bytes. Tasks
-encode their rows, leaving out repeats within a batch, and send each image to the shard that its digest names; a shard
-writer keeps the first image of each digest and streams them into a tar file in the shared folder. So each distinct
-payload is stored once, whatever the number of rows that hold it. The index table has digest, shard, offset and length.
-Metadata columns come from range reads of the first 33 bytes of an image; features come from full range reads. Rows
+A payload is stored as an 8-bit greyscale PNG, 64 samples wide, without row filters, so the samples are the payload's
+bytes. Each task streams the images of its rows into one tar file in the shared folder, leaving out digests that the file
+has already; payloads aren't shuffled. The index table has digest, shard, offset and length, with one address for each
+digest: where several shards hold it, the first one. Metadata columns come from range reads of the first 33 bytes of an image; features come from full range reads. Rows
 meet the index by digest in a join that keeps a digest with many rows in place.
 
 Files are named at random, so a repeated or speculative task never overwrites another's shard; the written index refers
@@ -16,7 +15,6 @@ Defined results: a null or empty text is 64 zero bytes (n_bytes 0); repeated row
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -85,56 +83,41 @@ def features(payload: bytes) -> str:
     return f"n={len(x)};mean={x.mean():.6f};std={x.std():.6f};turns={int((high[1:] != high[:-1]).sum())};hist={','.join(map(str, bins))}"
 
 
-def store(payloads: DataFrame, shards: int, column: str = "payload") -> DataFrame:
+def store(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """The index (digest, shard, offset, length) of the distinct values of a binary column, after writing their shards."""
-    spark = payloads.sparkSession
-    root = new_path(spark, "media")
-
-    def images(batches):
-        for b in batches:
-            seen: dict[bytes, bytes] = {}
-            for x in b.column(0):
-                raw = x.as_py()
-                digest = hashlib.sha256(raw).digest()
-                if digest not in seen:
-                    seen[digest] = encode_image(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.binary())], ["digest", "image"])
+    root = new_path(payloads.sparkSession, "media")
 
     def shard(batches):
-        place, seen, out, tar = None, set(), None, None
+        place, seen, out, at = None, set(), None, 0
         for b in batches:
-            if tar is None:
+            if out is None:
                 system, folder = fs.FileSystem.from_uri(root)
                 system.create_dir(folder, recursive=True)
                 place = f"{uuid.uuid4().hex}.tar"
                 out = system.open_output_stream(f"{folder}/{place}")
-                at = 0
             rows = []
-            for digest, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for x in b.column(0):
+                raw = x.as_py()
+                digest = hashlib.sha256(raw).digest()
                 if digest in seen:
                     continue
                 seen.add(digest)
+                image = encode_image(raw)
                 info = tarfile.TarInfo(f"{digest.hex()}.png")
                 info.size = len(image)
                 head = info.tobuf(tarfile.USTAR_FORMAT)
-                tar = io.BytesIO()
-                tar.write(head)
-                tar.write(image)
-                tar.write(bytes(-len(image) % 512))
-                out.write(tar.getvalue())
                 rows.append((digest, at + len(head), len(image)))
-                at += tar.tell()
-            tar = tar or io.BytesIO()
+                at += out.write(head + image + bytes(-len(image) % 512))
             kinds = (pa.binary(), pa.int64(), pa.int64())
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([cols[0], pa.array([place] * len(rows), pa.string()), cols[1], cols[2]], ["digest", "shard", "offset", "length"])
+            digests, offsets, lengths = (pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([digests, pa.array([place] * len(rows), pa.string()), offsets, lengths], ["digest", "shard", "offset", "length"])
         if out is not None:
             out.write(bytes(1024))
             out.close()
 
-    made = payloads.select(F.col(column)).mapInArrow(images, "digest binary, image binary").repartition(shards, "digest")
-    index = written(made.mapInArrow(shard, "digest binary, shard string, offset long, length long"), "media-index")
-    return index.withColumn("shard", F.concat(F.lit(root + "/"), "shard"))
+    index = written(payloads.select(F.col(column)).mapInArrow(shard, "digest binary, shard string, offset long, length long"), "media-index")
+    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("x")).select("digest", "x.*")
+    return first.withColumn("shard", F.concat(F.lit(root + "/"), "shard"))
 
 
 def _ranges(index: DataFrame, read, schema: str, length: int | None = None) -> DataFrame:
@@ -174,11 +157,10 @@ def contents(index: DataFrame) -> DataFrame:
     return _ranges(index, read, MEDIA)
 
 
-def media_columns(docs: DataFrame, shard_bytes: int = 64 << 20) -> DataFrame:
+def media_columns(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) as rows with digest, shard, offset and length, metadata columns and features."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = store(docs.select(padded(F.col("text")).alias("payload")), shards)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = store(docs.select(padded(F.col("text")).alias("payload"))).repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
     filled = written(contents(metadata(index)), "media-columns")
     rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.unhex(F.sha2(padded(F.col("text")), 256)).alias("digest"))
     return skew_join(written(rows, "media-rows"), filled, ["digest"], "inner")
