@@ -96,7 +96,11 @@ def _encode(chunks: DataFrame, heads: int, tails: int) -> tuple[DataFrame, np.nd
     vocabulary = words.where("first and c > 0").select("token", "c")
     totals = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = totals[0] or 0, totals[1]
-    top = vocabulary.orderBy(F.desc("c"), "token").limit(heads).collect()  # heads rows at most
+    level = F.floor(F.log2("c") * 8).cast("int")
+    levels = sorted(((r["level"], r["n"]) for r in vocabulary.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 512 rows at most
+    above = np.cumsum([x[1] for x in levels])
+    least = levels[min(int(np.searchsorted(above, heads)), len(levels) - 1)][0] if levels else 0
+    top = vocabulary.where(level >= least).orderBy(F.desc("c"), "token").limit(heads).collect()  # heads rows at most
     head = spark.createDataFrame([(bytes(r["token"]), i) for i, r in enumerate(top)], "token binary, h int")
     group = F.coalesce("h", F.lit(heads) + (F.crc32(F.substring("token", -3, 3)) % tails).cast("int"))
     inside = vocabulary.join(F.broadcast(head), "token", "left").select(group.alias("g"), "c", (F.col("c") == 1).cast("long").alias("one"), (F.col("c") == 2).cast("long").alias("two"), F.col("h").isNotNull().alias("is_head"))
