@@ -46,7 +46,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_image(payload: bytes, level: int = 1) -> bytes:
+def encode_image(payload: bytes, level: int = 6) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     body = np.zeros((len(rows), UNIT + 1), np.uint8)
     body[:, 1:] = rows
