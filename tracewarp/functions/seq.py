@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signal import bound
+
 
 def clean(text: Column) -> Column:
     """The letters A, C, G, T of a text; U counts as T."""
@@ -25,6 +27,10 @@ def kmer_code(kmer: Column, k: int) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers of a sequence; none if it is shorter."""
-    n = F.char_length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All k-mers of a sequence; none if it is shorter. Letters are looked up in an array, as a place in a string takes a scan."""
+
+    def body(c):
+        every = F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*(F.get(c, i + j) for j in range(k))))
+        return F.when(F.size(c) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.split(seq, ""), body)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signal import bound
+
 MASK32 = (1 << 32) - 1
 
 
@@ -18,13 +20,13 @@ def hash_mix(k: Column) -> Column:
     """An invertible 32-bit integer mix with shifts and sums; arguments and results are non-negative."""
     mask = F.lit(MASK32).cast("long")
     m = lambda c: c.bitwiseAND(mask)
-    k = m(m(k.bitwiseXOR(mask)) + m(F.shiftleft(k, 21)))
-    k = k.bitwiseXOR(F.shiftright(k, 24))
-    k = m(k + m(F.shiftleft(k, 3)) + m(F.shiftleft(k, 8)))
-    k = k.bitwiseXOR(F.shiftright(k, 14))
-    k = m(k + m(F.shiftleft(k, 2)) + m(F.shiftleft(k, 4)))
-    k = k.bitwiseXOR(F.shiftright(k, 28))
-    return m(k + m(F.shiftleft(k, 31)))
+    steps = [
+        lambda x: m(m(x.bitwiseXOR(mask)) + m(F.shiftleft(x, 21))), lambda x: x.bitwiseXOR(F.shiftright(x, 24)), lambda x: m(x + m(F.shiftleft(x, 3)) + m(F.shiftleft(x, 8))),
+        lambda x: x.bitwiseXOR(F.shiftright(x, 14)), lambda x: m(x + m(F.shiftleft(x, 2)) + m(F.shiftleft(x, 4))), lambda x: x.bitwiseXOR(F.shiftright(x, 28)), lambda x: m(x + m(F.shiftleft(x, 31))),
+    ]
+    for step in steps:  # each step's argument becomes a variable, as it stands in the step more than once
+        k = bound(k, step)
+    return k
 
 
 def distinct_events(a: Column, least: float = 0.3) -> Column:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import frame_queries, sql_queries
+
+QUERIES: dict = {**sql_queries.QUERIES, **frame_queries.QUERIES}
+ORACLES: dict[str, str] = {**sql_queries.ORACLES, **frame_queries.ORACLES}
