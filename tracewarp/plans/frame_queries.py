@@ -146,12 +146,12 @@ def sdtw_classify(spark, sf_dir):
 
 def mapped(spark, sf_dir):
     reads = vectors(spark, sf_dir).where("read_id % 10 <= 1")
-    return mapping.map_reads(reads, _refs(spark, sf_dir), 3).select("read_id", "ref_id", "score", "n_anchors", "mapq", "confident")
+    return mapping.map_reads(reads, _refs(spark, sf_dir), 5).select("read_id", "ref_id", "score", "n_anchors", "mapq", "confident")
 
 
 def paf_round_trip(spark, sf_dir):
     reads = vectors(spark, sf_dir).where("read_id % 10 <= 1")
-    return mapping.parse_paf(mapping.paf_line(mapping.map_reads(reads, _refs(spark, sf_dir), 3))).select("read_id", "ref_id", "strand", "mapq", F.get(F.map_values("tags"), F.lit(0)).alias("first_tag"))
+    return mapping.parse_paf(mapping.paf_line(mapping.map_reads(reads, _refs(spark, sf_dir), 5))).select("read_id", "ref_id", "strand", "mapq", F.get(F.map_values("tags"), F.lit(0)).alias("first_tag"))
 
 
 def mutated(spark, sf_dir):

@@ -30,7 +30,7 @@ d AS (SELECT m.user_id, m.block, m.mu, greatest(trunc_(avg(abs(b.value - m.mu)))
 SELECT b.user_id, b.pos, trunc_((greatest(least((b.value - d.mu) / d.mad, 4.0), -4.0) + 4) * 256 / 8) AS code FROM b JOIN d ON b.user_id = d.user_id AND b.block = d.block""",
     "histogram": "WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM {events}) SELECT CAST(least(floor((value - lo) / (hi - lo) * 40), 39) AS BIGINT) AS bin, count(*) AS n FROM {events} CROSS JOIN r GROUP BY 1",
     "interpolate": f"""WITH s AS ({TRACE}), p AS (SELECT user_id, pos, value, lead(value) OVER (PARTITION BY user_id ORDER BY pos) AS later FROM s)
-SELECT user_id, pos + 0.5 AS at, round(value + 0.5 * (later - value), 6) AS value FROM p WHERE later IS NOT NULL""",
+SELECT user_id, pos + 0.5 AS moment, round(value + 0.5 * (later - value), 6) AS value FROM p WHERE later IS NOT NULL""",
     "threshold_sweep": f"""WITH s AS ({SCORES}), t AS (SELECT DISTINCT CAST(floor(cost / 5) AS BIGINT) * 5.0 AS thr FROM s),
 c AS (SELECT thr, target, count(*) AS n FROM t JOIN s ON s.cost < t.thr GROUP BY thr, target), p AS (SELECT count(*) AS positives FROM s WHERE target)
 SELECT thr, coalesce(sum(CASE WHEN target THEN n END), 0) AS tp, coalesce(sum(CASE WHEN NOT target THEN n END), 0) AS fp, max(positives) - coalesce(sum(CASE WHEN target THEN n END), 0) AS fn FROM c CROSS JOIN p GROUP BY thr""",
@@ -103,7 +103,7 @@ COLUMNS = {
     "first_difference": "user_id BIGINT, pos BIGINT, diff DOUBLE",
     "expanding_norm": "user_id BIGINT, pos BIGINT, code BIGINT",
     "histogram": "bin BIGINT, n BIGINT",
-    "interpolate": "user_id BIGINT, at DOUBLE, value DOUBLE",
+    "interpolate": "user_id BIGINT, moment DOUBLE, value DOUBLE",
     "threshold_sweep": "thr DOUBLE, tp BIGINT, fp BIGINT, fn BIGINT",
     "best_threshold": "thr DOUBLE, f1 DOUBLE",
     "discard_curve": "thr DOUBLE, target BOOLEAN, discarded DOUBLE",
