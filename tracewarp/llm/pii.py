@@ -110,7 +110,7 @@ def _features(text: Column, c: Column) -> list[Column]:
     before = F.when(c["start"] > 0, F.substring(text, c["start"], F.lit(1))).otherwise("")
     cue = F.substring(text, F.greatest(c["start"] - 15, F.lit(1)), F.least(c["start"], F.lit(16)))
     own = {
-        "kind": c["kind"], "digits": _upto(F.char_length(digits), 20), "groups": _upto(F.size(F.split(m, "[^0-9]+")), 6), "dots": _upto(count("."), 4),
+        "kind": c["kind"], "digits": _upto(F.char_length(digits), 20), "groups": _upto(F.size(F.filter(F.split(m, "[^0-9]+"), lambda x: x != "")), 6), "dots": _upto(count("."), 4),
         "dashes": _upto(count("-"), 2), "spaces": _upto(count(" "), 2), "paren": count("()") > 0,
         "luhn": (c["kind"] == 2) & luhn(digits), "quad": (c["kind"] == 1) & quad(m, "[.,:_]"), "before": _side(before),
         "after": _side(F.substring(text, c["end"] + 1, F.lit(1))), "cue": cue.rlike(CUES),
