@@ -49,6 +49,7 @@ class LineRuns:
     def add(self, counts: DataFrame) -> None:
         """A batch: (h1, h2, n) with n documents a key, none of them in an earlier batch."""
         if self.settled:
+            counts = written(counts, "batch-counts")  # else the join moves below the count, to rows that one key can crowd
             counts = counts.join(self._read(self.settled).hint("merge"), KEY, "left_anti")
         self.levels[0].append(self._write(counts, "0"))
         level = 0
