@@ -49,8 +49,9 @@ def test_stream_decides_like_the_batch(spark, tmp_path):
     data = [(i, k, s[6 * k : 6 * k + 6]) for i, s in signals.items() for k in range(2)]
     spark.createDataFrame(data, "read_id long, chunk int, signal array<double>").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("read_id long, chunk int, signal array<double>").parquet(str(tmp_path / "in"))
-    q = stage_decisions(stream, template, [(6, 1e9), (12, 20.0)]).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stage_decisions(stream, template, [(6, 1e9), (12, 20.0)]).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
     got = {r["read_id"]: r for r in spark.table("decided").collect()}
     for i, s in signals.items():
         assert got[i]["seen"] == 12 and got[i]["cost"] == pytest.approx(warp(np.array(s), np.array(template), free=True))

@@ -34,3 +34,29 @@ def kmers(seq: Column, k: int) -> Column:
         return F.when(F.size(c) >= k, every).otherwise(F.array().cast("array<string>"))
 
     return bound(F.split(seq, ""), body)
+
+
+def _picked(i: Column, every: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(every)) == 0
+
+
+def deleted(seq: Column, every: int, seed: int = 11) -> Column:
+    """A sequence without about one base in ``every``, at places that a hash of the position and the seed decides."""
+    return F.array_join(F.filter(F.split(seq, ""), lambda c, i: ~_picked(i, every, seed)), "")
+
+
+def inserted(seq: Column, every: int, seed: int = 13) -> Column:
+    """A sequence with a base put in before about one in ``every``."""
+    base = lambda i: F.get(F.array(*map(F.lit, "ACGT")), F.pmod(F.xxhash64(i, F.lit(seed + 1)), F.lit(4)).cast("int"))
+    return F.array_join(F.transform(F.split(seq, ""), lambda c, i: F.when(_picked(i, every, seed) & (c != ""), F.concat(base(i), c)).otherwise(c)), "")
+
+
+def common_prefix(texts: Column) -> Column:
+    """The longest prefix that all texts of an array share."""
+
+    def both(x, y):
+        n = F.least(F.char_length(x), F.char_length(y))
+        lengths = F.filter(F.sequence(F.lit(0), n), lambda k: F.left(x, k) == F.left(y, k))
+        return F.left(x, F.array_max(lengths))
+
+    return F.aggregate(texts, F.get(texts, F.lit(0)), both)

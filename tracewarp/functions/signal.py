@@ -59,3 +59,20 @@ def chunks(a: Column, size: int) -> Column:
     """A signal in consecutive slices of at most size samples."""
     starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.slice(a, s + 1, F.lit(size)))
+
+
+def limit_outliers(a: Column, limit: float = 4.0) -> Column:
+    """Samples beyond the limit: clipped to it if the sample before (as already changed) or after is at or beyond it too, else
+    the mean of both neighbours. The fold carries the changed samples, as a window would see the old ones."""
+    n = F.size(a)
+
+    def step(done, i):
+        x, before, after = F.get(a, i), F.element_at(done, -1), F.get(a, i + 1)
+        sides = [(x > limit, (before >= limit) | (after >= limit), limit), (x < -limit, (before <= -limit) | (after <= -limit), -limit)]
+        new = x
+        for far, crowd, edge in sides:
+            new = F.when(far & crowd, edge).when(far, (before + after) / 2).otherwise(new)
+        return F.concat(done, F.array(new))
+
+    inner = F.aggregate(F.sequence(F.lit(1), n - 2), F.slice(a, 1, 1), step, lambda done: F.concat(done, F.slice(a, -1, 1)))
+    return F.when(n >= 3, inner).otherwise(a)

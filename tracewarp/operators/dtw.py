@@ -1,4 +1,4 @@
-"""Dynamic time warping over Arrow batches; each helper handles one pair of vectors with numpy rows."""
+"""Dynamic time warping over Arrow batches: all pairs of a batch go through one numpy recurrence together."""
 
 from __future__ import annotations
 
@@ -7,45 +7,111 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Matrix cells that a helper holds for one row of the recurrence; longer batches are cut into blocks of pairs.
+BLOCK = 1_000_000
+
+
+def _padded(signals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in signals])
+    out = np.zeros((len(signals), max(1, sizes.max(initial=1))))
+    for k, x in enumerate(signals):
+        out[k, : len(x)] = x
+    return out, sizes
 
-def warp(a: np.ndarray, b: np.ndarray, free: bool = False, radius: int | None = None) -> float:
-    """Cost of aligning all of a with all of b (or, if free, with the best part of b); steps right, down and both, L1 cost.
 
-    A band keeps the columns within radius of the straight line between the corners.
+def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radius: int | None = None) -> np.ndarray:
+    """Costs of aligning each a with its b (or, if free, with the best part of b); steps right, down and both, L1 cost.
+
+    A band takes the longer signal as rows and keeps the columns within radius of floor(columns * row / rows); radius grows
+    with the difference of the lengths, so that the corner stays in reach. Filling beyond a signal's end never reaches
+    the cells before it. An empty signal costs infinity.
     """
-    if not len(a) or not len(b):
-        return float("inf")
-    row = np.abs(a[0] - b) if free else np.abs(a[0] - b).cumsum()
-    cols = np.arange(len(b))
-    reach = None if radius is None else radius + int(np.ceil(max(0, len(a) - len(b)) * radius / max(len(a), 1)))
-    for i, x in enumerate(a):
-        cost = np.abs(x - b)
-        if i:
-            best = np.minimum(row, np.concatenate([[np.inf], row[:-1]])) + cost
-            # right steps: the smallest best[k] + cost[k+1..j] is a running minimum against the summed costs
-            total = cost.cumsum()
-            ok = np.isfinite(best)
-            best = np.where(ok, best - total, np.inf)
-            row = np.minimum.accumulate(best) + total
-        if reach is not None:
-            row = np.where(np.abs(cols - int(len(b) * i / len(a))) <= reach, row, np.inf)
-    return float(row.min() if free else row[-1])
-
-
-def subsequence_bonus(s: np.ndarray, r: np.ndarray, bonus: float = 10.0, most: int = 10) -> float:
-    """Best cost of s in r where no reference sample may be skipped; leaving a reference sample earns a bonus for each sample spent on it."""
-    col = np.abs(s - r[0]).cumsum()
-    stay = np.zeros(len(s), np.int64)
-    best = col[-1]
-    for y in r[1:]:
-        new, held = np.zeros(len(s)), np.zeros(len(s), np.int64)
-        for i in range(1, len(s)):
-            leave, remain = col[i - 1] - bonus * stay[i - 1], new[i - 1]
-            new[i] = min(leave, remain) + abs(s[i] - y)
-            held[i] = 0 if leave < remain else min(most, stay[i] + 1)
+    if radius is not None and not free:
+        a, b = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
+    (left, rows), (right, columns) = _padded(list(a)), _padded(list(b))
+    out, cols, every = np.full(len(rows), np.inf), np.arange(right.shape[1]), np.arange(len(rows))
+    reach = None if radius is None else radius + np.ceil(np.maximum(0, rows - columns) * radius / np.maximum(rows, 1))
+    row = np.full(right.shape, np.inf)
+    for i in range(left.shape[1]):
+        cost = np.abs(left[:, i, None] - right)
+        best = np.minimum(row, np.concatenate([np.full((len(rows), 1), np.inf), row[:, :-1]], 1)) + cost
+        if i == 0:
+            best = cost.copy()
+            if not free:
+                best[:, 1:] = np.inf
+        inside = None if reach is None else np.abs(cols - (columns * i // np.maximum(rows, 1))[:, None]) <= reach[:, None]
+        if inside is not None:
+            best = np.where(inside, best, np.inf)
+        # right steps: the smallest best[k] + cost[k+1..j] is a running minimum against the summed costs
+        total = cost.cumsum(1)
+        row = np.minimum.accumulate(best - total, 1) + total
+        if inside is not None:
+            row = np.where(inside, row, np.inf)
+        done = (rows == i + 1) & (columns > 0)
+        if done.any():
+            ends = np.where(cols < columns[:, None], row, np.inf).min(1) if free else row[every, np.maximum(columns - 1, 0)]
+            out[done] = ends[done]
+    return out
+
+
+def warp(a: np.ndarray, b: np.ndarray, free: bool = False, radius: int | None = None) -> float:
+    return float(warp_many([a], [b], free, radius)[0])
+
+
+def bonus_many(s: list[np.ndarray], r: list[np.ndarray], bonus: float = 10.0, most: int = 10) -> np.ndarray:
+    """Best costs of each s in its r where no reference sample may be skipped; leaving a reference sample earns a bonus for each sample spent on it."""
+    (left, rows), (right, columns) = _padded(s), _padded(r)
+    every, end = np.arange(len(rows)), np.maximum(rows - 1, 0)
+    col = np.abs(left - right[:, :1]).cumsum(1)
+    stay = np.zeros(left.shape)
+    best = np.where((rows > 0) & (columns > 0), col[every, end], np.inf)
+    for j in range(1, right.shape[1]):
+        new, held = np.zeros(left.shape), np.zeros(left.shape)
+        leave = col - bonus * stay
+        gap = np.abs(left - right[:, j, None])
+        for i in range(1, left.shape[1]):
+            quit_ = leave[:, i - 1] < new[:, i - 1]
+            new[:, i] = np.where(quit_, leave[:, i - 1], new[:, i - 1]) + gap[:, i]
+            held[:, i] = np.where(quit_, 0, np.minimum(most, stay[:, i] + 1))
         col, stay = new, held
-        best = min(best, col[-1])
-    return float(best)
+        best = np.where(j < columns, np.minimum(best, col[every, end]), best)
+    return best
+
+
+def path(a: np.ndarray, b: np.ndarray, free: bool = False) -> tuple[float, list[tuple[int, int, float]]]:
+    """Cost and cells (i, j, difference) of the best alignment; equal costs prefer the diagonal, then the step down."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return float("inf"), []
+    gap, c = np.abs(np.subtract.outer(a, b)), np.full((n + 1, m + 1), np.inf)
+    c[0, :] = 0 if free else np.inf
+    c[0, 0] = 0
+    for d in range(n + m - 1):  # antidiagonals, as the cells of one don't depend on each other
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        j = d - i
+        c[i + 1, j + 1] = gap[i, j] + np.minimum(np.minimum(c[i, j + 1], c[i + 1, j]), c[i, j])
+    i, j = n, int(c[n, 1:].argmin()) + 1 if free else m
+    cost, cells = float(c[i, j]), []
+    while i > 0 and j > 0:
+        cells.append((i - 1, j - 1, float(gap[i - 1, j - 1])))
+        if free and i == 1:
+            break
+        diagonal, down, right = c[i - 1, j - 1], c[i - 1, j], c[i, j - 1]
+        if right < down and right < diagonal:
+            j -= 1
+        elif down < diagonal:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+    return cost, cells[::-1]
+
+
+def _blocks(a: list[np.ndarray], b: list[np.ndarray]):
+    """Places of pairs in blocks of like lengths and at most BLOCK cells a row."""
+    order = np.argsort([len(x) for x in a], kind="stable")
+    wide = max((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), default=1)
+    step = max(1, BLOCK // max(1, wide))
+    return [order[k : k + step] for k in range(0, len(order), step)]
 
 
 def pairs_cost(pairs: DataFrame, kind: str = "global", radius: int | None = None) -> DataFrame:
@@ -53,7 +119,28 @@ def pairs_cost(pairs: DataFrame, kind: str = "global", radius: int | None = None
 
     @F.pandas_udf("double")
     def cost(a: pd.Series, b: pd.Series) -> pd.Series:
-        one = {"global": lambda x, y: warp(x, y, False, radius), "free": lambda x, y: warp(x, y, True), "bonus": subsequence_bonus}[kind]
-        return pd.Series([one(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b, strict=True)])
+        left, right = ([np.asarray([] if x is None else x, float) for x in s] for s in (a, b))
+        out = np.full(len(left), np.inf)
+        for at in _blocks(left, right):
+            x, y = [left[k] for k in at], [right[k] for k in at]
+            out[at] = bonus_many(x, y) if kind == "bonus" else warp_many(x, y, kind == "free", radius)
+        return pd.Series(out)
 
     return pairs.withColumn("cost", cost("a", "b"))
+
+
+def pairs_path(pairs: DataFrame, free: bool = False) -> DataFrame:
+    """pairs with cost and path, an array of (i, j, d)."""
+
+    @F.pandas_udf("cost double, path array<struct<i:int,j:int,d:double>>")
+    def trace(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [path(np.asarray(x, float), np.asarray(y, float), free) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"cost": [c for c, _ in found], "path": [[{"i": i, "j": j, "d": d} for i, j, d in p] for _, p in found]})
+
+    return pairs.withColumn("_r", trace("a", "b")).select("*", "_r.cost", "_r.path").drop("_r")
+
+
+def against(reads: DataFrame, targets: DataFrame, most: int = 1000) -> DataFrame:
+    """Every read with every target. Up to ``most`` targets are broadcast; more of them meet the reads partition by partition."""
+    few = targets.limit(most + 1).count() <= most
+    return reads.crossJoin(F.broadcast(targets) if few else targets)

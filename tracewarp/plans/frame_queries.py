@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq, signal, sketch
-from ..operators import dtw, events, mapping
+from ..operators import dtw, events, mapping, ranking
 from ..session import table
 
 TEMPLATE = [50.0, 20.0, 80.0, 40.0, 60.0, 10.0, 90.0, 30.0]
@@ -94,15 +94,16 @@ def seed_rows(spark, sf_dir):
 
 
 def _refs(spark, sf_dir):
-    return vectors(spark, sf_dir).where("read_id % 10 = 0").select(F.col("read_id").alias("ref_id"), F.lit(0).alias("strand"), "signal")
+    return vectors(spark, sf_dir).select(F.col("read_id").alias("ref_id"), F.lit(0).alias("strand"), "signal")
 
 
 def seed_frequency(spark, sf_dir):
-    return mapping.seed_frequency(mapping.build_index(_refs(spark, sf_dir), 3)).groupBy("n").agg(F.count(F.lit(1)).alias("hashes"))
+    return mapping.seed_frequency(mapping.build_index(_refs(spark, sf_dir))).groupBy("n").agg(F.count(F.lit(1)).alias("hashes"))
 
 
 def anchor_counts(spark, sf_dir):
-    hits = mapping.anchors(vectors(spark, sf_dir), mapping.build_index(_refs(spark, sf_dir), 3), 3)
+    """Hits of each vector's seeds in the others."""
+    hits = mapping.anchors(vectors(spark, sf_dir), mapping.build_index(_refs(spark, sf_dir))).where("read_id != ref_id")
     return hits.groupBy("read_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("ref_id").alias("refs"))
 
 
@@ -120,22 +121,43 @@ def deduplicated_events(spark, sf_dir):
     return vectors(spark, sf_dir).select("read_id", F.size(sketch.distinct_events(F.col("signal"))).cast("long").alias("kept"))
 
 
-def _pairs(spark, sf_dir, n):
-    rows = vectors(spark, sf_dir).select("read_id", F.slice("signal", 1, n).alias("signal"))
-    one = rows.where("read_id < 6").select(F.col("read_id").alias("ref_id"), F.col("signal").alias("b"))
-    return rows.where("read_id >= 6").select("read_id", F.col("signal").alias("a")).join(F.broadcast(one))  # six rows
+def consensus(spark, sf_dir):
+    """(ref_id, b): the mean signal of each class of vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = rows.groupBy("label", "i").agg(F.round(F.avg("x") * 8, 6).alias("m"))
+    signals = means.groupBy(F.col("label").cast("long").alias("ref_id")).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s"))
+    return signals.select("ref_id", F.transform("s", lambda x: x["m"]).alias("b"))
 
 
-def warping(kind, radius=None, n=12, other=None):
+def _pairs(spark, sf_dir):
+    return dtw.against(vectors(spark, sf_dir).select("read_id", F.col("signal").alias("a")), consensus(spark, sf_dir))
+
+
+def warping(kind, radius=None):
+    """Costs of all vectors against the mean signal of every class."""
+
     def run(spark, sf_dir):
-        pairs = _pairs(spark, sf_dir, n)
-        if other:
-            pairs = pairs.withColumn("a", F.slice("a", 1, other))
-        return dtw.pairs_cost(pairs, kind, radius).select("read_id", "ref_id", F.round("cost", 4).alias("cost"))
+        return dtw.pairs_cost(_pairs(spark, sf_dir), kind, radius).select("read_id", "ref_id", F.round("cost", 4).alias("cost"))
 
     return run
 
 
+def warping_path(spark, sf_dir):
+    """Length of the best path of each vector in its class's mean signal, and the largest difference on it."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("label").cast("long").alias("ref_id"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("a"))
+    found = dtw.pairs_path(own.join(consensus(spark, sf_dir), "ref_id"))
+    worst = F.array_max(F.transform("path", lambda x: x["d"]))
+    return found.select("read_id", "ref_id", F.round("cost", 4).alias("cost"), F.size("path").cast("long").alias("cells"), F.round(worst, 6).alias("worst"))
+
+
+def nearest_class(spark, sf_dir):
+    """How often the class with the cheapest alignment is a vector's own."""
+    costs = dtw.pairs_cost(_pairs(spark, sf_dir))
+    best = costs.groupBy("read_id").agg(F.min(F.struct("cost", "ref_id"))["ref_id"].alias("found"))
+    truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("label").cast("long").alias("truth"))
+    return truth.join(best, "read_id").groupBy("truth", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sdtw_classify(spark, sf_dir):
     """Traces, normalised and aligned with a fixed template: kept if their cost a sample is low."""
     levels = F.array(*map(F.lit, TEMPLATE))
@@ -144,14 +166,17 @@ def sdtw_classify(spark, sf_dir):
     return out.withColumn("keep", F.col("cost") / F.col("n") < 25)
 
 
+def _mapped(spark, sf_dir):
+    """Vectors mapped to the others, chains re-scored by alignment."""
+    return mapping.map_reads(vectors(spark, sf_dir), _refs(spark, sf_dir), 5, least_aligned=0.0, others_only=True)
+
+
 def mapped(spark, sf_dir):
-    reads = vectors(spark, sf_dir).where("read_id % 10 <= 1")
-    return mapping.map_reads(reads, _refs(spark, sf_dir), 5).select("read_id", "ref_id", "score", "n_anchors", "mapq", "confident")
+    return _mapped(spark, sf_dir).select("read_id", "ref_id", "score", F.round("aligned", 4).alias("aligned"), "n_anchors", "mapq", "confident")
 
 
 def paf_round_trip(spark, sf_dir):
-    reads = vectors(spark, sf_dir).where("read_id % 10 <= 1")
-    return mapping.parse_paf(mapping.paf_line(mapping.map_reads(reads, _refs(spark, sf_dir), 5))).select("read_id", "ref_id", "strand", "mapq", F.get(F.map_values("tags"), F.lit(0)).alias("first_tag"))
+    return mapping.parse_paf(mapping.paf_line(_mapped(spark, sf_dir))).select("read_id", "ref_id", "strand", "mapq", F.get(F.map_values("tags"), F.lit(0)).alias("first_tag"))
 
 
 def mutated(spark, sf_dir):
@@ -160,9 +185,76 @@ def mutated(spark, sf_dir):
         h = F.pmod(F.xxhash64(i, F.lit(7)), F.lit(150)).cast("int")
         return F.when(h < 3, F.get(F.array(*map(F.lit, "ACGT")), F.pmod(F.instr(F.lit("ACGT"), c) + h, F.lit(4)).cast("int"))).otherwise(c)
 
-    rows = sequences(spark, sf_dir).where(F.char_length("seq") > 0)
-    new = F.array_join(F.transform(F.split("seq", ""), swap), "")
-    return rows.select("doc_id", F.char_length("seq").cast("long").alias("n"), F.levenshtein(F.substring("seq", 1, 100), F.substring(new, 1, 100)).cast("long").alias("changes"))
+    rows = sequences(spark, sf_dir).select("doc_id", F.split("seq", "").alias("c")).where(F.size("c") > 0)
+    changed = F.zip_with("c", F.transform("c", swap), lambda x, y: (x != y).cast("long"))
+    return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate(changed, F.lit(0).cast("long"), lambda t, x: t + x).alias("changes"))
+
+
+def indels(spark, sf_dir):
+    """Lengths after insertions and deletions at about one place in a hundred each."""
+    rows = sequences(spark, sf_dir)
+    size = lambda c: F.char_length(c).cast("long")
+    return rows.select("doc_id", size("seq").alias("n"), size(seq.inserted(F.col("seq"), 100)).alias("longer"), size(seq.deleted(F.col("seq"), 100)).alias("shorter"))
+
+
+def smoothed(spark, sf_dir):
+    """How many samples of each z-scored trace the outlier filter changes, and the largest one left."""
+    rows = traces(spark, sf_dir).select("read_id", signal.zscore(F.col("signal")).alias("z")).withColumn("s", signal.limit_outliers(F.col("z"), 2.0))
+    moved = F.size(F.filter(F.zip_with("z", "s", lambda x, y: x != y), lambda x: x))
+    return rows.select("read_id", moved.cast("long").alias("moved"), F.round(F.array_max("s"), 6).alias("top"))
+
+
+def segmented(spark, sf_dir):
+    """Change points of each trace: the strongest tenth of its places, none within three samples of a stronger one."""
+    found = events.change_points(traces(spark, sf_dir), 0.1, 3)
+    return found.select("read_id", F.size("cuts").cast("long").alias("n_cuts"), F.get("cuts", F.lit(0)).cast("long").alias("first_cut"))
+
+
+def running_abundance(spark, sf_dir):
+    """Bases of each organism after every 500 mapped reads, in order of the reads; organisms appear with their first read."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    reads = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", F.col("c_nationkey").cast("long").alias("organism"), F.col("o_totalprice").alias("len"))
+    ranked = ranking.ordered_rank(reads, "o_orderkey")
+    step = ranked.groupBy((F.ceil(F.col("rank") / 500) * 500).alias("tick"), "organism").agg(F.sum("len").alias("b"))
+    last = reads.count() // 500 * 500
+    order = Window.partitionBy("organism").orderBy("tick")
+    runs = step.where(F.col("tick") <= last).select("organism", "tick", F.sum("b").over(order).alias("b"), F.coalesce(F.lead("tick").over(order) - 500, F.lit(last)).alias("until"))
+    return runs.select(F.explode(F.sequence(F.col("tick"), F.col("until"), F.lit(500).cast("long"))).alias("tick"), "organism", F.round("b", 2).alias("bases"))
+
+
+def _bins(spark, sf_dir, width):
+    """(target, thr, n, n_at): scores of each class by bin of that width, and those that equal its lower end."""
+    s = table(spark, sf_dir, "events").select((F.col("event_type") == "purchase").alias("target"), F.col("value").alias("cost"))
+    thr = F.floor(F.col("cost") / width) * float(width)
+    return s.groupBy("target", thr.alias("thr")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cost") == thr).alias("n_at"))
+
+
+def _curve(spark, sf_dir, width):
+    """(thr, below_t, below_o, at_t, at_o, all_t, all_o): scores under and at every threshold, from bin counts alone."""
+    side = lambda c, t: F.sum(F.when(F.col("target") == t, F.col(c)).otherwise(0))
+    bins = _bins(spark, sf_dir, width).where("thr is not null").groupBy("thr").agg(*(side(c, t).alias(f"{c}_{x}") for c in ("n", "n_at") for t, x in ((True, "t"), (False, "o"))))
+    past, every = Window.orderBy("thr").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    total = [F.coalesce(F.sum(f"n_{x}").over(past), F.lit(0)).alias(f"below_{x}") for x in "to"]
+    return bins.select("thr", *total, F.col("n_at_t").alias("at_t"), F.col("n_at_o").alias("at_o"), *(F.sum(f"n_{x}").over(every).alias(f"all_{x}") for x in "to"))
+
+
+def threshold_sweep(spark, sf_dir):
+    """Confusion counts at every threshold. Scores are counted by bin first, so the running sums see a row a bin."""
+    rows = _curve(spark, sf_dir, 5).where("below_t + below_o > 0")
+    return rows.select("thr", F.col("below_t").alias("tp"), F.col("below_o").alias("fp"), (F.col("all_t") - F.col("below_t")).alias("fn"))
+
+
+def best_threshold(spark, sf_dir):
+    rows = threshold_sweep(spark, sf_dir).withColumn("f1", F.round(F.col("tp") / (F.col("tp") + 0.5 * (F.col("fp") + F.col("fn"))), 9))
+    best = rows.agg(F.max(F.struct("f1", (-F.col("thr")).alias("low"))).alias("x"))
+    return best.select((-F.col("x.low") + 0.01).alias("thr"), "x.f1")
+
+
+def discard_curve(spark, sf_dir):
+    rows = _curve(spark, sf_dir, 5)
+    sides = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), *(F.col(f"{c}_{x}").alias(c) for c in ("below", "at", "all"))) for t, x in ((True, "t"), (False, "o")))))
+    rows = rows.select("thr", sides.alias("s")).select("thr", "s.*").where(F.col("all") > 0)
+    return rows.select("thr", "target", F.round((F.col("all") - F.col("below") - F.col("at")) / F.col("all"), 9).alias("discarded"))
 
 
 def sequence_until(spark, sf_dir):
@@ -184,8 +276,9 @@ QUERIES = {
     "sdtw_classify": sdtw_classify, "signal_from_events": signal_from_events, "chunk_explode": chunk_explode, "trimmed": trimmed, "array_norm": array_norm,
     "tstat_w3": tstat(3), "tstat_w6": tstat(6), "detect_events": detected, "revcomp": reverse_complement, "kmer_histogram": kmer_histogram,
     "expected_signal": expected_signal, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
-    "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 3), "dtw_semiglobal": warping("free", None, 12, 6),
-    "sdtw_bonus": warping("bonus", None, 16, 10), "map_reads": mapped, "paf_round_trip": paf_round_trip, "mutated": mutated, "sequence_until": sequence_until,
+    "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 6), "dtw_semiglobal": warping("free"),
+    "sdtw_bonus": warping("bonus"), "dtw_path": warping_path, "nearest_class": nearest_class, "indels": indels, "smoothed": smoothed, "segmented": segmented,
+    "running_abundance": running_abundance, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "discard_curve": discard_curve, "map_reads": mapped, "paf_round_trip": paf_round_trip, "mutated": mutated, "sequence_until": sequence_until,
 }
 
 _S = "WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) "
@@ -197,7 +290,16 @@ _H = [
     "SELECT read_id, pos, (k + (k << 2) + (k << 4)) & 4294967295 AS k FROM h3", "SELECT read_id, pos, xor(k, k >> 28) AS k FROM h4",
     "SELECT read_id, pos, (k + ((k << 31) & 4294967295)) & 4294967295 AS hash FROM h5",
 ]
-_SEEDS = f"WITH {_V}, q AS (SELECT read_id, i, {_CODE} AS c FROM v), p AS (SELECT * FROM (SELECT read_id, i AS pos, (c + (lag(c) OVER w << 5) + (lag(c, 2) OVER w << 10))::BIGINT AS k FROM q WINDOW w AS (PARTITION BY read_id ORDER BY i)) WHERE k IS NOT NULL), " + ", ".join(f"h{i} AS ({x})" for i, x in enumerate(_H))
+
+
+def _seeds_sql(e: int) -> str:
+    """Tables up to h6 (read_id, pos, hash): windows of e codes, packed and mixed."""
+    packed = " + ".join(f"(lag(c, {j}) OVER w << {5 * j})" for j in range(e))
+    windows = f"p AS (SELECT * FROM (SELECT read_id, i AS pos, ({packed})::BIGINT AS k FROM q WINDOW w AS (PARTITION BY read_id ORDER BY i)) WHERE k IS NOT NULL), "
+    return f"WITH {_V}, q AS (SELECT read_id, i, {_CODE} AS c FROM v), " + windows + ", ".join(f"h{i} AS ({x})" for i, x in enumerate(_H))
+
+
+_SEEDS = _seeds_sql(3)
 _SEQ = "WITH d AS (SELECT doc_id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGT]', '', 'g') AS seq FROM documents), "
 
 
@@ -217,16 +319,8 @@ ORACLES = {
         SELECT kmer, (list_sum(list_transform(range(1, 5), lambda j: (instr('ACGT', substr(kmer, j, 1)) - 1) * 4 ** (4 - j))))::BIGINT AS code, count(*) AS n FROM k GROUP BY kmer""",
     "quantize": f"WITH {_V} SELECT {_CODE} AS code, count(*) AS n FROM v GROUP BY 1",
     "seeds_e3": _SEEDS + " SELECT read_id, pos::BIGINT AS pos, hash::BIGINT AS hash FROM h6",
-    "seed_frequency": _SEEDS + ", f AS (SELECT hash, count(*) AS n FROM h6 WHERE read_id % 10 = 0 GROUP BY hash) SELECT n, count(*) AS hashes FROM f GROUP BY n",
-    "anchor_counts": _SEEDS + " SELECT a.read_id, count(*) AS hits, count(DISTINCT b.read_id) AS refs FROM h6 a JOIN h6 b ON a.hash = b.hash AND b.read_id % 10 = 0 GROUP BY a.read_id",
+    "seed_frequency": _seeds_sql(6) + ", f AS (SELECT hash, count(*) AS n FROM h6 GROUP BY hash) SELECT n, count(*) AS hashes FROM f GROUP BY n",
+    "anchor_counts": _seeds_sql(6) + " SELECT a.read_id, count(*) AS hits, count(DISTINCT b.read_id) AS refs FROM h6 a JOIN h6 b ON a.hash = b.hash AND b.read_id != a.read_id GROUP BY a.read_id",
     "minimizer_w5": _SEEDS + """, m AS (SELECT read_id, pos, min(hash) OVER (PARTITION BY read_id ORDER BY pos ROWS 4 PRECEDING) AS low, count(*) OVER (PARTITION BY read_id ORDER BY pos ROWS 4 PRECEDING) AS n FROM h6)
         SELECT DISTINCT h6.read_id, h6.pos::BIGINT AS pos, hash::BIGINT AS hash FROM h6 JOIN m ON h6.read_id = m.read_id AND m.n = 5 AND m.pos BETWEEN h6.pos AND h6.pos + 4 AND m.low = h6.hash""",
-    "dtw_global": """WITH RECURSIVE a AS (SELECT vec_id AS read_id, list_transform(embedding[1:12], lambda x: x::DOUBLE * 8) AS a FROM embeddings WHERE vec_id >= 6),
-        b AS (SELECT vec_id AS ref_id, list_transform(embedding[1:12], lambda x: x::DOUBLE * 8) AS b FROM embeddings WHERE vec_id < 6),
-        r AS (SELECT read_id, ref_id, a, b, 1 AS i, 1 AS j, [abs(a[1] - b[1])] AS cur, []::DOUBLE[] AS prev FROM a CROSS JOIN b
-          UNION ALL SELECT read_id, ref_id, a, b, CASE WHEN j = 12 THEN i + 1 ELSE i END, CASE WHEN j = 12 THEN 1 ELSE j + 1 END,
-            CASE WHEN j = 12 THEN [cur[1] + abs(a[i + 1] - b[1])]
-              ELSE list_append(cur, abs(a[i] - b[j + 1]) + CASE WHEN i = 1 THEN cur[j] ELSE least(cur[j], prev[j], prev[j + 1]) END) END,
-            CASE WHEN j = 12 THEN cur ELSE prev END FROM r WHERE NOT (i = 12 AND j = 12))
-        SELECT read_id, ref_id, round(cur[12], 4) AS cost FROM r WHERE i = 12 AND j = 12""",
 }

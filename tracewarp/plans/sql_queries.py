@@ -48,13 +48,13 @@ SELECT round(coalesce(tp / nullif(tp + fp + 0.0, 0), 0), 9) AS prec, round(coale
 SELECT organism, reads, round(reads * 1.0 / sum(reads) OVER (), 9) AS read_share, round(bases / sum(bases) OVER (), 9) AS base_share, round(bases / reads, 4) AS mean_length FROM g""",
     "abundance_distance": """WITH a AS (SELECT c_nationkey AS k, count(*) AS n, sum(o_totalprice) AS b FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey),
 r AS (SELECT k, n * 1.0 / sum(n) OVER () AS x, b / sum(b) OVER () AS y FROM a) SELECT round(sqrt(sum((x - y) * (x - y))), 9) AS distance FROM r""",
-    "running_abundance": """WITH a AS (SELECT o_orderkey, c_nationkey AS k, o_totalprice AS len, row_number() OVER (ORDER BY o_orderkey) AS tick FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey <= 4000),
+    "running_abundance": """WITH a AS (SELECT o_orderkey, c_nationkey AS k, o_totalprice AS len, row_number() OVER (ORDER BY o_orderkey) AS tick FROM {orders} JOIN {customer} ON o_custkey = c_custkey),
 t AS (SELECT DISTINCT tick FROM a WHERE tick % 500 = 0) SELECT t.tick, a.k AS organism, round(sum(len), 2) AS bases FROM t JOIN a ON a.tick <= t.tick GROUP BY t.tick, a.k""",
     "coverage_bins": """WITH i AS (SELECT l_partkey % 5 AS contig, l_suppkey * 10 AS lo, l_suppkey * 10 + CAST(l_quantity AS BIGINT) AS hi FROM {lineitem}),
 b AS (SELECT contig, lo, hi, floor(lo / 25.0) AS bin FROM i UNION ALL SELECT contig, lo, hi, floor(lo / 25.0) + 1 FROM i WHERE hi > (floor(lo / 25.0) + 1) * 25 UNION ALL SELECT contig, lo, hi, floor(lo / 25.0) + 2 FROM i WHERE hi > (floor(lo / 25.0) + 2) * 25),
 c AS (SELECT contig, CAST(bin AS BIGINT) AS bin, sum(least(hi, (bin + 1) * 25) - greatest(lo, bin * 25)) AS bases FROM b GROUP BY contig, bin)
 SELECT contig, bin, CAST(bases AS BIGINT) AS bases, CAST(least(30, floor(bases / 25.0)) AS BIGINT) AS coverage FROM c""",
-    "primary_overlap": """WITH i AS (SELECT l_orderkey AS k, l_linenumber AS id, l_suppkey AS ref, l_partkey AS lo, l_partkey + CAST(l_quantity AS BIGINT) AS hi, l_extendedprice AS score FROM {lineitem} WHERE l_orderkey <= 2000),
+    "primary_overlap": """WITH i AS (SELECT l_orderkey AS k, l_linenumber AS id, l_suppkey AS ref, l_partkey AS lo, l_partkey + CAST(l_quantity AS BIGINT) AS hi, l_extendedprice AS score FROM {lineitem}),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS rnk FROM i), f AS (SELECT * FROM r WHERE rnk = 1)
 SELECT r.k, r.id FROM r LEFT JOIN f ON r.k = f.k AND r.ref = f.ref AND greatest(r.lo, f.lo) <= least(r.hi, f.hi) AND r.rnk > 1 WHERE f.k IS NULL""",
     "mapq_confidence": """WITH s AS (SELECT l_orderkey AS k, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rnk, avg(l_extendedprice) OVER (PARTITION BY l_orderkey) AS mean, count(*) OVER (PARTITION BY l_orderkey) AS n, lead(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS s2 FROM {lineitem})
@@ -173,5 +173,5 @@ def oracle(name: str, sql: str) -> str:
     return text
 
 
-QUERIES = {name: query(name, sql) for name, sql in STATEMENTS.items()}
+QUERIES = {name: query(name, sql) for name, sql in STATEMENTS.items()}  # frame_queries has others for four of them, which scale better
 ORACLES = {name: oracle(name, sql) for name, sql in STATEMENTS.items()}
