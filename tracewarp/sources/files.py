@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.seq import kmer_code
+from ..functions.seq import kmer_code, revcomp
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +29,7 @@ def read_pore_model(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(file, signal) of text files with one number a line; lines keep their order within a file."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     numbers = F.transform(F.filter(F.split("value", r"\s+"), lambda x: x != ""), lambda x: x.cast("int"))
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), numbers.alias("signal"))
 
@@ -37,3 +37,40 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 def write_fastq(reads: DataFrame, path: str) -> None:
     """Rows (read_id, seq, qual) as four lines each."""
     reads.select(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.text(path)
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(file, nth, read_id, seq, qual) of files with four lines a record; gzip is read by suffix. A file is one row until its
+    records are exploded, as a quality line may look like a header; an incomplete last record is left out."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("l"))
+    records = F.floor(F.size("l") / 4).cast("int")
+    nth = F.when(records > 0, F.sequence(F.lit(0), records - 1)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(nth, lambda i: F.struct(i.alias("nth"), F.split_part(F.substr(F.get("l", i * 4), F.lit(2)), F.lit(" "), F.lit(1)).alias("read_id"), F.translate(F.get("l", i * 4 + 1), "Uu", "Tt").alias("seq"), F.get("l", i * 4 + 3).alias("qual")))
+    return rows.select("file", F.explode(one).alias("r")).select("file", "r.*")
+
+
+def lock_step(one: DataFrame, two: DataFrame) -> DataFrame:
+    """The i-th records of two files side by side; the shorter file ends the result."""
+    side = lambda df, n: df.select("nth", F.col("read_id").alias(f"read_id_{n}"), F.col("seq").alias(f"seq_{n}"))
+    return side(one, 1).join(side(two, 2), "nth")
+
+
+def write_sam(rows: DataFrame, refs: DataFrame, path: str) -> None:
+    """Rows (read_id, strand, ref_id, t_start, mapq, cigar, seq, qual) as alignment text in parts, with the header lines of refs
+    (ref_id, len) in a part of their own under header/. Sequences on strand 1 are reverse complements; unmapped rows have flag 4."""
+    header = refs.select(F.concat(F.lit("@SQ\tSN:"), F.col("ref_id").cast("string"), F.lit("\tLN:"), F.col("len").cast("string")).alias("value"))
+    header.write.text(f"{path}/header")
+    lost, back = F.col("ref_id").isNull(), F.coalesce(F.col("strand") == 1, F.lit(False))
+    flag = F.when(lost, 4).when(back, 16).otherwise(0)
+    text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    place = F.when(lost, 0).otherwise(F.col("t_start") + 1)
+    seq, qual = F.when(back, revcomp(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual"))
+    fields = [F.col("read_id").cast("string"), flag.cast("string"), text("ref_id", "*"), place.cast("string"), text("mapq", "0"), text("cigar", "*"), F.lit("*"), F.lit("0"), F.lit("0"), seq, qual]
+    rows.select(F.concat_ws("\t", *fields).alias("value")).write.text(f"{path}/records")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(file, metric, value) of report lines such as 'name: 1.5' or 'name = 1.5'; lines of another form are skipped."""
+    form = r"^\s*([A-Za-z][^:=]*?)\s*[:=]\s*([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
+    rows = spark.read.text(path).where(F.col("value").rlike(form))
+    return rows.select(F.input_file_name().alias("file"), F.regexp_extract("value", form, 1).alias("metric"), F.regexp_extract("value", form, 2).cast("double").alias("value"))
