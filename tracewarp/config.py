@@ -22,7 +22,7 @@ class MapOptions:
     over_mean: float = 5.0
     bonus: float = 0.4
     share: float = 0.1
-    least_aligned: float = 20.0
+    least_aligned: float | None = 20.0
     least_events: int = 50
     most_chunks: int = 30
 

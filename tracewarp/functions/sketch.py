@@ -49,3 +49,30 @@ def seeds(events: Column, e: int = 6, bits: int = 5) -> Column:
         return F.when(F.size(c) >= e, F.transform(F.sequence(F.lit(0), F.size(c) - e), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
     return F.get(F.transform(F.array(codes), body), F.lit(0))
+
+
+def minimizers(events: Column, e: int = 6, w: int = 5, bits: int = 5) -> Column:
+    """(pos, hash) of the seeds that are the lowest of some w seeds in a row, ties included; pos is that of the first event.
+
+    Fewer than w seeds count as one window.
+    """
+
+    def body(s):
+        width = F.least(F.lit(w), F.size(s))
+        lows = F.transform(F.sequence(F.lit(0), F.size(s) - width), lambda i: F.array_min(F.transform(F.slice(s, i + 1, width), lambda x: x["hash"])))
+
+        def lowest(low):
+            def some(x, j):
+                first = F.greatest(j - width + 1, F.lit(0))
+                return F.array_contains(F.slice(low, first + 1, F.least(j, F.size(s) - width) - first + 1), x["hash"])
+
+            return F.transform(F.filter(s, some), lambda x: F.struct((x["pos"] - (e - 1)).alias("pos"), x["hash"].alias("hash")))
+
+        return F.when(F.size(s) > 0, bound(lows, lowest)).otherwise(s)
+
+    return bound(seeds(events, e, bits), body)
+
+
+def sketch(events: Column, e: int = 6, w: int = 0) -> Column:
+    """Every seed, or the minimizers over w seeds."""
+    return minimizers(events, e, w) if w else seeds(events, e)

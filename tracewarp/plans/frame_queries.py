@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import options
 from ..functions import seq, signal, sketch
-from ..operators import dtw, events, mapping, ranking
+from ..operators import abundance, dtw, events, mapping, ranking
 from ..session import table
 
 TEMPLATE = [50.0, 20.0, 80.0, 40.0, 60.0, 10.0, 90.0, 30.0]
@@ -168,13 +169,20 @@ def sdtw_classify(spark, sf_dir):
 
 def _mapped(spark, sf_dir):
     """Vectors mapped to the others, chains re-scored by alignment."""
-    return mapping.map_reads(vectors(spark, sf_dir), _refs(spark, sf_dir), 5, least_aligned=0.0, others_only=True)
+    return mapping.map_reads(vectors(spark, sf_dir), _refs(spark, sf_dir), options("viral", least_aligned=0.0), others_only=True)
 
 
 def mapped(spark, sf_dir):
     return _mapped(spark, sf_dir).select("read_id", "ref_id", "score", F.round("aligned", 4).alias("aligned"), "n_anchors", "mapq", "confident")
 
 
+def mapped_minimizers(spark, sf_dir):
+    """Vectors mapped to the others by the fast presets' long seeds, the lowest of each few."""
+    o = options("faster", e=5, w=3, least_aligned=0.0)
+    found = mapping.map_reads(vectors(spark, sf_dir), _refs(spark, sf_dir), o, others_only=True)
+    return found.select("read_id", "ref_id", "score", F.round("aligned", 4).alias("aligned"), "n_anchors", "mapq", "confident")
+
+
 def paf_round_trip(spark, sf_dir):
     return mapping.parse_paf(mapping.paf_line(_mapped(spark, sf_dir))).select("read_id", "ref_id", "strand", "mapq", F.get(F.map_values("tags"), F.lit(0)).alias("first_tag"))
 
@@ -262,14 +270,7 @@ def sequence_until(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.floor(F.col("o_orderkey") / 2000).alias("tick"), F.col("c_nationkey").alias("k"), "o_totalprice")
     step = rows.groupBy("tick", "k").agg(F.sum("o_totalprice").alias("b"))
-    ticks, keys = step.select("tick").distinct(), step.select("k").distinct()
-    grid = ticks.join(F.broadcast(keys)).join(step, ["tick", "k"], "left")  # a row for each tick and organism
-    run = grid.withColumn("total", F.sum(F.coalesce("b", F.lit(0.0))).over(Window.partitionBy("k").orderBy("tick")))
-    share = run.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy("tick")))
-    past = Window.partitionBy("k").orderBy("tick")
-    gaps = share.select("tick", *(F.pow(F.col("share") - F.lag("share", i).over(past), 2).alias(f"d{i}") for i in range(1, 5)))
-    sums = gaps.groupBy("tick").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(1, 5)))
-    return sums.select(F.col("tick").cast("long").alias("tick"), F.round(F.greatest("d1", "d2", "d3", "d4"), 9).alias("distance"), F.coalesce(F.col("d4").isNotNull() & (F.greatest("d1", "d2", "d3", "d4") <= 0.0005), F.lit(False)).alias("stop"))
+    return abundance.tick_distances(step, 0.0005)
 
 
 QUERIES = {
@@ -278,7 +279,7 @@ QUERIES = {
     "expected_signal": expected_signal, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
     "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 6), "dtw_semiglobal": warping("free"),
     "sdtw_bonus": warping("bonus"), "dtw_path": warping_path, "nearest_class": nearest_class, "indels": indels, "smoothed": smoothed, "segmented": segmented,
-    "running_abundance": running_abundance, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "discard_curve": discard_curve, "map_reads": mapped, "paf_round_trip": paf_round_trip, "mutated": mutated, "sequence_until": sequence_until,
+    "running_abundance": running_abundance, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "discard_curve": discard_curve, "map_reads": mapped, "map_minimizers": mapped_minimizers, "paf_round_trip": paf_round_trip, "mutated": mutated, "sequence_until": sequence_until,
 }
 
 _S = "WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) "
