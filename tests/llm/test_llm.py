@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracewarp.llm import embedding_dedup, hmm_scoring, license_scan, line_dedup, media_columns, mixing, packing, pii, quality_classifier, simhash_dedup
+from tracewarp.llm import embedding_dedup, hmm_scoring, license_scan, line_dedup, media_columns, minhash_dedup, mixing, packing, pii, quality_classifier, simhash_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -164,6 +164,38 @@ def test_simhash(spark, docs, empty):
     assert simhash_dedup.simhash_dedup(empty).count() == 0 and simhash_dedup.one_of_each(docs).columns == docs.columns
 
 
+def test_near_copies(spark, docs, empty):
+    """A pair's SimHashes differ in up to 11 bits at similarity 0.8; every pair must be found, in small and in crowded bands."""
+    import random
+
+    import corpus_pipeline
+
+    random.seed(8)
+    words = [f"w{i}" for i in range(500)]
+    rows, n = [], 0
+    for copies, changes in [(2, 4)] * 40 + [(60, 2), (60, 5), (40, 12)]:
+        base = [random.choice(words) for _ in range(200)]
+        for c in range(copies):
+            t = list(base)
+            for _ in range(changes if c else 0):
+                t[random.randrange(len(t))] = random.choice(words)
+            rows.append((n, " ".join(t)))
+            n += 1
+    rows += [(n, rows[0][1]), (n + 1, "too short"), (n + 2, "Too  SHORT"), (n + 3, None), (n + 4, "")]
+    grams = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    alike = lambda a, b: grams[a] == grams[b] or len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    want = set(brute_components([i for i, _ in rows], alike).values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 60 < len(want) < 150
+    for options in ({}, {"tile": 8}):
+        assert {r["doc_id"] for r in minhash_dedup.one_of_each(df, **options).collect()} == want
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want
+    assert minhash_dedup.one_of_each(empty).count() == 0 and minhash_dedup.one_of_each(docs).columns == docs.columns
+
+
 def test_media(docs, empty):
     rows = media_columns.media_columns(docs).collect()
     assert len(rows) == docs.count()
