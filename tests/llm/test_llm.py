@@ -253,6 +253,13 @@ def test_quality(spark, docs, empty):
     assert quality_classifier.classify(empty, labels).count() == 0 and quality_classifier.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxic_text_is_not_trusted(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [r["_good"] for r in quality_classifier.trusted_ids(labels).collect()] == [1]
+    df = spark.createDataFrame([(i, f"plain words {i}", "en") for i in (1, 2, 3, 4)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality_classifier.perplexities(df, labels).where("role != 0").collect()} == {1}
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("abracadabra",), ("banana bandana",)], "text string")
     tables = quality_classifier._counts(df, 3)
