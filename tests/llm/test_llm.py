@@ -260,6 +260,24 @@ def test_toxic_text_is_not_trusted(spark):
     assert {r["doc_id"] for r in quality_classifier.perplexities(df, labels).where("role != 0").collect()} == {1}
 
 
+def test_thresholds_cover_all_trusted_rows(spark):
+    """Of 100 trusted rows 20 are sampled for the fit; the other 80 are held. Languages with few or no labels keep their clean text."""
+    import random
+
+    random.seed(6)
+    text = lambda parts: " ".join("".join(random.choice(parts) for _ in range(random.randint(1, 3))) for _ in range(80))
+    rows = [(i, text(["the", "ing", "er", "and", "on"]), "en") for i in range(100)]
+    rows += [(200 + i, text(["zu", "qua", "xi", "ojo", "wyk"]), "xx") for i in range(50)]
+    rows += [(300 + i, text(["bam", "ful", "gov", "dep", "jik"]), "yy") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(100), 200, 201]], "doc_id long, quality int, toxic int")
+    roles = collections.Counter(r["role"] for r in quality_classifier.perplexities(df, labels, max_trusted=20).where("doc_id < 100").collect())
+    assert roles[0] == 0 and roles[quality_classifier.TRAIN] <= 20 and roles[quality_classifier.HELD] >= 80
+    got = {r["doc_id"]: r["kept"] for r in quality_classifier.classify(df, labels, max_trusted=20).collect()}
+    assert all(got[i] for i in range(100))
+    assert sum(got[200 + i] for i in range(50)) >= 45 and sum(got[300 + i] for i in range(50)) >= 45
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("abracadabra",), ("banana bandana",)], "text string")
     tables = quality_classifier._counts(df, 3)
