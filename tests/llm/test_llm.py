@@ -112,6 +112,13 @@ def test_plan_uses_every_piece():
     assert sum(t for t, _ in patterns) <= 1.002 * math.ceil((lengths * n).sum() / 1024) + 1
 
 
+def test_packing_fills_up_with_short_pieces():
+    for most, good in ((99, 6), (60, 3)):
+        patterns = packing.plan({x: 1 for x in range(1, most + 1)})
+        assert sorted(x for times, lengths in patterns for x in lengths * times) == list(range(1, most + 1))
+        assert sum(times for times, _ in patterns) <= good
+
+
 def test_encoders_agree():
     encode = packing.Encoder(packing.default_tokenizer())
     for t in ["", "a  b\n\n c", "naïve café ½ 漢字 😀 👩‍👩‍👧", "x" * 5000, " " * 3000 + "y", "<|endoftext|> a", "  z", "'S 's it's"]:

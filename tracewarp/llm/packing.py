@@ -78,11 +78,11 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]
                 continue
             lengths, gap = [first], size - first
             while gap and (some := np.flatnonzero(left[1 : gap + 1])).size:
-                options = [int(x) + 1 for x in some[::-1][:8] if fits(*lengths, int(x) + 1)]
-                if not options:
+                option = next((int(x) + 1 for x in some[::-1] if fits(*lengths, int(x) + 1)), None)
+                if option is None:
                     break
-                lengths.append(options[0])
-                gap -= options[0]
+                lengths.append(option)
+                gap -= option
             take(lengths)
     return patterns
 
