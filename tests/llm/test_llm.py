@@ -119,6 +119,28 @@ def test_packing_fills_up_with_short_pieces():
         assert sum(times for times, _ in patterns) <= good
 
 
+def test_packing_follows_the_schedule(spark, tmp_path):
+    """Sources of equal weight take turns in the mixed files; every prefix of the sequences has them in equal shares."""
+    import random
+
+    import corpus_pipeline
+
+    random.seed(3)
+    rows = [(i, " ".join(random.choice(["river", "stone", "cloud"]) for _ in range(random.choice([80, 150, 300, 600]))), "en", "a" if i < 400 else "b", 1) for i in range(800)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    mixing.mixed_documents(df).write.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert collections.Counter(r["doc_id"] for r in got if r["piece"] == 0) == collections.Counter(range(800))
+    ids = {r["sequence_id"] for r in got}
+    assert ids == set(range(len(ids)))
+    slot = {r["doc_id"]: (r["slot"], r["nth"]) for r in mixing.mix(df).collect()}
+    firsts = [min(slot[r["doc_id"]] for r in got if r["sequence_id"] == k) for k in range(len(ids))]
+    assert firsts == sorted(firsts)
+    for k in range(len(ids) // 5, len(ids), 10):
+        part = collections.Counter("a" if r["doc_id"] < 400 else "b" for r in got if r["sequence_id"] < k)
+        assert abs(part["a"] / part.total() - 0.5) < 0.08
+
+
 def test_encoders_agree():
     encode = packing.Encoder(packing.default_tokenizer())
     for t in ["", "a  b\n\n c", "naïve café ½ 漢字 😀 👩‍👩‍👧", "x" * 5000, " " * 3000 + "y", "<|endoftext|> a", "  z", "'S 's it's"]:

@@ -25,7 +25,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -87,16 +87,19 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]
     return patterns
 
 
-def slots(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, rank from, rank to, first sequence, offset) of each place in each pattern."""
+def slots(patterns: list[tuple[int, list[int]]], rounds: int = 1) -> list[tuple[int, int, int, int, int]]:
+    """(length, rank from, rank to, first sequence, offset) of each place in each pattern, patterns dealt evenly over rounds."""
     rank, out, sequence = Counter(), [], 0
-    for times, lengths in patterns:
-        offset = 0
-        for x in lengths:
-            out.append((x, rank[x], rank[x] + times, sequence, offset))
-            rank[x] += times
-            offset += x
-        sequence += times
+    for k in range(rounds):
+        for n, lengths in patterns:
+            times, offset = (k + 1) * n // rounds - k * n // rounds, 0
+            if not times:
+                continue
+            for x in lengths:
+                out.append((x, rank[x], rank[x] + times, sequence, offset))
+                rank[x] += times
+                offset += x
+            sequence += times
     return out
 
 
@@ -126,48 +129,89 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids as little-endian unsigned 32-bit, task, nth) as a written table."""
-    schema = "doc_id long, piece int, start long, length int, ids binary, task long, nth long"
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, order: Column | None = None) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids as little-endian unsigned 32-bit, task, nth) as a written table.
+
+    With an order (a long: file number << 40 | row of the file), task is the place of the first of successive rows of a file, so that
+    (task, nth) follows the order, and at is each row's own place.
+    """
+    schema = "doc_id long, piece int, start long, length int, ids binary, task long, nth long, at long"
 
     def run(batches):
-        encode, nth, task = Encoder(tokenizer), Counter(), TaskContext.get().partitionId()
+        encode, nth, task, last = Encoder(tokenizer), Counter(), TaskContext.get().partitionId(), None
         for b in batches:
-            cols = ([], [], [], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            cols = ([], [], [], [], [], [], [], [])
+            for doc, text, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                if at is not None and (last is None or at != last + 1):
+                    nth, task = Counter(), at
+                last = at
                 ids = np.array([*encode(text.as_py() or ""), end], "<u4")
                 cut = len(ids) % size or size
                 ends = range(cut, len(ids) + 1, size)
                 for k, e in enumerate(ends):
                     s = 0 if k == 0 else e - size
-                    for c, v in zip(cols, (doc, k, s, e - s, ids[s:e].tobytes(), task, nth[e - s]), strict=True):
+                    for c, v in zip(cols, (doc, k, s, e - s, ids[s:e].tobytes(), task, nth[e - s], at), strict=True):
                         c.append(v)
                     nth[e - s] += 1
                 if len(cols[0]) >= 4096:
                     yield _batch(cols)
-                    cols = ([], [], [], [], [], [], [])
+                    cols = ([], [], [], [], [], [], [], [])
             if cols[0]:
                 yield _batch(cols)
 
     def _batch(cols):
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids", "task", "nth"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids", "task", "nth", "at"])
+
+    return written(docs.select(F.col("doc_id").cast("long"), "text", (F.lit(None) if order is None else order).cast("long").alias("at")).mapInArrow(run, schema), "pieces")
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "pieces")
+
+def file_order(docs: DataFrame) -> Column:
+    """The place of a row in the Parquet files that docs were read from: their part number, then the row's number."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
     """pieces() with their place: doc_id, piece, start, length, ids, sequence_id, offset. Ids that aren't selected aren't read."""
-    spark = docs.sparkSession
-    made = pieces(docs, tokenizer, size, end)
+    return _place(pieces(docs, tokenizer, size, end), size, 1).drop("at")
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, order: Column, ids: Column, size: int = SIZE, end: int = END, rounds: int = 32) -> DataFrame:
+    """Like pack(), with sequences numbered by their earliest piece in the order, and ids taken as given before rows are shuffled.
+
+    Pieces of a length are used in the order, and each pattern's uses are spread over ``rounds``, so that a sequence's pieces come from
+    about the same part of the order.
+    """
+    placed = _place(pieces(docs, tokenizer, size, end, order), size, rounds)
+    placed = written(placed.withColumn("ids", ids), "pieces-placed")
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    firsts = placed.groupBy("sequence_id").agg(F.min(F.struct("at", "piece")).alias("first")).repartitionByRange(parts, "first", "sequence_id").sortWithinPartitions("first", "sequence_id")
+
+    def number(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(n, n + b.num_rows))], ["old", "part", "nth"])
+            n += b.num_rows
+
+    numbered = written(firsts.select("sequence_id").mapInArrow(number, "old long, part int, nth long"), "sequence-order")
+    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    numbers = numbered.join(F.broadcast(before), "part").select(F.col("old").alias("sequence_id"), (F.col("before") + F.col("nth")).alias("number"))
+    return placed.join(numbers, "sequence_id").select("doc_id", "piece", "start", "length", "ids", F.col("number").alias("sequence_id"), "offset")
+
+
+def _place(made: DataFrame, size: int, rounds: int) -> DataFrame:
+    """pack()'s columns and at, of the written pieces."""
+    spark = made.sparkSession
     by_task = written(made.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
-    table = spark.createDataFrame(slots(plan(counts, size)), "length int, lo long, hi long, first long, offset long")
+    table = spark.createDataFrame(slots(plan(counts, size), rounds), "length int, lo long, hi long, first long, offset long")
     running = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("task", "length", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
     ranked = made.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return placed.select("doc_id", "piece", "start", ranked["length"].cast("long").alias("length"), "ids", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    return placed.select("doc_id", "piece", "start", ranked["length"].cast("long").alias("length"), "ids", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", "at")
 
 
 def sequences(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
