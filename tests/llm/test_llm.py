@@ -253,6 +253,20 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_dense_group(spark):
+    """Vectors at cosine 0.8 of each other, of which pairs at 0.91 must be found though few bits part the group."""
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=64)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(center) * 0.8**0.5 + unit(rng.normal(size=(1500, 64))) * 0.2**0.5)
+    y = unit(x[:300] + unit(rng.normal(size=(300, 64))) * 0.42)
+    v = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "rep long, vec array<double>")
+    found = {(r["a"], r["b"]) for r in embedding_dedup.near_pairs(df, 0.9, window=32).collect()}
+    true = set(zip(*(k.tolist() for k in np.nonzero(np.triu(v @ v.T >= 0.9, 1))), strict=True))
+    assert len(true) >= 100 and found <= true and len(found) >= 0.97 * len(true)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs, block=2).collect()
     assert len(rows) == docs.count()

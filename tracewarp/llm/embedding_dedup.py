@@ -3,8 +3,10 @@
 Each pass orders the distinct vectors lexicographically by the signs of its own random hyperplanes, so near vectors
 tend to stand together. The order is cut into windows of ``window`` rows that overlap by half; rows of a window are
 compared with each other, and the links found are united across passes. A row's rank in the order comes from its place
-in its range partition and the partitions' sizes. The number of passes follows the number of vectors, so that two
-vectors exactly at the threshold meet in some pass with probability ``recall``; closer ones meet more often.
+in its range partition and the partitions' sizes. The first passes are as many as evenly spread vectors need. A dense group
+of vectors that aren't links of each other needs more, as a bit parts few of them: the links found of up to ``probe``
+vectors are held against all their links, and passes are added until ``recall`` of these are found. Where so many would be
+needed that all pairs cost no more, all pairs are compared, tile by tile.
 
 A group of near copies may fill whole windows. Vectors with at least a quarter of a window's links are crowded; those of
 one component are dealt into tiles of about half a window, and every two tiles are compared, so that no link between
@@ -83,10 +85,60 @@ def _places(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), nth, *(b.column(c) for c in ("pass", "size", "rep", "vec"))], ["part", "nth", "pass", "size", "rep", "vec"])
 
 
-def near_pairs(reps: DataFrame, threshold: float, window: int = 1024, recall: float = 0.98, seed: int = 11) -> DataFrame:
+def near_pairs(reps: DataFrame, threshold: float, window: int = 1024, recall: float = 0.98, seed: int = 11, probe: int = 4096) -> DataFrame:
     """Distinct verified links (a, b), a < b, among rows (rep, vec) of unit vectors."""
     reps = written(reps.select("rep", "vec"), "vector-reps")
-    passes = passes_for(reps.count(), threshold, window, recall)
+    n = reps.count()
+    passes = passes_for(n, threshold, window, recall)
+    pairs = written(_met(reps, passes, threshold, window, seed), "vector-met")
+    truth = written(probed_links(reps, threshold, probe), "vector-probed")
+    while (met := recall_of(truth, pairs)) < recall:
+        more = max(1, math.ceil(passes * (math.log(1 - recall) / math.log(1 - met) - 1))) if met > 0 else passes
+        if passes + more > n / (2 * window):
+            everyone = reps.select("rep", "vec", F.lit(0).cast("long").alias("component_id"))
+            return written(_tile_pairs(everyone, threshold, window), "vector-tiles")
+        passes, seed = passes + more, seed + 1
+        pairs = written(pairs.unionByName(_met(reps, more, threshold, window, seed)).distinct(), "vector-met")
+    return pairs
+
+
+def probed_links(reps: DataFrame, threshold: float, probe: int) -> DataFrame:
+    """All links (a, b, of) of at most ``probe`` vectors, the smallest by a hash of their id; of is the probed one."""
+    some = reps.orderBy(F.xxhash64("rep"), "rep").limit(probe).collect()
+    known = {}
+    for size in {len(r["vec"]) for r in some}:
+        these = [r for r in some if len(r["vec"]) == size]
+        known[size] = np.array([r["rep"] for r in these], np.int64), np.array([r["vec"] for r in these], float)
+
+    def run(batches):
+        for batch in batches:
+            ids, vec = batch.column("rep").to_numpy(), batch.column("vec").to_pylist()
+            sizes = np.array([len(v) for v in vec])
+            for size in np.unique(sizes):
+                if int(size) not in known:
+                    continue
+                at = np.flatnonzero(sizes == size)
+                of, x = known[int(size)]
+                for k in range(0, len(at), 1024):
+                    part = at[k : k + 1024]
+                    i, j = np.nonzero(np.array([vec[v] for v in part]) @ x.T >= threshold)
+                    one, two = ids[part][i], of[j]
+                    differ = one != two
+                    one, two = one[differ], two[differ]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(two)], ["a", "b", "of"])
+
+    return reps.mapInArrow(run, "a long, b long, of long")
+
+
+def recall_of(truth: DataFrame, pairs: DataFrame) -> float:
+    """The share of truth's links that pairs have, or the mean of the probed vectors' shares if that is less."""
+    held = truth.join(pairs.withColumn("met", F.lit(1)), ["a", "b"], "left").groupBy("of").agg(F.count("met").alias("met"), F.count(F.lit(1)).alias("n"))
+    r = held.agg((F.sum("met") / F.sum("n")).alias("links"), F.avg(F.col("met") / F.col("n")).alias("vectors")).first()
+    return 1.0 if r["links"] is None else min(r["links"], r["vectors"])
+
+
+def _met(reps: DataFrame, passes: int, threshold: float, window: int, seed: int) -> DataFrame:
+    """The links that meet in a window of some pass."""
 
     def compare(table: pa.Table) -> pa.Table:
         p, size, rep = (table[c].to_numpy() for c in ("pass", "size", "rep"))
@@ -111,8 +163,13 @@ def crowded_pairs(reps: DataFrame, pairs: DataFrame, threshold: float, window: i
         return pairs.limit(0)
     found = components(pairs, name="vector-crowds").withColumnRenamed("node", "rep")
     crowd = written(crowd.join(found, "rep"), "vector-crowd-members")
-    tiles = crowd.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / (window // 2)).cast("int").alias("tiles"))
-    dealt = crowd.join(tiles, "component_id").join(reps.select("rep", "vec"), "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
+    return _tile_pairs(crowd.join(reps.select("rep", "vec"), "rep"), threshold, window)
+
+
+def _tile_pairs(members: DataFrame, threshold: float, window: int) -> DataFrame:
+    """All links (a, b) inside each component of rows (rep, vec, component_id)."""
+    tiles = members.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / (window // 2)).cast("int").alias("tiles"))
+    dealt = members.join(F.broadcast(tiles), "component_id").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     dealt = dealt.select("component_id", "tile", "rep", "vec", other).withColumns({"one": F.least("tile", "other"), "two": F.greatest("tile", "other")})
 
