@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,46 +15,100 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is set only where none is, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracewarp-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: What has been written and not removed: (path, table or None), with an open list for each scratch() around the code that runs.
+_open: list[list[tuple[str, str | None]]] = [[]]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracewarp/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tracewarp/{name}-{uuid.uuid4().hex[:12]}"
+    _open[-1].append((path, None))
+    return path
+
+
+def remove(spark: SparkSession, things: list[tuple[str, str | None]]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path, table in things:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the intermediate tables written inside, when left. Results that outlive it must be written before with keep()."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _open.pop())
+
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """written(), for the code outside of the innermost scratch()."""
+    _open.append([])
+    try:
+        return written(df, name)
+    finally:
+        made = _open.pop()
+        _open[-2 if len(_open) > 1 else -1].extend(made)
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+
+def release(spark: SparkSession) -> None:
+    """Removes all that operators have written for this session's lazy results. These can't be read afterwards."""
+    for made in _open:
+        remove(spark, made)
+        made.clear()
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation. ``by`` parts its files."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", compression)
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, key: str, compression: str = "zstd") -> DataFrame:
     """Like written(), with rows in buckets of key, so that grouping by key later needs no shuffle of these rows."""
     spark = df.sparkSession
-    table = f"tracewarp_{uuid.uuid4().hex}"
+    table, path = f"tracewarp_{uuid.uuid4().hex}", new_path(spark, name)
+    _open[-1].append((path, table))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = df.write.option("path", new_path(spark, name)).option("compression", compression)
+    out = df.write.option("path", path).option("compression", compression)
     out.bucketBy(parts, key).saveAsTable(table)
     return spark.table(table)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no helper column meets a caller's name."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+
+
+def unpacked(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of a whole(), with those named replaced or added."""
+    same = [new.pop(c).alias(c) if c in new else F.col(f"whole.`{c}`").alias(c) for c in docs.columns]
+    return [*same, *(v.alias(k) for k, v in new.items())]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else kept. Spark's lower() is right, and quicker, where every character is ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Equality of keys that also matches null with null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
+def bound(array: Column, body) -> Column:
+    """body(array) with the array computed once: it becomes a lambda's variable."""
+    return F.get(F.transform(F.array(array), body), F.lit(0))
 
 
 def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "left", most: int = 1000, least: int = 64) -> DataFrame:
@@ -96,6 +151,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         moved = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-s{n}")
         now, n = sign(e), n + 1
+        remove(spark, _open[-1][-3:-1])  # the last round's table, and this one's first half
+        del _open[-1][-3:-1]
         if now == last:
             break
         last = now

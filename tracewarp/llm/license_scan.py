@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, bound, written
 
 WORDS = 5
 
@@ -46,11 +46,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bound(array: Column, body) -> Column:
-    """body(array) with the array computed once: it becomes a lambda's variable."""
-    return F.get(F.transform(F.array(array), body), F.lit(0))
-
-
 def shingles(array: Column) -> Column:
     """XXH64 of every five words in a row; none if there are fewer."""
 

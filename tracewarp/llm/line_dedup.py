@@ -7,7 +7,9 @@ into one of the next level, and the keys that reach the limit move to the settle
 levels settles every key. Document text never enters the store; a run has 24 bytes a key.
 
 Defined results: a null text is one empty line; an empty key is never dropped; a document is a doc_id, so repeated
-rows count once and each gets its own result; rows with a null doc_id count as one document. Extra columns are kept.
+rows count once and each gets its own result; rows with a null doc_id count as one document. A line found in exactly
+min_docs documents is dropped. Texts of any length are split whole, with work linear in their lines. Extra columns are
+kept whatever their names, but for n_lines and n_dropped, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, new_path, skew_join, written
+from .common import BLANKS, ascii_lower, bound, new_path, skew_join, unpacked, whole, written
 
 KEY = ["h1", "h2"]
 
@@ -75,25 +77,34 @@ class LineRuns:
         return self._read(self.settled).select(*KEY)
 
 
+def without(lines: Column, drop: Column) -> Column:
+    """An array without the places in drop (sorted): the runs between them, so that the work is linear in both."""
+    ends = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
+    runs = F.transform(F.sequence(F.lit(1), F.size(drop) + 1), lambda k: F.slice(lines, F.element_at(ends, k) + 2, F.element_at(ends, k + 1) - F.element_at(ends, k) - 1))
+    return F.flatten(runs)
+
+
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 5, fanout: int = 4) -> DataFrame:
-    """docs without the lines whose key is in at least min_docs documents; adds n_lines and n_dropped."""
+    """docs without the lines whose key is in at least min_docs documents; n_lines and n_dropped are added, or replaced where docs have them."""
     spark = docs.sparkSession
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    row_key = [F.col("doc_id"), F.xxhash64("text").alias("_tx")]
+    row_key = [F.col("doc_id"), F.xxhash64("text").alias("tx")]
     keys = docs.select(*row_key, F.posexplode(F.transform(lines, line_key)).alias("pos", "key")).where(F.char_length("key") >= min_chars)
-    keys = written(keys.select("doc_id", "_tx", "pos", *key_hash(F.col("key")), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")), "line-keys")
+    keys = keys.select("doc_id", "tx", "pos", *key_hash(F.col("key")), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+    keys = written(keys, "line-keys", by="batch")
     runs = LineRuns(spark, min_docs, fanout)
     for k in range(batches):
         batch = keys.where(F.col("batch") == k).select(*KEY, "doc_id").distinct()
         runs.add(batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")))
-    hits = skew_join(keys.select("doc_id", "_tx", "pos", *KEY), runs.repeated(), KEY, "inner")
-    drops = hits.groupBy("doc_id", "_tx").agg(F.collect_set("pos").alias("_drop")).withColumnsRenamed({"doc_id": "_id", "_tx": "_h"})
-    out = docs.withColumn("_tx", F.xxhash64("text"))
-    out = out.join(drops, out["doc_id"].eqNullSafe(drops["_id"]) & (out["_tx"] == drops["_h"]), "left")
-    kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n"))
-    n_dropped = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return out.select(*others, kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+    hits = skew_join(keys.select("doc_id", "tx", "pos", *KEY), runs.repeated(), KEY, "inner")
+    drops = hits.groupBy("doc_id", "tx").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    rows = docs.select(whole(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    out = rows.join(drops, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tx")), "left")
+    text = F.coalesce("whole.text", F.lit(""))
+    lines = F.split(text, "\n")
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(bound(lines, lambda x: without(x, F.col("drop"))), "\n"))
+    n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
+    return out.select(*unpacked(docs, text=kept, n_lines=F.size(lines).cast("long"), n_dropped=n_dropped))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
