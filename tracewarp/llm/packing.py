@@ -3,8 +3,8 @@
 Documents become pieces of at most ``size`` tokens. Only the count of pieces of each length matters for the plan, so the
 plan is made from at most ``size`` numbers, whatever the corpus. Lengths are taken from the longest down; the gap that
 a length leaves is looked up among single lengths, pair sums and triple sums of what is still available, and an exact
-combination is consumed as often as its counts allow. What finds no exact complement is filled by best fit. Every step
-uses up at least one length, so the plan has a few thousand patterns at most: a table of slots (length, first rank, end
+combination is consumed as often as its counts allow. What finds no exact complement is filled by best fit: the residual
+lengths whose sum comes closest to the gap. Every step uses up at least one length, so the plan has a few thousand patterns at most: a table of slots (length, first rank, end
 rank, first sequence, offset) whose size is bounded by ``size`` and not by the data.
 
 Each piece then needs its rank among the pieces of its length. A written table of pieces has one row a piece with the
@@ -13,7 +13,8 @@ by a running sum. Pieces and slots meet in a broadcast join on length. Token ids
 table, and only (doc_id, piece, length) is shuffled.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed once each; a document longer
-than ``size`` is cut into pieces of ``size``, of which the first takes the remainder.
+than ``size``, however long, is cut into pieces of ``size``, of which the first takes the remainder; pieces of equal length
+are taken in the order of their rows; an empty table gives no sequence. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -35,55 +36,95 @@ SIZE, END = 1024, 2
 _LONG = re.compile(r"\S{400}|\s{400}")
 
 
+class Sums:
+    """An index of what adds up to each sum: single lengths, pairs, and triples as a length with a pair's sum.
+
+    Entries name lengths, not pieces; one is dropped for good when it is met after its lengths have been used up, as counts
+    only fall. Pairs have the more even lengths last, triples the longer single last: these are consumed first.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, size = left, len(left) - 1
+        some = [int(x) for x in np.flatnonzero(left)]
+        self.pairs: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+        for b in reversed(some):
+            for a in some:
+                if a > b or a + b > size:
+                    break
+                self.pairs[a + b].append((a, b))
+        self.triples: list[list[int]] = [[] for _ in range(size + 1)]
+        sums = [k for k in range(2, size + 1) if self.pairs[k]]
+        for x in some:
+            for k in sums:
+                if x + k > size:
+                    break
+                self.triples[x + k].append(x)
+
+    def has(self, *lengths: int) -> bool:
+        return all(self.left[x] >= k for x, k in Counter(lengths).items())
+
+    def pair(self, total: int, *taken: int) -> tuple[int, ...] | None:
+        entries = self.pairs[total]
+        while entries and not self.has(*entries[-1]):
+            entries.pop()
+        return next(((b, a) for a, b in reversed(entries) if self.has(a, b, *taken)), None)
+
+    def find(self, total: int, *taken: int) -> tuple[int, ...] | None:
+        """The combination that adds up to total and is there beside the lengths taken."""
+        if self.has(total, *taken):
+            return (total,)
+        if found := self.pair(total, *taken):
+            return found
+        entries = self.triples[total]
+        for at in range(len(entries) - 1, -1, -1):
+            x = entries[at]
+            if self.has(x, *taken) and (found := self.pair(total - x, x, *taken)):
+                return (x, *found)
+            if not self.left[x] or not self.pairs[total - x]:
+                entries.pop(at)
+        return None
+
+
+def fullest(left: np.ndarray, gap: int) -> list[int]:
+    """Available lengths that fill as much of a gap as any do (subset sums over counts), long ones first."""
+    reach = 1
+    mask, steps = (1 << gap + 1) - 1, []
+    for x in (int(x) for x in np.flatnonzero(left[: gap + 1])[::-1]):
+        n, k = min(int(left[x]), gap // x), 1
+        while n:  # binary parts of the count
+            k = min(k, n)
+            steps.append((x, k, reach))
+            reach |= (reach << x * k) & mask
+            n, k = n - k, k * 2
+        if reach >> gap & 1:
+            break
+    at, out = reach.bit_length() - 1, []
+    for x, k, before in reversed(steps):
+        if not before >> at & 1:
+            out += [x] * k
+            at -= x * k
+    return sorted(out, reverse=True)
+
+
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
     """Patterns (how often, lengths) that use up counts; no pattern's lengths sum to over size."""
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    patterns = []
-
-    def take(lengths: list[int]) -> None:
-        times = min(left[x] // k for x, k in Counter(lengths).items())
-        for x in lengths:
-            left[x] -= times
-        patterns.append((int(times), lengths))
-
-    def fits(*lengths: int) -> bool:
-        return all(left[x] >= k for x, k in Counter(lengths).items())
-
-    def pair(first: list[int], gap: int, most: int) -> list[int] | None:
-        low = max(1, gap - min(most, gap - 1))
-        a = np.arange(gap // 2, low - 1, -1) if gap >= 2 else np.zeros(0, int)
-        for x in a[(left[a] > 0) & (left[gap - a] > 0)]:
-            if fits(*first, int(gap - x), int(x)):
-                return [*first, int(gap - x), int(x)]
-        return None
-
-    def complement(first: int) -> list[int] | None:
-        gap = size - first
-        if fits(first, gap) if gap else left[first]:
-            return [first, gap] if gap else [first]
-        if found := pair([first], gap, gap):
-            return found
-        some = np.flatnonzero(left[: max(gap - 1, 1)])[::-1]
-        for x in some:
-            if x >= 1 and fits(first, int(x)) and (found := pair([first, int(x)], gap - int(x), int(x))):
-                return found
-        return None
-
+    sums, patterns = Sums(left), []
     for first in range(size, 0, -1):
         while left[first]:
-            if found := complement(first):
-                take(found)
-                continue
-            lengths, gap = [first], size - first
-            while gap and (some := np.flatnonzero(left[1 : gap + 1])).size:
-                option = next((int(x) + 1 for x in some[::-1] if fits(*lengths, int(x) + 1)), None)
-                if option is None:
-                    break
-                lengths.append(option)
-                gap -= option
-            take(lengths)
+            gap = size - first
+            more = sums.find(gap, first) if gap else ()
+            if more is None:
+                left[first] -= 1
+                more = tuple(fullest(left, gap))
+                left[first] += 1
+            lengths = [first, *more]
+            times = min(int(left[x]) // k for x, k in Counter(lengths).items())
+            for x in lengths:
+                left[x] -= times
+            patterns.append((times, lengths))
     return patterns
 
 
