@@ -1,108 +1,142 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame operations only.
 
-Rows of a source are numbered and cut into blocks. Target weights become whole slots of a period (by largest
-remainders, one slot at least). In slot units, block j of a source with weight w is released at floor(j / w) and due at
-ceil((j + 1) / w); each slot goes to the released block that is due first. The schedule of one period returns every
-source to its exact share, so it repeats: the period, whose length depends on the number of sources only, is worked out
-once, and a block finds its slot by its number: full periods before it, and its place inside the period. At every slot
-a source has had its share, within less than one block, for as long as no source has run out; a source that runs out
-leaves its slots empty, and the others keep their order. Every row is scheduled once: none is dropped or repeated.
+Rows of a source are numbered and cut into blocks. A fluid schedule serves all sources at once in proportion to their
+weights; a source that runs out leaves its part to the others. Block j of source i lies in it between virtual times j / w
+and (j + 1) / w, and by virtual time v the fluid schedule has served sum over k of min(w[k] v, blocks[k]) slots. A block is
+released at the floor of that sum at its start and due at the ceiling of that at its end; each slot goes to the released
+block that is due first. Weights are whole numbers (shares of 2 ** 40), so releases and deadlines are exact, and no
+remainder is lost however long the schedule is: at every slot a source has had its fluid share within less than one
+block. No slot stays empty. Every row is scheduled once: none is dropped or repeated.
+
+The schedule has at most about ``most_slots`` slots: blocks hold ``block`` rows, and more where the table has more rows than
+that. So that long blocks mix as finely as short ones, the rows of ``STRIPE`` successive slots take turns: the first row of
+each, then the second of each, and so on. place is that order.
 
 Numbers inside a source come from buckets of its rows, so that a source with a third of all rows isn't one task: a row
-number within (source, bucket) plus the sizes of the buckets before it.
+number within (source, bucket) plus the sizes of the buckets before it. Their number follows the table's size. Where
+there are more than ``most_sources`` sources, those with the smallest weights are scheduled as one: it has their weights'
+sum, and its rows stand in the order of their own virtual times, numbered through buckets of that time.
 
 Defined results: rows with a null source are a source of their own; repeated rows are numbered one by one; ties are
-broken by doc_id and then by the hash of the text; sources without a given weight get ``others``.
+broken by doc_id and then by the hash of the text; sources without a given weight get ``others``; weights of zero or
+less are an error; an empty table gives an empty schedule; texts of any length are only hashed.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
-BUCKETS = 256
-
-
-def whole_slots(weights: dict, period: int) -> dict:
-    """Weights as whole numbers of slots, one at least, that sum to period."""
-    total = sum(weights.values())
-    exact = {k: max(1.0, w / total * period) for k, w in weights.items()}
-    slots = {k: int(x) for k, x in exact.items()}
-    order = sorted(weights, key=lambda k: (slots[k] - exact[k], str(k)))
-    rest = period - sum(slots.values())
-    for k in order[: max(0, rest)]:
-        slots[k] += 1
-    for k in sorted(weights, key=lambda k: (-slots[k], str(k))) * (1 + max(0, -rest)):
-        if sum(slots.values()) > period and slots[k] > 1:
-            slots[k] -= 1
-    return slots
-
-
-def one_period(slots: dict) -> list[tuple]:
-    """(source, number of the block within the period, slot) for each slot: earliest deadline first among released blocks."""
-    period, given, out = sum(slots.values()), dict.fromkeys(slots, 0), []
-    for t in range(period):
-        ready = []
-        for k, a in slots.items():
-            j = given[k]
-            if j < a and Fraction(j * period, a) // 1 <= t:
-                ready.append((math.ceil(Fraction((j + 1) * period, a)), Fraction((j + 1) * period, a), str(k), k))
-        _, _, _, k = min(ready)
-        out.append((k, given[k], t))
-        given[k] += 1
+from .common import unpacked, whole, written
+
+SHARES, STRIPE, BUCKET_ROWS = 1 << 40, 1024, 100_000
+
+
+def whole_weights(weights: list[float]) -> list[int]:
+    """Weights as whole numbers, one at least, that sum to about SHARES."""
+    if any(not w > 0 for w in weights):
+        raise ValueError("weights must be positive")
+    total = math.fsum(weights)
+    return [max(1, round(w / total * SHARES)) for w in weights]
+
+
+def schedule(weights: list[int], blocks: list[int]) -> list[tuple[int, int]]:
+    """(source, block) of each slot: among the released blocks, the one due first."""
+    order = sorted((i for i in range(len(weights)) if blocks[i]), key=lambda i: blocks[i] / weights[i])
+    active, gone = [0] * (len(order) + 1), [0] * (len(order) + 1)  # weight still there, and blocks of those gone, after so many ends
+    active[0] = sum(weights[i] for i in order)
+    for k, i in enumerate(order):
+        active[k + 1], gone[k + 1] = active[k] - weights[i], gone[k] + blocks[i]
+    ended = dict.fromkeys(order, 0)
+
+    def served(i: int, j: int) -> tuple[int, int]:
+        """The fluid schedule's slots when source i has had j blocks, rounded down and up."""
+        k = ended[i]
+        while order[k] != i and blocks[order[k]] * weights[i] <= j * weights[order[k]]:
+            k += 1
+        ended[i] = k
+        over = j * active[k]
+        return gone[k] + over // weights[i], gone[k] - (-over // weights[i])
+
+    released, due, out = [(0, i, 0) for i in order], [], []
+    for t in range(sum(blocks)):
+        while released and released[0][0] <= t:
+            _, i, j = heapq.heappop(released)
+            low, high = served(i, j + 1)
+            heapq.heappush(due, (high, i, j, low))
+        _, i, j, low = heapq.heappop(due)
+        out.append((i, j))
+        if j + 1 < blocks[i]:
+            heapq.heappush(released, (low, i, j + 1))
     return out
 
 
-def target_weights(counts: dict, power: float = 0.5) -> dict:
-    """Weights in proportion to a power of the sources' sizes: below 1, small sources gain."""
-    return {k: n**power for k, n in counts.items()}
+def _numbered(rows: DataFrame, group: str, bucket: str, by: list[str], name: str) -> DataFrame:
+    """rows with number: their place in their group, in the order of bucket and then of the columns by. Null is a group."""
+    sizes = written(rows.groupBy(group, bucket).agg(F.count(F.lit(1)).alias("n")), f"{name}-sizes")
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(group).alias("og"), F.col(bucket).alias("ob"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group, bucket).orderBy(*by)) - 1)
+    both = inside.join(offsets, F.col(group).eqNullSafe(F.col("og")) & (F.col(bucket) == F.col("ob")))
+    return both.select(*rows.columns, (F.col("ahead") + F.col("nth")).alias("number"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = 8, others: float | None = None) -> DataFrame:
-    """docs with block (long, within its source) and slot (long): the schedule is the order of (slot, nth). Adds nth, the row's place in its block."""
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = 8, others: float | None = None, most_slots: int = 1 << 20, most_sources: int = 4096) -> DataFrame:
+    """doc_id, source, tie, block, nth (the row's place in its block), slot and place (the order of the mixed rows).
+
+    Without weights, these are in proportion to a power of the sources' sizes: below 1, small sources gain.
+    """
     spark = docs.sparkSession
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
-    light = docs.select("doc_id", "source", tie.alias("_tie")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(BUCKETS)))
-    light = written(light, "mix-rows")
-    sizes = written(light.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "mix-sizes")
-    counts = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("_n").alias("n")).collect()}  # a row a source
+    rows = written(docs.select("doc_id", "source", tie.alias("tie")), "mix-rows")
+    total = rows.count()
+    buckets = max(64, math.ceil(total / BUCKET_ROWS))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
+    sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        weights = target_weights(counts, power)
-    known = [w for k, w in weights.items() if k in counts]
-    fill = others if others is not None else min(known, default=1.0)
-    active = {k: weights.get(k, fill) for k in counts}
-    slots = whole_slots(active, max(1024, 1 << (16 * len(active) - 1).bit_length())) if active else {}
-    period = sum(slots.values())
-    table = F.broadcast(spark.createDataFrame([(k, slots[k], j, t) for k, j, t in one_period(slots)], "_s string, _share int, _j int, _t int"))  # a row a slot
-    shares = F.broadcast(spark.createDataFrame(list(slots.items()), "_k string, _a int"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("source").alias("_os"), F.col("_bucket").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("doc_id", "_tie")
-    ranked = light.withColumn("_row", F.row_number().over(inside) - 1)
-    ranked = ranked.join(offsets, ranked["source"].eqNullSafe(offsets["_os"]) & (ranked["_bucket"] == offsets["_ob"]))
-    number = F.col("_before") + F.col("_row")
-    ranked = ranked.withColumns({"block": F.floor(number / block).cast("long"), "nth": F.pmod(number, F.lit(block)).cast("int")})
-    ranked = ranked.join(shares, F.col("source").eqNullSafe(F.col("_k")))
-    placed = ranked.join(table, F.col("source").eqNullSafe(F.col("_s")) & (F.pmod("block", "_a") == F.col("_j")))
-    return placed.select("doc_id", "source", "_tie", "block", "nth", (F.floor(F.col("block") / F.col("_a")) * period + F.col("_t")).cast("long").alias("slot"))
+        sources = sources.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
+    else:
+        given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "gs string, gw double")
+        fill = others if others is not None else min(weights.values(), default=1.0)
+        sources = sources.join(given, F.col("source").eqNullSafe(F.col("gs")), "left").select("source", "n", F.coalesce("gw", F.lit(float(fill))).alias("weight"))
+    sources = written(sources, "mix-sources")
+    top = sources.orderBy(F.desc("weight"), "source").limit(most_sources).collect()
+    size = max(block, math.ceil(total / most_slots))
+    numbered = _numbered(rows, "source", "bucket", ["doc_id", "tie"], "mix")
+    names = [(r["source"], i) for i, r in enumerate(top)]
+    heavy = F.broadcast(spark.createDataFrame(names, "hs string, queue int"))  # most_sources rows at most
+    rest = len(top)
+    blocks, shares = [-(-r["n"] // size) for r in top], [r["weight"] for r in top]
+    queued = numbered.join(heavy, F.col("source").eqNullSafe(F.col("hs")), "left").drop("hs", "bucket")
+    if rest == most_sources and (tail := sources.agg(F.sum("weight"), F.sum("n"), F.count(F.lit(1)), F.max(F.col("n") / F.col("weight"))).first())[2] > rest:
+        queued = written(queued, "mix-queued")
+        many = queued.where("queue is null").join(sources.select(F.col("source").alias("ss"), "weight"), F.col("source").eqNullSafe(F.col("ss")))
+        many = many.withColumn("time", (F.col("number") + 0.5) / F.col("weight")).withColumn("queue", F.lit(rest))
+        many = many.withColumn("span", F.least(F.floor(F.col("time") / F.lit(tail[3]) * buckets), F.lit(buckets - 1))).drop("ss", "weight", "number")
+        many = _numbered(many, "queue", "span", ["time", "doc_id", "tie"], "mix-tail").drop("time", "span")
+        queued = queued.where("queue is not null").unionByName(many)
+        blocks.append(-(-(tail[1] - sum(r["n"] for r in top)) // size))
+        shares.append(tail[0] - math.fsum(shares))
+    slots = [(i, j, t) for t, (i, j) in enumerate(schedule(whole_weights(shares), blocks))] if top else []
+    table = F.broadcast(spark.createDataFrame(slots, "sq int, sb long, slot long"))  # most_slots + most_sources + 1 rows at most
+    queued = queued.withColumns({"block": F.floor(F.col("number") / size).cast("long"), "nth": F.pmod("number", F.lit(size)).cast("int")})
+    placed = queued.join(table, (F.col("queue") == F.col("sq")) & (F.col("block") == F.col("sb")))
+    place = (F.floor(F.col("slot") / STRIPE) * size + F.col("nth")) * STRIPE + F.pmod("slot", F.lit(STRIPE))
+    return placed.select("doc_id", "source", "tie", "block", "nth", "slot", place.cast("long").alias("place"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs in the order of the schedule: range-partitioned and sorted by it, so that files written from it keep it."""
-    spark = docs.sparkSession
-    order = mix(docs, **options)
-    keyed = docs.withColumn("_tie", F.xxhash64("text"))
-    order = order.withColumnsRenamed({"doc_id": "_id", "_tie": "_h"}).drop("source").dropDuplicates(["_id", "_h"])
-    both = keyed.join(order, keyed["doc_id"].eqNullSafe(order["_id"]) & (keyed["_tie"] == order["_h"]))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return both.repartitionByRange(parts, "slot", "nth").sortWithinPartitions("slot", "nth", "doc_id").select(*docs.columns)
+    order = mix(docs, **options).select(F.col("doc_id").alias("id"), F.col("tie").alias("hash"), "place").dropDuplicates(["id", "hash"])
+    rows = docs.select(whole(docs), F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie"))
+    both = rows.join(order, F.col("key").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("hash")))
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartitionByRange(parts, "place").sortWithinPartitions("place", "key").select(*unpacked(docs))
 
 
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "block", "nth", "slot")
+    return mix(docs).select("doc_id", "source", "block", "nth", "slot", "place")
