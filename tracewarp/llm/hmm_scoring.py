@@ -2,19 +2,22 @@
 
 The model factors a text exactly: P(text) = P(group sequence) * product of P(token | its group). Each of the ``heads``
 most frequent training tokens is a group of its own; every other token, known or not, belongs to one of ``tails``
-groups by its last bytes. Latent states emit groups, so their parameters have a fixed size whatever the vocabulary; the
+groups by its last bytes. Latent states emit groups. Heads and tails grow with the square root of the training tokens, so
+that the states tell more tokens apart in a larger corpus while their parameters can still be sent to every task; the
 token counts inside the groups cover the whole training corpus and grow with it. Inside a tail group, absolute
 discounting moves mass from known tokens to unknown ones.
 
 One pass tokenizes the texts into chunks: each chunk has a dictionary of its distinct tokens with their training counts
-and its documents as sequences of dictionary positions. A window over the dictionaries' tokens gives corpus counts; the
-rows then go back to their chunk, where a co-grouped task scores the base model and rewrites the documents as group
+and its documents as sequences of dictionary positions. Sums over the dictionaries' tokens give corpus counts; these
+go back to the chunks, where a co-grouped task scores the base model and rewrites the documents as group
 ids. Baum-Welch runs over these: every task adds up its expected counts, a grouped sum over groups merges them (at most
-heads + tails rows, whatever the corpus), and the driver normalises that fixed-size table. The last pass is the scaled
+heads + tails rows), and the driver normalises that fixed-size table. The last pass is the scaled
 forward recursion. Forward and backward steps run over many documents at once, in time-major order.
 
 Defined results: a null or empty text is the end token alone; every row is scored, and repeated rows count as often as
-they occur; rows with a null doc_id are in training; with no training rows N = 0, and the base score is n_tokens * log10(1 / 1).
+they occur; rows with a null doc_id are in training; with no training rows N = 0, and the base score is n_tokens * log10(1 / 1);
+among equally frequent tokens the smaller bytes become heads; texts of any length are one sequence each; an empty table
+gives an empty result. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -86,24 +89,29 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), out, "text").mapInArrow(run, schema), "lm-chunks", "zstd")
 
 
-def _encode(chunks: DataFrame, heads: int, tails: int) -> tuple[DataFrame, np.ndarray, int]:
+def groups_for(n: int) -> tuple[int, int]:
+    """(heads, tails) for n training tokens: both grow with its square root; at most 2**20 heads, 50 MB of emissions for six states."""
+    heads = min(1 << 20, max(1 << 14, math.isqrt(16 * n)))
+    return heads, heads // 16
+
+
+def _encode(chunks: DataFrame, heads: int | None, tails: int | None) -> tuple[DataFrame, np.ndarray, int]:
     """(documents with base scores and group ids, training count of each group, N)."""
     spark = chunks.sparkSession
-    by_token = Window.partitionBy("token")
     words = chunks.where("token is not null").select("chunk", "k", "token", "n")
-    words = words.select("chunk", "k", "token", F.sum("n").over(by_token).alias("c"), (F.row_number().over(by_token.orderBy("chunk")) == 1).alias("first"))
-    words = written(words, "lm-words")
-    vocabulary = words.where("first and c > 0").select("token", "c")
+    vocabulary = written(words.groupBy("token").agg(F.sum("n").alias("c")), "lm-vocabulary")
+    unseen, vocabulary = vocabulary.where("c = 0"), vocabulary.where("c > 0")
     totals = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = totals[0] or 0, totals[1]
+    heads, tails = (given or grown for given, grown in zip((heads, tails), groups_for(n), strict=True))
     level = F.floor(F.log2("c") * 8).cast("int")
     levels = sorted(((r["level"], r["n"]) for r in vocabulary.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 512 rows at most
     above = np.cumsum([x[1] for x in levels])
     least = levels[min(int(np.searchsorted(above, heads)), len(levels) - 1)][0] if levels else 0
     top = vocabulary.where(level >= least).orderBy(F.desc("c"), "token").limit(heads).collect()  # heads rows at most
-    head = spark.createDataFrame([(bytes(r["token"]), i) for i, r in enumerate(top)], "token binary, h int")
+    head = F.broadcast(spark.createDataFrame([(bytes(r["token"]), i, r["c"]) for i, r in enumerate(top)], "token binary, h int, hc long"))
     group = F.coalesce("h", F.lit(heads) + (F.crc32(F.substring("token", -3, 3)) % tails).cast("int"))
-    inside = vocabulary.join(F.broadcast(head), "token", "left").select(group.alias("g"), "c", (F.col("c") == 1).cast("long").alias("one"), (F.col("c") == 2).cast("long").alias("two"), F.col("h").isNotNull().alias("is_head"))
+    inside = vocabulary.join(head, "token", "left").select(group.alias("g"), "c", (F.col("c") == 1).cast("long").alias("one"), (F.col("c") == 2).cast("long").alias("two"), F.col("h").isNotNull().alias("is_head"))
     stats = inside.groupBy("g").agg(F.sum("c").alias("gn"), F.count(F.lit(1)).alias("gv"), F.sum("one").alias("n1"), F.sum("two").alias("n2"), F.max("is_head").alias("is_head")).collect()  # heads + tails rows at most
     tail_ones = sum(r["n1"] for r in stats if not r["is_head"])
     tail_twos = sum(r["n2"] for r in stats if not r["is_head"])
@@ -112,13 +120,16 @@ def _encode(chunks: DataFrame, heads: int, tails: int) -> tuple[DataFrame, np.nd
     for r in stats:
         counts[r["g"]] = r["gn"]
     table = spark.createDataFrame([(r["g"], float(r["gn"]), float(r["gv"])) for r in stats if not r["is_head"]], "g int, gn double, gv double")
-    answers = words.join(F.broadcast(head), "token", "left").select("chunk", "k", "c", group.alias("g"), F.col("h").isNotNull().alias("is_head")).join(F.broadcast(table), "g", "left")
-    logq = F.when(F.col("is_head") | F.col("gn").isNull(), 0.0).when(F.col("c") > 0, F.log10((F.col("c") - share) / F.col("gn"))).otherwise(F.log10(share * F.col("gv") / F.col("gn")))
-    answers = answers.select("chunk", "k", "c", F.col("g").cast("short").alias("g"), logq.cast("double").alias("logq"))
+    # a token in many chunks is frequent, so its answers come by broadcast and only the others are shuffled
+    logq = F.when(F.col("gn").isNull(), 0.0).when(F.col("c") > 0, F.log10((F.col("c") - share) / F.col("gn"))).otherwise(F.log10(share * F.col("gv") / F.col("gn")))
+    known = words.join(head, "token").select("chunk", "k", F.col("hc").alias("c"), F.col("h").alias("g"), F.lit(0.0).alias("logq"))
+    tail = vocabulary.unionByName(unseen).join(head, "token", "left_anti").withColumn("h", F.lit(None).cast("int")).select("token", "c", group.alias("g"))
+    tail = tail.join(F.broadcast(table), "g", "left").select("token", "c", "g", logq.cast("double").alias("logq"))
+    answers = known.unionByName(words.join(head, "token", "left_anti").join(tail, "token").select("chunk", "k", "c", "g", "logq")).withColumnRenamed("chunk", "asker")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         k = right["k"].to_numpy()
-        c, g, q = (np.zeros(len(k), t) for t in (np.int64, np.int16, np.float64))
+        c, g, q = (np.zeros(int(k.max(initial=-1)) + 1, t) for t in (np.int64, np.int32, np.float64))
         for a, name in ((c, "c"), (g, "g"), (q, "logq")):
             a[k] = right[name].to_numpy()
         base = np.log10((c + 1) / (n + v + 1))
@@ -135,7 +146,7 @@ def _encode(chunks: DataFrame, heads: int, tails: int) -> tuple[DataFrame, np.nd
 
     rows = chunks.where("idx is not null").select("chunk", "doc_id", "held_out", "idx")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, ids binary"
-    return written(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema), "lm-groups", "zstd"), counts, n
+    return written(rows.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(score, schema), "lm-groups", "zstd"), counts, n
 
 
 class Model:
@@ -226,7 +237,7 @@ def train(groups: DataFrame, counts: np.ndarray, states: int, rounds: int) -> tu
     def tally(batches, model):
         start, move, emit, ll = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0
         for b in batches:
-            for _, g, _, alive, first in _slabs([np.frombuffer(x, np.int16) for x in b.column(0).to_pylist()]):
+            for _, g, _, alive, first in _slabs([np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]):
                 s, m, e, x = expected(model, g, alive, first)
                 start, move, emit, ll = start + s, move + m, emit + e, ll + x
         some = np.flatnonzero(emit.sum(1))
@@ -250,7 +261,7 @@ def train(groups: DataFrame, counts: np.ndarray, states: int, rounds: int) -> tu
     return model, likelihood
 
 
-def score_documents(docs: DataFrame, states: int = 6, rounds: int = 3, heads: int = 16384, tails: int = 1024, chunk_bytes: int = 32 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = 6, rounds: int = 3, heads: int | None = None, tails: int | None = None, chunk_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     groups, counts, n = _encode(_chunks(docs, chunk_bytes), heads, tails)
     model, _ = train(groups, counts, states, rounds)
@@ -258,7 +269,7 @@ def score_documents(docs: DataFrame, states: int = 6, rounds: int = 3, heads: in
     def run(batches):
         for b in batches:
             ll = np.zeros(b.num_rows)
-            for who, g, owner, alive, first in _slabs([np.frombuffer(x, np.int16) for x in b.column("ids").to_pylist()]):
+            for who, g, owner, alive, first in _slabs([np.frombuffer(x, np.int32) for x in b.column("ids").to_pylist()]):
                 _, scale = forward(model, g, alive, first)
                 ll[who] = np.bincount(owner, np.log(scale), len(who)) / math.log(10)
             total = ll + b.column("inside").to_numpy()
@@ -270,5 +281,3 @@ def score_documents(docs: DataFrame, states: int = 6, rounds: int = 3, heads: in
 
 def op2_hmm_scoring(spark, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-
-

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op8_embedding_dedup": embedding_dedup.ORACLE,
 }
