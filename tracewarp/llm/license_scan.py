@@ -1,15 +1,19 @@
-"""License scans: MinHash bands over overlapping text windows, then exact shingle containment, in SQL functions only.
-
-A text's words are its runs of letters and digits, A-Z lower-cased; shingles are five words. A template of n words is
-sought in windows of n + s - 1 + n // 5 words that start every s = max(1, n // 4) words, so an occurrence lies inside a
-window and the window has few words more. If at least ``containment`` of the template's shingles are in the window, the
-Jaccard similarity is at least a bound that follows from these numbers, and ``bands`` of one row each miss it with a
-probability of at most ``miss``. Windows without any shingle of their template can't match and aren't formed: a bit
-table and the set of all template shingles, both fixed by the templates, find the places first.
-
-Defined results: null, empty and short texts match nothing; a text can match several templates; the best window of each
-template is returned, the first one among equals; repeated rows give one result a doc_id and text. Templates need five
-words at least.
+"""License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies, in SQL functions only.
+
+A text's words are its runs of letters and digits, A-Z lower-cased; shingles are five words. Templates fall into classes by
+length; a class with at most n words has windows of n + s - 1 + n // 5 words that start every s = max(1, n // 4) words of every
+text, so an occurrence of any of its templates lies inside a window and the window has few words more. If at least
+``containment`` of a template's shingles are in a window, their Jaccard similarity is at least a bound that follows from
+these numbers, and ``bands`` of one minimum each miss it with a probability of at most ``miss``.
+
+A window and a template share a band's minimum only if the template's minimal shingle of that band is in the window. So
+the minima of all templates' bands are an index of shingles: all shingles of all texts are looked up there, and the windows that
+hold one get their bands, which join the templates' bands. Other windows can't share a band with any template. Templates,
+index and bands are tables; they are broadcast where they have at most ``BROADCAST`` values.
+
+Defined results: null, empty and short texts match nothing; texts of any length are scanned whole; a text can match several
+templates; the best window of each template is returned, the first one among equals; repeated rows give one result a doc_id
+and text; an empty table gives none. Templates need five words at least. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, bound, written
 
-WORDS = 5
+WORDS, BROADCAST = 5, 1 << 20
 
 #: Opening passages and notices of public licences.
 TEMPLATES = {
@@ -56,79 +60,77 @@ def shingles(array: Column) -> Column:
     return bound(array, body)
 
 
+def classes(most: int) -> list[int]:
+    """The largest lengths, in words, of the classes of templates up to ``most`` words."""
+    tops = [WORDS]
+    while tops[-1] < most:
+        tops.append(max(tops[-1] + 1, tops[-1] * 5 // 4))
+    return tops
+
+
 def shape(n: int) -> tuple[int, int]:
-    """(words in a window, words between two starts) for a template of n words."""
+    """(words in a window, words between two starts) for a class of at most n words."""
     step = max(1, n // 4)
     return n + step - 1 + n // 5, step
 
 
-def least_similarity(n: int, containment: float) -> float:
-    """The Jaccard similarity of window and template that a containment guarantees."""
-    window, _ = shape(n)
+def least_similarity(n: int, top: int, containment: float) -> float:
+    """The Jaccard similarity of window and template, of n words in a class, that a containment guarantees."""
+    window, _ = shape(top)
     m, w = n - WORDS + 1, window - WORDS + 1
     both = math.ceil(containment * m)
     return both / (m + w - both)
 
 
+def _send(df: DataFrame, values: int) -> DataFrame:
+    return F.broadcast(df) if values <= BROADCAST else df
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, miss: float = 1e-6) -> DataFrame:
     """doc_id, template, containment, first_word, windows (that match) for each template found in a text of docs."""
     spark = docs.sparkSession
-    given = spark.createDataFrame(list((templates or TEMPLATES).items()), "template string, text string")
-    known = given.select("template", F.size(words(F.col("text"))).alias("n"), F.array_distinct(shingles(words(F.col("text")))).alias("s")).orderBy("template").collect()  # the templates
-    if short := [r["template"] for r in known if r["n"] < WORDS]:
+    given = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "template string, text string")
+    known = given.select("template", words(F.col("text")).alias("w")).select("template", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"))).alias("s"))
+    known = written(known, "license-templates")
+    if short := [r["template"] for r in known.where(F.col("n") < WORDS).select("template").collect()]:
         raise ValueError(f"templates of fewer than {WORDS} words: {short}")
-    sizes, steps = zip(*(shape(r["n"]) for r in known), strict=True)
-    bands = max(math.ceil(math.log(miss) / math.log(1 - least_similarity(r["n"], containment) + 1e-12)) for r in known)
-    by_hash: dict[int, list[int]] = {}
-    for t, r in enumerate(known):
-        for h in r["s"]:
-            by_hash.setdefault(h, []).append(t)
-    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    ints = lambda values: F.array(*map(F.lit, values))
-    table_bits = 1 << max(10, (16 * len(by_hash)).bit_length())
-    hit = {h % table_bits for h in by_hash}
-    words_of_bits = [sum(1 << b for b in range(62) if 62 * i + b in hit) for i in range(-(-table_bits // 62))]
-    bits, all_hashes = longs(words_of_bits), longs(by_hash)
-    owners = F.map_from_arrays(all_hashes, F.array(*(ints(v) for v in by_hash.values())))
-
-    def is_known(h):
-        b = F.pmod(h, F.lit(table_bits))
-        maybe = F.get(bits, F.floor(b / 62).cast("int")).bitwiseAND(F.element_at(longs([1 << i for i in range(62)]), (b % 62 + 1).cast("int"))) != 0
-        return maybe & F.array_contains(all_hashes, h)
-
-    def windows(s):
-        places = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: is_known(F.get(s, i)))
-
-        def at(i):
-            def for_template(t):
-                width, step = F.get(ints(sizes), t) - WORDS + 1, F.get(ints(steps), t)
-                last = F.floor(i / step).cast("int")
-                first = F.greatest(F.ceil((i - width + 1) / step).cast("int"), F.lit(0))
-                return F.transform(F.sequence(first, last), lambda k: F.struct(t.alias("t"), (k * step).alias("start")))
-
-            return F.flatten(F.transform(F.element_at(owners, F.get(s, i)), for_template))
-
-        starts = F.array_distinct(F.flatten(F.transform(places, at)))
-        return F.transform(starts, lambda x: F.struct(x["t"].alias("t"), x["start"].alias("start"), F.slice(s, x["start"] + 1, F.get(ints(sizes), x["t"]) - WORDS + 1).alias("w")))
-
-    found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_tx"), F.explode(bound(shingles(words(F.col("text"))), windows)).alias("x")).select("doc_id", "_tx", "x.*")
-    found = written(found, "license-windows")
-    band = lambda s: F.array(*(F.array_min(_seeded(s, i)) for i in range(bands)))
-    mine = spark.createDataFrame([(t, r["template"], r["s"]) for t, r in enumerate(known)], "tt int, template string, s array<long>")
-    keys = F.broadcast(mine.select("tt", F.posexplode(band(F.col("s"))).alias("tb", "tv")))
-    asked = found.select("doc_id", "_tx", "t", "start", F.posexplode(band(F.col("w"))).alias("b", "v"))
-    met = asked.join(keys, (F.col("t") == F.col("tt")) & (F.col("b") == F.col("tb")) & (F.col("v") == F.col("tv"))).select("doc_id", "_tx", "t", "start").distinct()
-    met = found.withColumnsRenamed({"doc_id": "d2", "_tx": "h2", "t": "t2", "start": "s2"}).join(met, F.col("d2").eqNullSafe(F.col("doc_id")) & (F.col("h2") == F.col("_tx")) & (F.col("t2") == F.col("t")) & (F.col("s2") == F.col("start")))
-    checked = met.join(F.broadcast(mine), F.col("t") == F.col("tt"))
+    most, total, shortest = known.agg(F.max("n"), F.sum(F.size("s")), F.min("n")).first()
+    tops = classes(most)
+    floors = [WORDS, *(t + 1 for t in tops[:-1])]
+    similarity = min(least_similarity(n, top, containment) for low, top in zip(floors, tops, strict=True) if top >= shortest for n in range(low, top + 1))
+    bands = math.ceil(math.log(miss) / math.log(1 - similarity))
+    table = F.broadcast(spark.createDataFrame([(c, *shape(t)) for c, t in enumerate(tops)], "wc int, width int, step int"))  # a row a class
+
+    of_class = F.size(F.filter(F.array(*map(F.lit, tops)), lambda t: t < F.col("n")))
+    known = known.select("template", "s", of_class.alias("class"))
+    smallest = lambda s, i: F.array_min(F.transform(s, lambda h: F.struct(F.xxhash64(F.lit(i), h).alias("v"), h.alias("h"))))
+    index = known.select("template", "class", F.posexplode(F.array(*(smallest(F.col("s"), i) for i in range(bands)))).alias("band", "x"))
+    index = written(index.select("template", "class", "band", F.col("x.v").alias("v"), F.col("x.h").alias("h")), "license-index")
+    entries = index.count()
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tx"), shingles(words(F.col("text"))).alias("s"))
+    every = texts.select("doc_id", "tx", F.posexplode("s").alias("place", "h"))
+    probes = _send(index.select("h", F.col("class").alias("wc")).distinct().join(table, "wc"), entries)
+    met = every.join(probes, "h").select("doc_id", "tx", "wc", "width", "step", "place")
+    first = F.greatest(F.ceil((F.col("place") - F.col("width") + WORDS) / F.col("step")).cast("int"), F.lit(0))
+    starts = met.select("doc_id", "tx", "wc", "width", F.explode(F.sequence(first, F.floor(F.col("place") / F.col("step")).cast("int"))).alias("k"), "step")
+    window = F.struct(F.col("wc"), (F.col("k") * F.col("step")).alias("start"), (F.col("width") - WORDS + 1).alias("size"))
+    asked = written(starts.groupBy("doc_id", "tx").agg(F.collect_set(window).alias("windows")), "license-places")
+
+    asked = asked.select(F.col("doc_id").alias("id"), F.col("tx").alias("hash"), "windows")
+    found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tx"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tx") == F.col("hash")))
+    cut = lambda s: F.transform("windows", lambda x: F.struct(x["wc"].alias("class"), x["start"].alias("start"), F.slice(s, x["start"] + 1, x["size"]).alias("w")))
+    found = found.select("doc_id", "tx", F.explode(bound(shingles(words(F.col("text"))), cut)).alias("x")).select("doc_id", "tx", "x.*")
+    minimum = lambda i: F.array_min(F.transform("w", lambda h: F.xxhash64(F.lit(i), h)))
+    minima = F.array(*map(minimum, range(bands)))
+    banded = found.select("doc_id", "tx", "class", "start", "w", F.posexplode(minima).alias("band", "v"))
+    retrieved = banded.join(_send(index.drop("h"), entries), ["class", "band", "v"]).groupBy("doc_id", "tx", "class", "start", "template").agg(F.first("w").alias("w"))
+    checked = retrieved.join(_send(known.select("template", "s"), total), "template")
     checked = checked.withColumn("containment", F.size(F.array_intersect("s", "w")) / F.size("s")).where(F.col("containment") >= containment)
     best = F.max(F.struct("containment", (-F.col("start")).alias("back")))
-    out = checked.groupBy("doc_id", "_tx", "template").agg(best.alias("best"), F.countDistinct("start").alias("windows"))
+    out = checked.groupBy("doc_id", "tx", "template").agg(best.alias("best"), F.countDistinct("start").alias("windows"))
     return out.select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("long").alias("first_word"), "windows")
 
 
-def _seeded(s: Column, i: int) -> Column:
-    return F.transform(s, lambda h: F.xxhash64(F.lit(i), h))
-
-
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
