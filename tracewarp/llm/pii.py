@@ -1,32 +1,41 @@
 r"""Personal data: candidate gradient boosting, with DataFrame and SQL functions only.
 
 Four base patterns with exact checks (e-mail, IPv4, card with Luhn, phone) always give their spans. Looser generators
-propose more: spaced or spelled-out e-mail addresses, quads with other separators, long digit groups, phone numbers
-without a plus. Proposals of different kinds may overlap. Each has format features (digits, groups, separators, checks)
-and context features (characters around it, cue words before it), all coarse, so that all proposals of a corpus fall
-into a number of feature combinations bounded by the product of their cardinalities. Boosted trees (MLlib) are trained
-on these combinations, weighted with their counts; the label is whether a checked base span of the kind covers the
-proposal. The plus sign and the at sign, which the base patterns demand, aren't features, so that shape and context
-decide whether a proposal without them is like the checked ones. Each kind's threshold is the lowest score at which the documents left out of training reach ``precision``.
-Proposals at or above it that overlap no base span of their kind are added.
-
-Positions come from the text split at the pattern: lengths of parts and matches add up to code-point offsets. Patterns
-are written so that no text makes them backtrack: runs are possessive and start where a run starts.
-
-Defined results: a null text is empty; repeated rows each get their result; without proposals of both labels no model is
-trained, and the base spans stand alone.
+propose more, with overlaps: spaced or spelled-out e-mail addresses, quads with other separators, single and grouped card
+numbers inside longer runs, phone numbers without a plus, and long strings of letters and digits that may be secrets. Each
+proposal has format features (length, digits, groups, separators, kinds of characters) and context features (characters
+around it, cue words before it), all coarse, so that all proposals of a corpus fall into a number of feature combinations
+bounded by the product of their cardinalities. Boosted trees (MLlib) are trained on these combinations, weighted with counts.
+
+Labels come from evidence that the features leave out, so the trees can't just repeat it: an e-mail address or phone number
+is labelled by its at or plus sign (the base span), a quad by its values with dots, a card number by its Luhn digit, and a secret by a
+cue word before it. On documents left out of training, an isotonic regression turns scores into calibrated probabilities, for
+each kind. Proposals whose probability is at least ``least`` are redacted as well, unless a base span of
+their kind overlaps them or a longer selected proposal of their kind covers them. A card number needs its Luhn digit in any case.
+
+Positions come from the text split at the pattern: lengths of parts and matches add up to code-point offsets, in chunks, so
+that a text with very many matches isn't copied for each. Patterns are written so that no text makes them backtrack: runs
+are possessive and start where a run starts.
+
+Defined results: a null text is empty; repeated rows each get their result, a text of any length is searched whole; an
+empty table gives an empty result; without proposals of both labels no model is trained, and the base spans stand alone; a
+kind without held-out proposals adds nothing. Extra columns of redact() are kept whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound, unpacked, whole, written
 
-KINDS = ("email", "ip", "card", "phone")
+#: The base kinds first. Secrets have no base pattern.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
+CHUNK = 256
 
 #: The base patterns, equal to plain leftmost search, and a cheap test that a text can match at all.
 BASE = {
@@ -36,16 +45,21 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 
-#: The generators of proposals.
-LOOSE = {
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++", r"@|\(at\)|\[at\]"),
-    "ip": (r"(?<![0-9])[0-9]{1,3}+(?:[.,:_][0-9]{1,3}+){3}(?![0-9])", r"[0-9][.,:_][0-9]"),
-    "card": (r"(?<![0-9])[0-9](?:[ ./-]{0,2}+[0-9]){11,18}+(?![0-9])", r"[0-9][ ./-]{0,2}[0-9]"),
-    "phone": (r"(?<![0-9+])[+(]{0,2}+[0-9](?:[ ()./-]{0,2}+[0-9]){6,15}+(?![0-9])", r"[0-9][ ()./-]{0,2}[0-9]"),
-}
-
+#: The generators of proposals, (kind, pattern, cheap test).
+LOOSE = (
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++", r"@|\(at\)|\[at\]"),
+    ("ip", r"(?<![0-9])[0-9]{1,3}+(?:[.,:_][0-9]{1,3}+){3}(?![0-9])", r"[0-9][.,:_][0-9]"),
+    ("card", r"(?<![0-9])[0-9](?:[ ./-]{0,2}+[0-9]){11,18}+(?![0-9])", r"[0-9][ ./-]{0,2}[0-9]"),
+    ("card", r"(?<![0-9])[0-9]{13,19}+(?![0-9])", r"[0-9]{13}"),
+    ("card", r"(?<![0-9])[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])", r"[0-9]{4}[ .-][0-9]{4}"),
+    ("phone", r"(?<![0-9+])[+(]{0,2}+[0-9](?:[ ()./-]{0,2}+[0-9]){6,15}+(?![0-9])", r"[0-9][ ()./-]{0,2}[0-9]"),
+    ("secret", r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+=*+", r"[A-Za-z0-9_/+-]{16}"),
+)
+
+#: Words before personal data; those before a secret, with what may stand between.
 CUES = r"(?i)(mail|contact|tel|phone|call|fax|mobile|card|visa|credit|ip|host|server|address)[^\p{L}]{0,4}$"
-FEATURES = ["kind", "digits", "groups", "dots", "dashes", "spaces", "paren", "luhn", "quad", "before", "after", "cue"]
+SECRET_CUES = r"(?i)(token|secret|passwo?r?d|passphrase|credential|bearer|auth|api.?key|access.?key|private.?key)[A-Za-z_]{0,8}[^\p{L}\p{N}]{0,6}$"
+FEATURES = ["kind", "length", "digits", "groups", "dots", "dashes", "spaces", "paren", "hex", "cases", "quad", "before", "after", "cue"]
 
 
 def _digits(s: Column) -> Column:
@@ -80,10 +94,8 @@ def _valid(kind: str, m: Column) -> Column:
 
 def spans(text: Column, kind: str, pattern: str, test: str) -> Column:
     """Matches of a pattern, leftmost and non-overlapping: array of (kind, start, end, match), offsets in code points."""
-    empty = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,match:string>>)")
+    none = "array<struct<kind:int,start:int,end:int,match:string>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern).alias("part"), found.alias("match"))
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["part"])
@@ -91,7 +103,15 @@ def spans(text: Column, kind: str, pattern: str, test: str) -> Column:
         span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("match"))
         return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(test)), F.aggregate(pairs, state, step, lambda acc: acc["out"])).otherwise(empty)
+    def chunk(pairs):
+        def one(acc, k):
+            inner = F.aggregate(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), F.expr(f"cast(array() as {none})").alias("out")), step)
+            return bound(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{none}>)").alias("out")), one, lambda acc: F.flatten(acc["out"]))
+
+    pairs = F.arrays_zip(F.split(text, pattern).alias("part"), found.alias("match"))
+    return F.when(F.regexp_like(text, F.lit(test)), bound(pairs, chunk)).otherwise(F.expr(f"cast(array() as {none})"))
 
 
 def _side(c: Column) -> Column:
@@ -108,37 +128,48 @@ def _features(text: Column, c: Column) -> list[Column]:
     m, digits = c["match"], _digits(c["match"])
     count = lambda chars: F.char_length(m) - F.char_length(F.translate(m, chars, ""))
     before = F.when(c["start"] > 0, F.substring(text, c["start"], F.lit(1))).otherwise("")
-    cue = F.substring(text, F.greatest(c["start"] - 15, F.lit(1)), F.least(c["start"], F.lit(16)))
+    secret = c["kind"] == KINDS.index("secret")
+    length = F.floor(F.log2(F.char_length(m)) * 3)
     own = {
-        "kind": c["kind"], "digits": _upto(F.char_length(digits), 20), "groups": _upto(F.size(F.filter(F.split(m, "[^0-9]+"), lambda x: x != "")), 6), "dots": _upto(count("."), 4),
-        "dashes": _upto(count("-"), 2), "spaces": _upto(count(" "), 2), "paren": count("()") > 0,
-        "luhn": (c["kind"] == 2) & luhn(digits), "quad": (c["kind"] == 1) & quad(m, "[.,:_]"), "before": _side(before),
-        "after": _side(F.substring(text, c["end"] + 1, F.lit(1))), "cue": cue.rlike(CUES),
+        "kind": c["kind"], "length": F.when(secret, _upto(length, 20)).otherwise(0), "digits": F.when(secret, F.floor(F.char_length(digits) / F.char_length(m) * 5)).otherwise(_upto(F.char_length(digits), 20)),
+        "groups": _upto(F.size(F.filter(F.split(m, "[^0-9]+"), lambda x: x != "")), 6), "dots": _upto(count("."), 4), "dashes": _upto(count("-"), 2), "spaces": _upto(count(" "), 2), "paren": count("()") > 0,
+        "hex": m.rlike("^[0-9a-fA-F]+$"), "cases": m.rlike("[a-z]").cast("int") + m.rlike("[A-Z]").cast("int") * 2, "quad": (c["kind"] == 1) & quad(m, "[.,:_]"), "before": _side(before),
+        "after": _side(F.substring(text, c["end"] + 1, F.lit(1))), "cue": ~secret & _ahead(text, c).rlike(CUES),
     }
     return [own[f].cast("int").alias(f) for f in FEATURES]
 
 
+def _ahead(text: Column, c: Column) -> Column:
+    """The 24 characters before a proposal."""
+    return F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, _tx, base (array of spans) and loose (array of proposals with features and label), as a written table."""
+    """doc_id, tx, base (array of spans) and loose (array of proposals with features, label and free) as a written table.
+
+    A proposal is free if it may be added: no base span of its kind overlaps it, and a card number has its Luhn digit.
+    """
     text = F.coalesce("text", F.lit(""))
     checked = lambda k: F.filter(spans(text, k, *BASE[k]), lambda s: _valid(k, s["match"]))
-    base = [checked(k) for k in KINDS]
-    loose = [spans(text, k, *LOOSE[k]) for k in KINDS]
-    found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_tx"), text.alias("text"), F.concat(*base).alias("base"), F.concat(*loose).alias("loose"))
+    base = F.concat(*map(checked, BASE_KINDS))
+    loose = F.array_distinct(F.concat(*(spans(text, *x) for x in LOOSE)))
+    found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tx"), text.alias("text"), base.alias("base"), loose.alias("loose"))
 
     def proposal(c):
-        covers = lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])
-        label = F.exists("base", covers).cast("int").alias("label")
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), label, *_features(F.col("text"), c))
+        held = F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        digits = _digits(c["match"])
+        number = F.char_length(digits).between(13, 19) & luhn(digits)
+        label = F.when(c["kind"] == KINDS.index("card"), number).when(c["kind"] == KINDS.index("secret"), _ahead(F.col("text"), c).rlike(SECRET_CUES)).otherwise(held)
+        free = ~held & ((c["kind"] != KINDS.index("card")) | number)
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), label.cast("int").alias("label"), free.alias("free"), *_features(F.col("text"), c))
 
     slim = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
-    return written(found.select("doc_id", "_tx", slim.alias("base"), F.transform("loose", proposal).alias("loose")), "pii-spans")
+    return written(found.select("doc_id", "tx", slim.alias("base"), F.transform("loose", proposal).alias("loose")), "pii-spans")
 
 
-def select_candidates(rows: DataFrame, precision: float, rounds: int, depth: int) -> DataFrame | None:
-    """The feature combinations whose score reaches their kind's threshold, or None where no model can be trained."""
-    spark = rows.sparkSession
-    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("apart")
+def select_candidates(rows: DataFrame, least: float, rounds: int, depth: int) -> DataFrame | None:
+    """The feature combinations whose calibrated probability is at least ``least``, with it, or None where no model can be trained."""
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False)).alias("apart")
     tally = rows.select(apart, "label", *FEATURES).groupBy("apart", "label", *FEATURES).agg(F.count(F.lit(1)).alias("weight"))
     tally = written(tally.coalesce(1), "pii-combinations")  # no more rows than combinations of features
     training = tally.where("not apart")
@@ -150,32 +181,40 @@ def select_candidates(rows: DataFrame, precision: float, rounds: int, depth: int
     scored = model.transform(vectors.transform(tally.select(*FEATURES).distinct())).select(*FEATURES, "probability")
     scored = scored.select(*FEATURES, F.element_at(F.split(F.translate(F.col("probability").cast("string"), "[]", ""), ","), 2).cast("double").alias("score"))
     scored = written(scored, "pii-scores")
-    levels = tally.where("apart").join(scored, FEATURES).groupBy("kind", "score").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good"))
-    levels.createOrReplaceTempView("_pii_levels")
-    limits = spark.sql(
-        """SELECT kind, min(score) AS least FROM (
-             SELECT kind, score, sum(good) OVER w / sum(n) OVER w AS precision FROM _pii_levels
-             WINDOW w AS (PARTITION BY kind ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-           WHERE precision >= :p GROUP BY kind""",
-        {"p": precision},
-    )
-    return scored.join(limits, "kind").where("score >= least").select(*FEATURES)
-
-
-def find_pii(docs: DataFrame, precision: float = 0.99, rounds: int = 12, depth: int = 3) -> DataFrame:
+    apart = written(tally.where("apart").join(scored, FEATURES).select("kind", "score", F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight")), "pii-apart")
+    calibrated = []
+    for kind in sorted(r["kind"] for r in apart.select("kind").distinct().collect()):
+        fit = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight", predictionCol="chance").fit(apart.where(F.col("kind") == kind))
+        calibrated.append(fit.transform(scored.where(F.col("kind") == kind)).select(*FEATURES, "chance"))
+    if not calibrated:
+        return None
+    every = calibrated[0]
+    for more in calibrated[1:]:
+        every = every.unionByName(more)
+    return every.where(F.col("chance") >= least)
+
+
+def find_pii(docs: DataFrame, least: float = 0.9, rounds: int = 16, depth: int = 4) -> DataFrame:
     """doc_id, base and spans (arrays of (kind, start, end) in the order of KINDS, then start) of every row of docs."""
+    return _found(docs, least, rounds, depth).select("doc_id", "base", "spans")
+
+
+def _found(docs: DataFrame, least: float, rounds: int, depth: int) -> DataFrame:
     found = candidates(docs)
-    rows = found.select("doc_id", "_tx", F.explode("loose").alias("c")).select("doc_id", "_tx", "c.*")
-    chosen = select_candidates(rows, precision, rounds, depth)
-    out = found.select("doc_id", "_tx", "base")
-    if chosen is not None:
-        more = rows.where("label = 0").join(F.broadcast(chosen), FEATURES, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("_tx").alias("_h"))
-        more = more.agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
-        out = out.join(more, out["doc_id"].eqNullSafe(more["_id"]) & (out["_tx"] == more["_h"]), "left")
-        spans_ = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))
-    else:
+    rows = found.select("doc_id", "tx", F.explode("loose").alias("c")).select("doc_id", "tx", "c.*")
+    chosen = select_candidates(rows, least, rounds, depth)
+    out = found.select("doc_id", "tx", "base")
+    if chosen is None:
         spans_ = F.col("base")
-    return out.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(spans_).alias("spans"))
+    else:
+        chosen = F.broadcast(written(chosen.coalesce(1), "pii-chosen"))  # no more rows than combinations of features
+        more = rows.where("free").join(chosen.select(*FEATURES), FEATURES, "left_semi").select("doc_id", "tx", "kind", "start", "end").distinct()
+        earlier = Window.partitionBy("doc_id", "tx", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+        more = more.withColumn("far", F.max("end").over(earlier)).where("far is null or far < end").groupBy(F.col("doc_id").alias("id"), F.col("tx").alias("hash"))
+        more = more.agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+        out = out.join(more, out["doc_id"].eqNullSafe(more["id"]) & (out["tx"] == more["hash"]), "left")
+        spans_ = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))
+    return out.select("doc_id", "tx", F.array_sort("base").alias("base"), F.array_sort(spans_).alias("spans"))
 
 
 def written_spans(c: Column) -> Column:
@@ -184,27 +223,35 @@ def written_spans(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, **options) -> DataFrame:
+def redact(docs: DataFrame, least: float = 0.9, rounds: int = 16, depth: int = 4) -> DataFrame:
     """docs with every span of find_pii() replaced by [KIND]; overlapping spans become one, named by the first."""
-    found = find_pii(docs, **options).select(F.col("doc_id").alias("_id"), "spans").dropDuplicates(["_id"])
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left")
+    found = _found(docs, least, rounds, depth).select(F.col("doc_id").alias("id"), F.col("tx").alias("hash"), "spans").dropDuplicates(["id", "hash"])
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("tx"))
+    both = rows.join(found, F.col("key").eqNullSafe(F.col("id")) & (F.col("tx") == F.col("hash")), "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    by_start = F.array_sort(F.transform(F.coalesce("spans", F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.coalesce("text", F.lit(""))
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    text = F.coalesce("whole.text", F.lit(""))
+
+    def step(acc, s):  # spans become (from, to, name); an overlapping one lengthens the last
+        overlaps = s["start"] < acc["at"]
+        held = F.struct(acc["start"].alias("start"), F.greatest(acc["at"], -s["back"]).alias("at"), acc["kind"].alias("kind"), acc["out"].alias("out"))
+        done = F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["at"].alias("end"), acc["kind"].alias("kind"))))
+        return F.when(overlaps, held).otherwise(F.struct(s["start"].alias("start"), (-s["back"]).alias("at"), s["kind"].alias("kind"), done.alias("out")))
+
+    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("at"), F.lit(-1).alias("kind"), F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)").alias("out"))
+    merged = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["at"].alias("end"), acc["kind"].alias("kind")))))
 
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.get(names, s["kind"])).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(inside)
+    def replaced(m):  # the first entry stands for the text's beginning
+        end = lambda i: F.when(i + 1 < F.size(m), F.get(m, i + 1)["start"]).otherwise(F.char_length(text))
+        part = lambda x, i: F.concat(F.when(x["kind"] >= 0, F.get(names, x["kind"])).otherwise(""), F.substring(text, x["end"] + 1, end(i) - x["end"]))
+        return F.array_join(F.transform(m, part), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return both.select(*(done.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    done = F.when(F.size("spans") > 0, bound(merged, replaced)).otherwise(text)
+    return both.select(*unpacked(docs, text=done))
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     of_kind = lambda i: F.filter("base", lambda s: s["kind"] == i)
-    counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(written_spans(F.col("base")), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"))
