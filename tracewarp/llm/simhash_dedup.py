@@ -12,7 +12,9 @@ they share such a value, so linking each to the smallest one there keeps every c
 Equal fingerprints are one vertex from the start.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; rows with a null doc_id get a
-fingerprint and no component of their own making (they take their fingerprint's); repeated rows are kept.
+fingerprint and no component of their own making (they take their fingerprint's); repeated rows are kept; a bit set in
+exactly half of the hashes is 0; texts of any length are taken whole; an empty table gives an empty result. Columns other
+than doc_id and text aren't read by simhash_dedup().
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
         grams = [b" ".join(tokens)]
     else:
         grams = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64)
+    return bits_of(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -56,9 +62,21 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _popcounts(fp: Column) -> list[Column]:
+    return [F.bit_count(F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))) for i in range(SEGMENTS)]
+
+
+def popcount_distance(a: Column, b: Column) -> Column:
+    """The Manhattan distance of two fingerprints' segment popcounts, at most the number of bits in which they differ."""
+    total = F.lit(0)
+    for x, y in zip(_popcounts(a), _popcounts(b), strict=True):
+        total = total + F.abs(x - y)
+    return total
+
+
 def _points(fp: Column) -> Column:
     """The grid points of a fingerprint: its popcount vector, three bits a segment, and the neighbours one step away."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))) for i in range(SEGMENTS)]
+    counts = _popcounts(fp)
     own = F.lit(0).cast("long")
     for i, c in enumerate(counts):
         own = own + c.cast("long") * F.lit(1 << (3 * i)).cast("long")
@@ -98,11 +116,10 @@ def simhash_dedup(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is their component's, once each. Rows without a doc_id stay where no row with one is near."""
-    found = simhash_dedup(docs, **options)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.withColumn("_tx", F.xxhash64("text")).dropDuplicates(["doc_id", "_tx"]).drop("_tx")
+    """The row with the smallest doc_id of each group of texts whose five-word shingles have similarity 0.8; see minhash_dedup."""
+    from .minhash_dedup import one_of_each
+
+    return one_of_each(docs, **options)
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
