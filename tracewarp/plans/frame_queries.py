@@ -74,8 +74,39 @@ def reverse_complement(spark, sf_dir):
 
 
 def kmer_histogram(spark, sf_dir):
-    rows = sequences(spark, sf_dir).select(F.explode(seq.kmers(F.col("seq"), 4)).alias("kmer"))
-    return rows.groupBy("kmer", seq.kmer_code(F.col("kmer"), 4).cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of 4-mers. Sequences are cut into short overlapping pieces first, as a place in a string takes a scan; codes come after the count."""
+    rows = sequences(spark, sf_dir).where(F.char_length("seq") >= 4)
+    starts = F.explode(F.sequence(F.lit(1), F.char_length("seq") - 3, F.lit(256)))
+    pieces = rows.select("seq", starts.alias("i")).select(F.substring("seq", F.col("i"), F.lit(259)).alias("piece"))
+    places = pieces.select("piece", F.explode(F.sequence(F.lit(1), F.char_length("piece") - 3)).alias("j"))
+    counts = places.groupBy(F.substring("piece", F.col("j"), F.lit(4)).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("kmer", seq.kmer_code(F.col("kmer"), 4).cast("long").alias("code"), "n")
+
+
+def coverage_bins(spark, sf_dir):
+    """Bases and coverage of every region of 25 places; a mapping counts in each that it touches, however many."""
+    start = F.col("l_suppkey") * 10
+    mapped = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 5).alias("ref_id"), start.alias("t_start"), (start + F.col("l_quantity").cast("long") * 3 - 1).alias("t_end"))
+    refs = mapped.groupBy("ref_id").agg((F.max("t_end") + 1).alias("length"))
+    rows = abundance.region_coverage(mapped, refs, 25)
+    return rows.select(F.col("ref_id").alias("contig"), F.col("region").cast("long").alias("bin"), F.col("bases").cast("long").alias("bases"), F.round("coverage", 6).alias("coverage"))
+
+
+def _kept_shares(spark, sf_dir):
+    """(thr, keep_t, keep_o): shares of targets and others whose score is under a threshold."""
+    rows = _curve(spark, sf_dir, 10)
+    return rows.select("thr", (F.col("below_t") / F.col("all_t")).alias("keep_t"), (F.col("below_o") / F.col("all_o")).alias("keep_o")).where("keep_t > 0")
+
+
+def runtime_model(spark, sf_dir):
+    found = F.lit(0.01) * F.col("keep_t") * 4000
+    spent = F.lit(0.01) * (1 + F.col("keep_t") * 3 + (1 - F.col("keep_t")) * 0.5) + F.lit(0.99) * (1 + F.col("keep_o") * 3 + (1 - F.col("keep_o")) * 0.5)
+    return _kept_shares(spark, sf_dir).select("thr", F.round(F.lit(30000.0 * 30 * 4000 / 450.0) / (found / spent), 3).alias("duration"))
+
+
+def optimal_threshold(spark, sf_dir):
+    cost = F.round((F.lit(0.01) * (1 + F.col("keep_t") * 3) + F.lit(0.99) * (1 + F.col("keep_o") * 3)) / F.col("keep_t"), 9)
+    return _kept_shares(spark, sf_dir).select("thr", cost.alias("cost")).orderBy("cost", "thr").limit(1)
 
 
 def expected_signal(spark, sf_dir):
@@ -275,7 +306,7 @@ def sequence_until(spark, sf_dir):
 
 QUERIES = {
     "sdtw_classify": sdtw_classify, "signal_from_events": signal_from_events, "chunk_explode": chunk_explode, "trimmed": trimmed, "array_norm": array_norm,
-    "tstat_w3": tstat(3), "tstat_w6": tstat(6), "detect_events": detected, "revcomp": reverse_complement, "kmer_histogram": kmer_histogram,
+    "tstat_w3": tstat(3), "tstat_w6": tstat(6), "detect_events": detected, "revcomp": reverse_complement, "kmer_histogram": kmer_histogram, "coverage_bins": coverage_bins, "runtime_model": runtime_model, "optimal_threshold": optimal_threshold,
     "expected_signal": expected_signal, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
     "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 6), "dtw_semiglobal": warping("free"),
     "sdtw_bonus": warping("bonus"), "dtw_path": warping_path, "nearest_class": nearest_class, "indels": indels, "smoothed": smoothed, "segmented": segmented,
@@ -316,6 +347,10 @@ ORACLES = {
     "tstat_w3": _tstat_sql(3),
     "tstat_w6": _tstat_sql(6),
     "revcomp": _SEQ + "x AS (SELECT 1) SELECT doc_id, length(seq)::BIGINT AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5 FROM d",
+    "coverage_bins": """WITH i AS (SELECT l_partkey % 5 AS contig, l_suppkey * 10 AS lo, l_suppkey * 10 + l_quantity::BIGINT * 3 AS hi FROM lineitem),
+        p AS (SELECT contig, unnest(range(lo, hi)) AS place FROM i), n AS (SELECT contig, place // 25 AS bin, count(*) AS bases FROM p GROUP BY 1, 2),
+        e AS (SELECT contig, unnest(range(0, (max(hi) - 1) // 25 + 1)) AS bin, max(hi) AS len FROM i GROUP BY contig)
+        SELECT e.contig, e.bin::BIGINT AS bin, coalesce(bases, 0)::BIGINT AS bases, round(coalesce(bases, 0) / least(25, len - e.bin * 25), 6) AS coverage FROM e LEFT JOIN n ON n.contig = e.contig AND n.bin = e.bin""",
     "kmer_histogram": _SEQ + """k AS (SELECT substr(seq, i::BIGINT, 4) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 2)) AS i FROM d WHERE length(seq) >= 4))
         SELECT kmer, (list_sum(list_transform(range(1, 5), lambda j: (instr('ACGT', substr(kmer, j, 1)) - 1) * 4 ** (4 - j))))::BIGINT AS code, count(*) AS n FROM k GROUP BY kmer""",
     "quantize": f"WITH {_V} SELECT {_CODE} AS code, count(*) AS n FROM v GROUP BY 1",

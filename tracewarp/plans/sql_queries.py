@@ -50,19 +50,15 @@ SELECT organism, reads, round(reads * 1.0 / sum(reads) OVER (), 9) AS read_share
 r AS (SELECT k, n * 1.0 / sum(n) OVER () AS x, b / sum(b) OVER () AS y FROM a) SELECT round(sqrt(sum((x - y) * (x - y))), 9) AS distance FROM r""",
     "running_abundance": """WITH a AS (SELECT o_orderkey, c_nationkey AS k, o_totalprice AS len, row_number() OVER (ORDER BY o_orderkey) AS tick FROM {orders} JOIN {customer} ON o_custkey = c_custkey),
 t AS (SELECT DISTINCT tick FROM a WHERE tick % 500 = 0) SELECT t.tick, a.k AS organism, round(sum(len), 2) AS bases FROM t JOIN a ON a.tick <= t.tick GROUP BY t.tick, a.k""",
-    "coverage_bins": """WITH i AS (SELECT l_partkey % 5 AS contig, l_suppkey * 10 AS lo, l_suppkey * 10 + CAST(l_quantity AS BIGINT) AS hi FROM {lineitem}),
-b AS (SELECT contig, lo, hi, floor(lo / 25.0) AS bin FROM i UNION ALL SELECT contig, lo, hi, floor(lo / 25.0) + 1 FROM i WHERE hi > (floor(lo / 25.0) + 1) * 25 UNION ALL SELECT contig, lo, hi, floor(lo / 25.0) + 2 FROM i WHERE hi > (floor(lo / 25.0) + 2) * 25),
-c AS (SELECT contig, CAST(bin AS BIGINT) AS bin, sum(least(hi, (bin + 1) * 25) - greatest(lo, bin * 25)) AS bases FROM b GROUP BY contig, bin)
-SELECT contig, bin, CAST(bases AS BIGINT) AS bases, CAST(least(30, floor(bases / 25.0)) AS BIGINT) AS coverage FROM c""",
     "primary_overlap": """WITH i AS (SELECT l_orderkey AS k, l_linenumber AS id, l_suppkey AS ref, l_partkey AS lo, l_partkey + CAST(l_quantity AS BIGINT) AS hi, l_extendedprice AS score FROM {lineitem}),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS rnk FROM i), f AS (SELECT * FROM r WHERE rnk = 1)
 SELECT r.k, r.id FROM r LEFT JOIN f ON r.k = f.k AND r.ref = f.ref AND greatest(r.lo, f.lo) <= least(r.hi, f.hi) AND r.rnk > 1 WHERE f.k IS NULL""",
-    "mapq_confidence": """WITH s AS (SELECT l_orderkey AS k, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rnk, avg(l_extendedprice) OVER (PARTITION BY l_orderkey) AS mean, count(*) OVER (PARTITION BY l_orderkey) AS n, lead(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS s2 FROM {lineitem})
-SELECT k, CASE WHEN s2 IS NULL THEN 60 ELSE trunc_(greatest(0.0, least(60.0, 40 * (1 - s2 / score)))) END AS mapq, CASE WHEN n >= 2 THEN score / s2 >= 1.2 OR score >= 5 * mean ELSE true END AS confident FROM s WHERE rnk = 1""",
+    "mapq_confidence": """WITH s AS (SELECT l_orderkey AS k, l_extendedprice AS score, l_quantity AS anchors, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rnk, avg(l_extendedprice) OVER (PARTITION BY l_orderkey) AS mean, count(*) OVER (PARTITION BY l_orderkey) AS n, lead(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS s2 FROM {lineitem})
+SELECT k, CASE WHEN s2 IS NULL THEN 60 ELSE trunc_(greatest(0.0, least(60.0, 40 * (1 - s2 / score)))) END AS mapq, CASE WHEN n >= 2 THEN score / s2 >= 1.2 OR score >= 5 * mean ELSE anchors >= 2 END AS confident FROM s WHERE rnk = 1""",
     "chain_end_pruning": """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS score, max(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM {lineitem})
 SELECT k, i, score FROM s WHERE score >= 10 AND score > best / 2""",
-    "top_chains": """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber DESC) AS rnk, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best FROM {lineitem})
-SELECT k, i, rnk FROM s WHERE rnk <= 3 AND score >= best / 3""",
+    "top_chains": """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS score, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2, l_partkey % 2 ORDER BY l_quantity DESC, l_linenumber DESC) AS rnk, max(l_quantity) OVER (PARTITION BY l_orderkey, l_suppkey % 2, l_partkey % 2) AS best FROM {lineitem})
+SELECT k, i, rnk FROM s WHERE rnk <= 3 AND score >= best / 2""",
     "minmax_scale": "WITH g AS (SELECT n_regionkey AS metric, n_name AS tool, avg(s_acctbal) AS v FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey GROUP BY 1, 2) SELECT metric, tool, round((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 6) AS scaled FROM g WINDOW w AS (PARTITION BY metric)",
     "best_metric": "WITH g AS (SELECT n_regionkey AS metric, n_name AS tool, round(avg(s_acctbal), 6) AS v FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey GROUP BY 1, 2) SELECT metric, tool, v, v = max(v) OVER (PARTITION BY metric) AS is_best FROM g",
     "parameter_sweep": f"""WITH s AS ({SCORES}), b AS (SELECT 5.0 AS bonus UNION ALL SELECT 10.0 UNION ALL SELECT 20.0), m AS (SELECT 10.0 AS least UNION ALL SELECT 30.0 UNION ALL SELECT 60.0)
@@ -113,7 +109,6 @@ COLUMNS = {
     "relative_abundance": "organism VARCHAR, reads BIGINT, read_share DOUBLE, base_share DOUBLE, mean_length DOUBLE",
     "abundance_distance": "distance DOUBLE",
     "running_abundance": "tick BIGINT, organism BIGINT, bases DOUBLE",
-    "coverage_bins": "contig BIGINT, bin BIGINT, bases BIGINT, coverage BIGINT",
     "primary_overlap": "k BIGINT, id BIGINT",
     "mapq_confidence": "k BIGINT, mapq BIGINT, confident BOOLEAN",
     "chain_end_pruning": "k BIGINT, i BIGINT, score DOUBLE",
