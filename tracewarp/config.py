@@ -7,10 +7,12 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class MapOptions:
-    """e events a seed, minimizers over w seeds (0: every seed), chaining limits, and how chains are scored and judged."""
+    """e events a seed, minimizers over w seeds (0: every seed), the least change from one event to the next (None: any), chaining
+    limits, and how chains are scored and judged."""
 
     e: int = 6
     w: int = 0
+    least_change: float | None = 0.3
     band: int = 5000
     gap: int = 2000
     far: int = 5000

@@ -29,10 +29,31 @@ def hash_mix(k: Column) -> Column:
     return k
 
 
+def kept_events(a: Column, least: float = 0.3, chunk: int = 256) -> Column:
+    """(pos, value) of the events that differ from the last kept one by at least ``least``, which the fold carries. The result grows
+    chunk by chunk, so that a long signal isn't copied for each event."""
+    kind = "array<struct<pos:int,value:double>>"
+    every = F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.cast("double").alias("value")))
+
+    def keep(acc, x):
+        new = acc["last"].isNull() | (F.abs(x["value"] - acc["last"]) >= least)
+        return F.struct(F.when(new, x["value"]).otherwise(acc["last"]).alias("last"), F.when(new, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+    def fold(events):
+        def part(acc, k):
+            inner = F.aggregate(F.slice(events, k * chunk + 1, F.lit(chunk)), F.struct(acc["last"].alias("last"), F.array().cast(kind).alias("out")), keep)
+            return bound(inner, lambda x: F.struct(x["last"].alias("last"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(events) - 1) / chunk).cast("int"))
+        return F.when(F.size(events) > 0, F.aggregate(chunks, start, part, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(kind))
+
+    return bound(every, fold)
+
+
 def distinct_events(a: Column, least: float = 0.3) -> Column:
     """Events that differ from the last kept one by at least ``least``."""
-    empty = F.array().cast("array<double>")
-    return F.aggregate(a, empty, lambda kept, x: F.when((F.size(kept) > 0) & (F.abs(x - F.element_at(kept, -1)) < least), kept).otherwise(F.concat(kept, F.array(x.cast("double")))))
+    return F.transform(kept_events(a, least), lambda x: x["value"])
 
 
 def seeds(events: Column, e: int = 6, bits: int = 5) -> Column:
@@ -73,6 +94,11 @@ def minimizers(events: Column, e: int = 6, w: int = 5, bits: int = 5) -> Column:
     return bound(seeds(events, e, bits), body)
 
 
-def sketch(events: Column, e: int = 6, w: int = 0) -> Column:
-    """Every seed, or the minimizers over w seeds."""
-    return minimizers(events, e, w) if w else seeds(events, e)
+def sketch(events: Column, e: int = 6, w: int = 0, least: float | None = None) -> Column:
+    """Every seed, or the minimizers over w seeds. With ``least``, events that differ less from the last kept one are left out
+    first, and positions are those of the kept events in the whole signal."""
+    of = lambda x: minimizers(x, e, w) if w else seeds(x, e)
+    if least is None:
+        return of(events)
+    moved = lambda kept: F.transform(of(F.transform(kept, lambda x: x["value"])), lambda x: F.struct(F.get(kept, x["pos"])["pos"].alias("pos"), x["hash"].alias("hash")))
+    return bound(kept_events(events, least), moved)

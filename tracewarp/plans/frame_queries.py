@@ -153,6 +153,11 @@ def deduplicated_events(spark, sf_dir):
     return vectors(spark, sf_dir).select("read_id", F.size(sketch.distinct_events(F.col("signal"))).cast("long").alias("kept"))
 
 
+def distinct_seeds(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("read_id", F.explode(sketch.sketch(F.col("signal"), 3, least=0.3)).alias("s"))
+    return rows.select("read_id", F.col("s.pos").cast("long").alias("pos"), F.col("s.hash").alias("hash"))
+
+
 def consensus(spark, sf_dir):
     """(ref_id, b): the mean signal of each class of vectors."""
     rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
@@ -306,7 +311,7 @@ def sequence_until(spark, sf_dir):
 
 QUERIES = {
     "sdtw_classify": sdtw_classify, "signal_from_events": signal_from_events, "chunk_explode": chunk_explode, "trimmed": trimmed, "array_norm": array_norm,
-    "tstat_w3": tstat(3), "tstat_w6": tstat(6), "detect_events": detected, "revcomp": reverse_complement, "kmer_histogram": kmer_histogram, "coverage_bins": coverage_bins, "runtime_model": runtime_model, "optimal_threshold": optimal_threshold,
+    "tstat_w3": tstat(3), "tstat_w6": tstat(6), "detect_events": detected, "revcomp": reverse_complement, "kmer_histogram": kmer_histogram, "coverage_bins": coverage_bins, "seeds_distinct": distinct_seeds, "runtime_model": runtime_model, "optimal_threshold": optimal_threshold,
     "expected_signal": expected_signal, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
     "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 6), "dtw_semiglobal": warping("free"),
     "sdtw_bonus": warping("bonus"), "dtw_path": warping_path, "nearest_class": nearest_class, "indels": indels, "smoothed": smoothed, "segmented": segmented,
@@ -332,6 +337,9 @@ def _seeds_sql(e: int) -> str:
 
 
 _SEEDS = _seeds_sql(3)
+_KEPT = """k AS (SELECT vec_id AS read_id, list_reduce(list_transform(embedding, lambda x, i: [struct_pack(pos := i - 1, x := x::DOUBLE * 8)]),
+      lambda a, b: CASE WHEN abs(b[1].x - a[len(a)].x) < 0.3 THEN a ELSE list_concat(a, b) END) AS kept FROM embeddings WHERE len(embedding) > 0),
+v AS (SELECT read_id, unnest(list_transform(kept, lambda s: s.x)) AS x, unnest(range(len(kept))) AS i, unnest(list_transform(kept, lambda s: s.pos)) AS place FROM k)"""
 _SEQ = "WITH d AS (SELECT doc_id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGT]', '', 'g') AS seq FROM documents), "
 
 
@@ -347,6 +355,8 @@ ORACLES = {
     "tstat_w3": _tstat_sql(3),
     "tstat_w6": _tstat_sql(6),
     "revcomp": _SEQ + "x AS (SELECT 1) SELECT doc_id, length(seq)::BIGINT AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5 FROM d",
+    "distinct_events": f"WITH {_KEPT} SELECT e.vec_id AS read_id, coalesce(len(kept), 0)::BIGINT AS kept FROM embeddings e LEFT JOIN k ON k.read_id = e.vec_id",
+    "seeds_distinct": _SEEDS.replace(_V, _KEPT) + " SELECT v.read_id, place::BIGINT AS pos, hash::BIGINT AS hash FROM h6 JOIN v ON v.read_id = h6.read_id AND v.i = h6.pos",
     "coverage_bins": """WITH i AS (SELECT l_partkey % 5 AS contig, l_suppkey * 10 AS lo, l_suppkey * 10 + l_quantity::BIGINT * 3 AS hi FROM lineitem),
         p AS (SELECT contig, unnest(range(lo, hi)) AS place FROM i), n AS (SELECT contig, place // 25 AS bin, count(*) AS bases FROM p GROUP BY 1, 2),
         e AS (SELECT contig, unnest(range(0, (max(hi) - 1) // 25 + 1)) AS bin, max(hi) AS len FROM i GROUP BY contig)
