@@ -9,7 +9,8 @@ meet the index by digest in a join that keeps a digest with many rows in place.
 Files are named at random, so a repeated or speculative task never overwrites another's shard; the written index refers
 to the files of the attempts that were committed. The shared folder is reached through pyarrow's filesystems.
 
-Defined results: a null or empty text is 64 zero bytes (n_bytes 0); repeated rows give equal rows.
+Defined results: a null or empty text is 64 zero bytes (n_bytes 0); repeated rows and equal texts give equal values and one
+address; texts of any length are one payload; an empty table gives an empty result. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -168,4 +169,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
 def op7_media_columns(spark, sf_dir: str) -> DataFrame:
     found = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", *(x.split()[0] for x in MEDIA.split(", ")), "width", "height", "bits")
+    return found.select("doc_id", "n_bytes", *(x.split()[0] for x in MEDIA.split(", ")), "width", "height", "bits", "shard", "offset", "length")
