@@ -84,3 +84,32 @@ def test_chain_follows_a_diagonal():
     t = np.arange(0, 100, 5)
     f, pred = chain(t, t.copy())
     assert f[-1] == max(f) and list(pred[1:]) == list(range(len(t) - 1))
+
+
+def test_diagonal_band_misses_a_corner_outside():
+    from tracewarp.operators.dtw import warp, warp_many
+
+    rng = np.random.default_rng(5)
+    a, b = rng.random(12), rng.random(9)
+    assert warp_many([a], [b], False, 2, False)[0] == np.inf
+    full = warp_many([a], [b], False, 12, False)[0]
+    assert full == pytest.approx(warp(a, b)) and warp_many([a], [b], False, 3, False)[0] >= full
+
+
+def test_greedy_outlier_follows_the_slots(spark):
+    from pyspark.sql import functions as F
+
+    from tracewarp.operators.abundance import greedy_outlier
+
+    def brute(vs):
+        at, far = vs[0], 0.0
+        for v in vs:
+            d = sum((x - y) ** 2 for x, y in zip(v, at, strict=True))
+            if d > far:
+                at, far = v, d
+        return far
+
+    rng = np.random.default_rng(9)
+    sets = [rng.random((5, 3)).tolist() for _ in range(20)] + [[[0.5, 0.5]]]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, v array<array<double>>").select("i", greedy_outlier(F.col("v")).alias("d")).collect()
+    assert {r.i: pytest.approx(r.d) for r in got} == {i: brute(s) for i, s in enumerate(sets)}

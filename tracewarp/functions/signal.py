@@ -17,7 +17,8 @@ def bound(c: Column, body) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    """The mean of an array; null for an empty one."""
+    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
 
 
 def zscore(a: Column) -> Column:

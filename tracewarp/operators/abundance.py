@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signal import bound
+
 
 def tick_distances(step: DataFrame, limit: float, back: int = 4) -> DataFrame:
     """(tick, distance, stop) of rows (tick, k, b), the bases that a tick adds to organism k.
@@ -24,6 +26,40 @@ def tick_distances(step: DataFrame, limit: float, back: int = 4) -> DataFrame:
     return sums.select(F.col("tick").cast("long").alias("tick"), F.round(worst, 9).alias("distance"), stop.alias("stop"))
 
 
+def greedy_outlier(vectors: Column) -> Column:
+    """The largest squared distance met when each vector in turn is compared with the farthest one so far, starting from the first."""
+
+    def step(s, v):
+        far = F.aggregate(F.zip_with(v, s["at"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+        return bound(far, lambda d: F.struct(F.when(d > s["far"], v).otherwise(s["at"]).alias("at"), F.greatest(d, s["far"]).alias("far")))
+
+    start = F.struct(F.get(vectors, F.lit(0)).alias("at"), F.lit(0.0).alias("far"))
+    return F.aggregate(vectors, start, step, lambda s: s["far"])
+
+
+def shares_by_tick(step: DataFrame) -> DataFrame:
+    """(tick, shares) of rows (tick, k, b), with ticks 1, 2, ...: after every tick the share of each organism, in order of k."""
+    ends = step.groupBy().agg(F.max("tick").alias("last"), F.sort_array(F.collect_set("k")).alias("ks"))  # references, not reads
+    past = Window.partitionBy("k").orderBy("tick")
+    sums = step.select("k", "tick", F.sum("b").over(past).alias("total"), F.lead("tick").over(past).alias("next"))
+    runs = sums.withColumn("end", F.coalesce(F.col("next") - 1, ends.select("last").scalar())).select("k", "total", F.explode(F.sequence("tick", "end")).alias("tick"))
+    maps = runs.groupBy("tick").agg(F.map_from_entries(F.collect_list(F.struct("k", "total"))).alias("m"), F.sum("total").alias("all"))
+    maps = maps.withColumn("ks", ends.select("ks").scalar())
+    return maps.select("tick", F.transform("ks", lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("all")).alias("shares"))
+
+
+def ring_distances(step: DataFrame, limit: float, ring: int = 5) -> DataFrame:
+    """(tick, distance, stop): the outlier distance among the last ``ring`` ticks' shares, which lie in slots that are reused in turn
+    (that order decides whom the greedy pass compares). A tick stops if as many ticks went before and the distance is within the limit.
+    """
+    shares = shares_by_tick(step)
+    held = shares.select(F.explode(F.sequence(F.col("tick"), F.col("tick") + ring - 1)).alias("at"), F.struct(((F.col("tick") - 1) % ring).alias("slot"), "shares").alias("x"))
+    rows = held.join(shares.select(F.col("tick").alias("at")), "at").groupBy("at").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    distance = greedy_outlier(F.transform("xs", lambda x: x["shares"]))
+    rows = rows.select(F.col("at").cast("long").alias("tick"), distance.alias("distance"))
+    return rows.select("tick", F.round("distance", 12).alias("distance"), ((F.col("tick") > ring) & (F.col("distance") <= limit)).alias("stop"))
+
+
 def region_coverage(mapped: DataFrame, refs: DataFrame, width: int) -> DataFrame:
     """(ref_id, region, bases, coverage) of every region of ``width`` places of refs (ref_id, length), covered or not.
 

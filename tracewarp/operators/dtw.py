@@ -19,18 +19,19 @@ def _padded(signals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radius: int | None = None) -> np.ndarray:
+def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radius: int | None = None, slanted: bool = True) -> np.ndarray:
     """Costs of aligning each a with its b (or, if free, with the best part of b); steps right, down and both, L1 cost.
 
     A band takes the longer signal as rows and keeps the columns within radius of floor(columns * row / rows); radius grows
-    with the difference of the lengths, so that the corner stays in reach. Filling beyond a signal's end never reaches
+    with the difference of the lengths, so that the corner stays in reach. A band that isn't slanted keeps the columns within
+    radius of the row itself, and costs infinity if the corner is outside. Filling beyond a signal's end never reaches
     the cells before it. An empty signal costs infinity.
     """
     if radius is not None and not free:
         a, b = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
     (left, rows), (right, columns) = _padded(list(a)), _padded(list(b))
     out, cols, every = np.full(len(rows), np.inf), np.arange(right.shape[1]), np.arange(len(rows))
-    reach = None if radius is None else radius + np.ceil(np.maximum(0, rows - columns) * radius / np.maximum(rows, 1))
+    reach = None if radius is None else radius + np.ceil(np.maximum(0, rows - columns) * radius / np.maximum(rows, 1)) * slanted
     row = np.full(right.shape, np.inf)
     for i in range(left.shape[1]):
         cost = np.abs(left[:, i, None] - right)
@@ -39,7 +40,8 @@ def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radi
             best = cost.copy()
             if not free:
                 best[:, 1:] = np.inf
-        inside = None if reach is None else np.abs(cols - (columns * i // np.maximum(rows, 1))[:, None]) <= reach[:, None]
+        centre = columns * i // np.maximum(rows, 1) if slanted else np.full(len(rows), i)
+        inside = None if reach is None else np.abs(cols - centre[:, None]) <= reach[:, None]
         if inside is not None:
             best = np.where(inside, best, np.inf)
         # right steps: the smallest best[k] + cost[k+1..j] is a running minimum against the summed costs
@@ -123,7 +125,7 @@ def pairs_cost(pairs: DataFrame, kind: str = "global", radius: int | None = None
         out = np.full(len(left), np.inf)
         for at in _blocks(left, right):
             x, y = [left[k] for k in at], [right[k] for k in at]
-            out[at] = bonus_many(x, y) if kind == "bonus" else warp_many(x, y, kind == "free", radius)
+            out[at] = bonus_many(x, y) if kind == "bonus" else warp_many(x, y, kind == "free", radius, kind != "diagonal")
         return pd.Series(out)
 
     return pairs.withColumn("cost", cost("a", "b"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import options
 from ..functions import seq, signal, sketch
-from ..operators import abundance, dtw, events, mapping, ranking
+from ..operators import abundance, dtw, events, expected, mapping, ranking
 from ..session import table
+from ..sources import paf
+from . import sql_queries
 
 TEMPLATE = [50.0, 20.0, 80.0, 40.0, 60.0, 10.0, 90.0, 30.0]
 
@@ -109,11 +111,26 @@ def optimal_threshold(spark, sf_dir):
     return _kept_shares(spark, sf_dir).select("thr", cost.alias("cost")).orderBy("cost", "thr").limit(1)
 
 
+def _model(spark):
+    """A level for each 4-mer, by a formula, as the tables have no pore model."""
+    return spark.range(256).select(F.col("id").alias("code"), (60.0 + F.col("id") * 37 % 101 * 0.6).alias("level_mean"))
+
+
 def expected_signal(spark, sf_dir):
-    """Mean expected level of both strands, from a level for each k-mer."""
-    level = lambda s: F.transform(seq.kmers(s, 4), lambda k: 60.0 + F.pmod(seq.kmer_code(k, 4) * 37, F.lit(101)) * 0.6)
-    both = sequences(spark, sf_dir).select("doc_id", "seq", level(F.col("seq")).alias("fwd"), level(seq.revcomp(F.col("seq"))).alias("rev"))
-    return both.where(F.char_length("seq") >= 4).select("doc_id", F.size("fwd").cast("long").alias("n"), F.round(signal.mean(F.col("fwd")), 6).alias("fwd_mean"), F.round(signal.mean(F.col("rev")), 6).alias("rev_mean"))
+    """Expected z-scores of both strands: how many, the first one, the largest one and the sum of their sizes."""
+    refs = sequences(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "seq").where(F.char_length("seq") >= 4)
+    s = F.col("signal")
+    size = F.aggregate(s, F.lit(0.0), lambda t, x: t + F.abs(x)) / F.size(s)
+    rows = expected.expected_signals(refs, _model(spark), 4)
+    return rows.select(F.col("ref_id").alias("doc_id"), F.col("strand").cast("long").alias("strand"), F.size(s).cast("long").alias("n"), F.round(F.get(s, F.lit(0)), 5).alias("first"), F.round(F.array_max(s), 5).alias("top"), F.round(size, 5).alias("mean_size"))
+
+
+def stepped_reference(spark, sf_dir):
+    """Discrete reference signals of both strands: their lengths, sums and sums by place."""
+    refs = sequences(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "seq")
+    rows = expected.stepped_reference(refs, _model(spark), 4).withColumn("s", F.col("signal"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x)
+    return rows.select(F.col("ref_id").alias("doc_id"), F.size("s").cast("long").alias("n"), total(F.col("s")).alias("total"), total(F.transform("s", lambda x, i: x * i)).alias("placed"))
 
 
 def quantized(spark, sf_dir):
@@ -179,6 +196,12 @@ def warping(kind, radius=None):
     return run
 
 
+def diagonal(spark, sf_dir):
+    """Costs within six samples of the diagonal; the class signals are cut, so that the corner is off it."""
+    rows = _pairs(spark, sf_dir).withColumn("b", F.slice("b", 1, 60))
+    return dtw.pairs_cost(rows, "diagonal", 6).select("read_id", "ref_id", F.round("cost", 4).alias("cost"))
+
+
 def warping_path(spark, sf_dir):
     """Length of the best path of each vector in its class's mean signal, and the largest difference on it."""
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("label").cast("long").alias("ref_id"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("a"))
@@ -219,8 +242,37 @@ def mapped_minimizers(spark, sf_dir):
     return found.select("read_id", "ref_id", "score", F.round("aligned", 4).alias("aligned"), "n_anchors", "mapq", "confident")
 
 
+def _paf(spark, sf_dir):
+    reads = vectors(spark, sf_dir)
+    sizes = reads.select("read_id", (F.size("signal") * 10).cast("long").alias("samples"), F.size("signal").alias("events"))
+    return paf.paf_rows(_mapped(spark, sf_dir), sizes, reads.select(F.col("read_id").alias("ref_id"), F.size("signal").alias("len")))
+
+
+def paf_table(spark, sf_dir):
+    return _paf(spark, sf_dir)
+
+
 def paf_round_trip(spark, sf_dir):
-    return mapping.parse_paf(mapping.paf_line(_mapped(spark, sf_dir))).select("read_id", "ref_id", "strand", "mapq", F.get(F.map_values("tags"), F.lit(0)).alias("first_tag"))
+    """Mappings written as lines of twelve columns with tags, and read from these."""
+    rows = paf.parse_paf(paf.paf_lines(_paf(spark, sf_dir)))
+    return rows.select("qname", "strand", "tname", *paf.NUMBERS, F.element_at("tags", "cm").cast("long").alias("cm"), F.coalesce(F.size("anchors"), F.lit(0)).cast("long").alias("n_anchors"))
+
+
+def anchor_log(spark, sf_dir):
+    """All hits between vectors, written as log lines and read from these: hits by read and strand."""
+    hits = mapping.anchors(vectors(spark, sf_dir), mapping.build_index(_refs(spark, sf_dir))).where("read_id != ref_id")
+    rows = paf.parse_anchor_lines(paf.anchor_lines(hits))
+    return rows.groupBy(F.col("qname").cast("long").alias("read_id"), "strand").agg(F.count(F.lit(1)).alias("hits"), F.sum("q").cast("long").alias("q_sum"), F.sum("t").cast("long").alias("t_sum"))
+
+
+def drawn(spark, sf_dir):
+    """A thousand documents drawn with replacement."""
+    return ranking.drawn(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 1000, 7).select("draw", "doc_id")
+
+
+def shuffled(spark, sf_dir):
+    """The first hundred reads of a seeded shuffle."""
+    return ranking.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, 42)
 
 
 def mutated(spark, sf_dir):
@@ -302,17 +354,19 @@ def discard_curve(spark, sf_dir):
 
 
 def sequence_until(spark, sf_dir):
-    """Ticks of 500 mapped reads: the largest squared distance of a tick's abundances from the four before, and whether it is small."""
+    """Ticks of 500 mapped reads in order: the outlier distance among the last five ticks' abundances, and whether to stop."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.floor(F.col("o_orderkey") / 2000).alias("tick"), F.col("c_nationkey").alias("k"), "o_totalprice")
-    step = rows.groupBy("tick", "k").agg(F.sum("o_totalprice").alias("b"))
-    return abundance.tick_distances(step, 0.0005)
+    reads = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", F.col("c_nationkey").cast("long").alias("k"), F.col("o_totalprice").cast("double").alias("len"))
+    ranked = ranking.ordered_rank(reads, "o_orderkey")
+    whole = reads.agg(F.floor(F.count(F.lit(1)) / 500).alias("n")).scalar()
+    step = ranked.groupBy(F.ceil(F.col("rank") / 500).alias("tick"), "k").agg(F.sum("len").alias("b")).where(F.col("tick") <= whole)
+    return abundance.ring_distances(step, 0.0005)
 
 
 QUERIES = {
     "sdtw_classify": sdtw_classify, "signal_from_events": signal_from_events, "chunk_explode": chunk_explode, "trimmed": trimmed, "array_norm": array_norm,
     "tstat_w3": tstat(3), "tstat_w6": tstat(6), "detect_events": detected, "revcomp": reverse_complement, "kmer_histogram": kmer_histogram, "coverage_bins": coverage_bins, "seeds_distinct": distinct_seeds, "runtime_model": runtime_model, "optimal_threshold": optimal_threshold,
-    "expected_signal": expected_signal, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
+    "expected_signal": expected_signal, "stepped_reference": stepped_reference, "dtw_diagonal": diagonal, "paf_table": paf_table, "anchor_log": anchor_log, "drawn": drawn, "shuffled": shuffled, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
     "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 6), "dtw_semiglobal": warping("free"),
     "sdtw_bonus": warping("bonus"), "dtw_path": warping_path, "nearest_class": nearest_class, "indels": indels, "smoothed": smoothed, "segmented": segmented,
     "running_abundance": running_abundance, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "discard_curve": discard_curve, "map_reads": mapped, "map_minimizers": mapped_minimizers, "paf_round_trip": paf_round_trip, "mutated": mutated, "sequence_until": sequence_until,
@@ -349,6 +403,41 @@ def _tstat_sql(w: int) -> str:
       THEN abs(avg(value) OVER {a} - avg(value) OVER {b}) / sqrt(greatest(var_pop(value) OVER {b} + var_pop(value) OVER {a}, 1.1754943508222875e-38) / {w}) ELSE 0 END, 5) AS t FROM s"""
 
 
+_LEVELS = """WITH d AS (SELECT doc_id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGT]', '', 'g') AS seq FROM documents),
+b AS (SELECT doc_id, 0 AS strand, seq FROM d UNION ALL SELECT doc_id, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM d),
+c AS (SELECT doc_id, strand, length(seq) AS size, unnest(range(1, length(seq) + 1)) AS i, unnest(list_transform(string_split(seq, ''), lambda x: instr('ACGT', x) - 1)) AS g FROM b WHERE seq != ''),
+k AS (SELECT doc_id, strand, size, i, g * 64 + lead(g, 1) OVER w * 16 + lead(g, 2) OVER w * 4 + lead(g, 3) OVER w AS code FROM c WINDOW w AS (PARTITION BY doc_id, strand ORDER BY i)),
+l AS (SELECT doc_id, strand, size, i, 60.0::DOUBLE + (code * 37 % 101) * 0.6::DOUBLE AS x FROM k), """
+
+_CONSENSUS = """r AS (SELECT ref_id, list(m ORDER BY i) AS b FROM (SELECT label AS ref_id, i, round(avg(x) * 8, 6) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY ref_id),
+p AS (SELECT vec_id AS read_id, ref_id, list_transform(embedding, lambda x: x::DOUBLE * 8) AS a, CUT AS b FROM embeddings, r)"""
+
+
+def _warp_sql(cut: str = "b", band: int | None = None, free: bool = False) -> str:
+    """Table w (read_id, ref_id, cost): antidiagonals of the full matrix, one at a time, each from the two before."""
+    inside = "d - i >= 0 AND d - i < len(b)" + (f" AND abs(d - 2 * i) <= {band}" if band is not None else "")
+    start = "(i = 0 AND d = 0)" if not free else "i = 0"
+    cell = f"""CASE WHEN {inside} THEN abs(a[i + 1] - b[d - i + 1]) + CASE WHEN {start} THEN 0 ELSE
+        least(prev[i + 1], CASE WHEN i > 0 THEN prev[i] ELSE 'inf'::DOUBLE END, CASE WHEN i > 0 THEN prev2[i] ELSE 'inf'::DOUBLE END) END ELSE 'inf'::DOUBLE END"""
+    void = "list_transform(a, lambda x: 'inf'::DOUBLE)"
+    end = "min(cur[len(a)])" if free else "max(CASE WHEN d = len(a) + len(b) - 2 THEN cur[len(a)] END)"
+    return f"""WITH RECURSIVE {_CONSENSUS.replace("CUT", cut)},
+    g AS (SELECT read_id, ref_id, a, b, -1 AS d, {void} AS prev2, {void} AS prev, {void} AS cur FROM p UNION ALL
+      SELECT read_id, ref_id, a, b, d, prev2, prev, list_transform(range(len(a)), lambda i: {cell}) FROM
+        (SELECT read_id, ref_id, a, b, d + 1 AS d, prev AS prev2, cur AS prev FROM g WHERE d < len(a) + len(b) - 2)),
+    w AS (SELECT read_id, ref_id, {end} AS cost FROM g WHERE d >= 0 GROUP BY ALL) """
+
+
+_COSTS = "SELECT read_id, ref_id::BIGINT AS ref_id, round(cost, 4) AS cost FROM w"
+_RING = """WITH RECURSIVE a AS (SELECT c_nationkey AS k, o_totalprice::DOUBLE AS len, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT (n + 499) // 500 AS tick, k, sum(len) AS b FROM a GROUP BY 1, 2), t AS (SELECT DISTINCT tick FROM s WHERE tick <= (SELECT count(*) // 500 FROM a)),
+v AS (SELECT tick, k, b / sum(b) OVER (PARTITION BY tick) AS x FROM (SELECT t.tick, s.k, sum(s.b) AS b FROM t JOIN s ON s.tick <= t.tick GROUP BY 1, 2)),
+f AS (SELECT t.tick, o.tick AS member, (o.tick - 1) % 5 AS slot FROM t JOIN t o ON o.tick BETWEEN t.tick - 4 AND t.tick),
+e AS (SELECT p.tick, p.slot AS i, q.slot AS j, (SELECT sum((coalesce(x.x, 0) - coalesce(y.x, 0)) ** 2) FROM (SELECT * FROM v WHERE v.tick = p.member) x FULL JOIN (SELECT * FROM v WHERE v.tick = q.member) y ON x.k = y.k) AS dist FROM f p JOIN f q ON p.tick = q.tick),
+g AS (SELECT tick, 0 AS i, 0 AS far, 0.0::DOUBLE AS most FROM t UNION ALL
+  SELECT g.tick, g.i + 1, CASE WHEN dist > most THEN g.i + 1 ELSE far END, greatest(dist, most) FROM g JOIN e ON e.tick = g.tick AND e.i = g.i + 1 AND e.j = g.far)
+SELECT tick::BIGINT AS tick, round(max(most), 12) AS distance, tick > 5 AND max(most) <= 0.0005 AS stop FROM g GROUP BY tick"""
+
 ORACLES = {
     "signal_from_events": _S + "SELECT user_id AS read_id, count(*) AS n, round(arg_min(value, pos), 6) AS first, round(arg_max(value, pos), 6) AS last FROM s GROUP BY user_id",
     "chunk_explode": _S + "SELECT user_id AS read_id, (pos // 20)::BIGINT AS chunk, count(*) AS n, round(sum(value ORDER BY pos), 4) AS total FROM s GROUP BY 1, 2",
@@ -369,4 +458,22 @@ ORACLES = {
     "anchor_counts": _seeds_sql(6) + " SELECT a.read_id, count(*) AS hits, count(DISTINCT b.read_id) AS refs FROM h6 a JOIN h6 b ON a.hash = b.hash AND b.read_id != a.read_id GROUP BY a.read_id",
     "minimizer_w5": _SEEDS + """, m AS (SELECT read_id, pos, min(hash) OVER (PARTITION BY read_id ORDER BY pos ROWS 4 PRECEDING) AS low, count(*) OVER (PARTITION BY read_id ORDER BY pos ROWS 4 PRECEDING) AS n FROM h6)
         SELECT DISTINCT h6.read_id, h6.pos::BIGINT AS pos, hash::BIGINT AS hash FROM h6 JOIN m ON h6.read_id = m.read_id AND m.n = 5 AND m.pos BETWEEN h6.pos AND h6.pos + 4 AND m.low = h6.hash""",
+    "array_norm": sql_queries.ORACLES["discrete_norm_4"],
+    "expected_signal": _LEVELS + """m AS (SELECT *, avg(x) OVER p AS mu, stddev_pop(x) OVER p AS sd FROM l WHERE x IS NOT NULL WINDOW p AS (PARTITION BY doc_id, strand)),
+        z AS (SELECT doc_id, strand, i, CASE WHEN sd > 1e-9 THEN (x - mu) / sd ELSE 0 END AS z FROM m)
+        SELECT doc_id, strand::BIGINT AS strand, count(*) AS n, round(arg_min(z, i), 5) AS first, round(max(z), 5) AS top, round(avg(abs(z)), 5) AS mean_size FROM z GROUP BY 1, 2""",
+    "stepped_reference": _LEVELS + """o AS (SELECT doc_id, strand, size, i, CASE WHEN i <= size - 4 THEN x * 100 ELSE 0 END AS x FROM l),
+        m AS (SELECT *, trunc(avg(x) OVER (PARTITION BY doc_id, strand)) AS mu FROM o), h AS (SELECT *, greatest(trunc(avg(abs(x - mu)) OVER (PARTITION BY doc_id, strand)), 1) AS mad FROM m),
+        q AS (SELECT doc_id, strand * size + i - 1 AS place, trunc((greatest(least((x - mu) / mad, 4), -4) + 4) * 32)::BIGINT AS code FROM h)
+        SELECT doc_id, count(*) AS n, sum(code)::BIGINT AS total, sum(code * place)::BIGINT AS placed FROM q GROUP BY doc_id""",
+    "dtw_global": _warp_sql() + _COSTS,
+    "dtw_banded": _warp_sql(band=6) + _COSTS,
+    "dtw_diagonal": _warp_sql("b[1:60]", 6) + _COSTS,
+    "dtw_semiglobal": _warp_sql(free=True) + _COSTS,
+    "nearest_class": _warp_sql() + "SELECT e.label::BIGINT AS truth, found::BIGINT AS found, count(*) AS n FROM (SELECT read_id, arg_min(ref_id, cost) AS found FROM w GROUP BY 1) JOIN embeddings e ON e.vec_id = read_id GROUP BY 1, 2",
+    "anchor_log": _seeds_sql(6) + " SELECT a.read_id, '+' AS strand, count(*) AS hits, sum(a.pos)::BIGINT AS q_sum, sum(b.pos)::BIGINT AS t_sum FROM h6 a JOIN h6 b ON a.hash = b.hash AND b.read_id != a.read_id GROUP BY a.read_id",
+    "drawn": """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents), d AS (SELECT unnest(range(1000)) AS draw)
+        SELECT draw, doc_id FROM d JOIN r ON k = ('0x' || md5('7:' || draw)[1:8])::BIGINT % (SELECT count(*) FROM r) + 1""",
+    "shuffled": "SELECT doc_id FROM documents ORDER BY ('0x' || md5('42:' || doc_id)[1:8])::BIGINT, doc_id LIMIT 100",
+    "sequence_until": _RING,
 }

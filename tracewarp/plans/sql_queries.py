@@ -43,7 +43,7 @@ SELECT thr, target, round(avg(CASE WHEN cost > thr THEN 1.0 ELSE 0.0 END), 9) AS
     "confusion": "SELECT quality = 1 AS truth, toxic = 1 AS predicted, count(*) AS n FROM {labels} GROUP BY 1, 2",
     "precision_recall": """WITH c AS (SELECT sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END) AS fn FROM {labels})
 SELECT round(coalesce(tp / nullif(tp + fp + 0.0, 0), 0), 9) AS prec, round(coalesce(tp / nullif(tp + fn + 0.0, 0), 0), 9) AS rec, round(coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0), 9) AS f1 FROM c""",
-    "mean_times": "SELECT event_type, round(avg(value), 6) AS mean_time, round(median(value), 6) AS median_time, count(*) AS reads FROM {events} GROUP BY event_type",
+    "mean_times": "SELECT event_type, round(avg(value), 6) AS mean_time, round(median(value), 6) AS median_time, round(max(value), 6) AS max_time, round(sum(value), 4) AS total_time, count(*) AS reads FROM {events} GROUP BY event_type",
     "relative_abundance": """WITH g AS (SELECT n_name AS organism, count(*) AS reads, sum(o_totalprice) AS bases FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name)
 SELECT organism, reads, round(reads * 1.0 / sum(reads) OVER (), 9) AS read_share, round(bases / sum(bases) OVER (), 9) AS base_share, round(bases / reads, 4) AS mean_length FROM g""",
     "abundance_distance": """WITH a AS (SELECT c_nationkey AS k, count(*) AS n, sum(o_totalprice) AS b FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey),
@@ -80,6 +80,7 @@ d AS (SELECT thr, round((0.01 * (1 + keep_t * 3) + 0.99 * (1 + keep_o * 3)) / ke
     "semi_membership": "SELECT d.doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1)",
     "anti_membership": "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)",
     "union_labelled": "SELECT 'customer' AS kind, c_nationkey AS nation, count(*) AS n FROM {customer} GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM {supplier} GROUP BY s_nationkey",
+    "prefixed_union": "SELECT 'c_' || c_name AS name, c_nationkey AS nation FROM {customer} UNION ALL SELECT 's_' || s_name, s_nationkey FROM {supplier}",
     "key_intersection": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
     "set_difference": "SELECT l_partkey % 400 AS a, l_suppkey AS b FROM {lineitem} EXCEPT SELECT p_partkey % 400, p_partkey % 100 FROM {part}",
     "merge_right_precedence": "WITH u AS (SELECT s_nationkey AS k, s_suppkey AS v, 1 AS side FROM {supplier} UNION ALL SELECT c_nationkey, c_custkey, 2 FROM {customer}), r AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY side DESC, v DESC) AS rn FROM u) SELECT k, v FROM r WHERE rn = 1",
@@ -105,7 +106,7 @@ COLUMNS = {
     "discard_curve": "thr DOUBLE, target BOOLEAN, discarded DOUBLE",
     "confusion": "truth BOOLEAN, predicted BOOLEAN, n BIGINT",
     "precision_recall": "prec DOUBLE, rec DOUBLE, f1 DOUBLE",
-    "mean_times": "event_type VARCHAR, mean_time DOUBLE, median_time DOUBLE, reads BIGINT",
+    "mean_times": "event_type VARCHAR, mean_time DOUBLE, median_time DOUBLE, max_time DOUBLE, total_time DOUBLE, reads BIGINT",
     "relative_abundance": "organism VARCHAR, reads BIGINT, read_share DOUBLE, base_share DOUBLE, mean_length DOUBLE",
     "abundance_distance": "distance DOUBLE",
     "running_abundance": "tick BIGINT, organism BIGINT, bases DOUBLE",
@@ -125,6 +126,7 @@ COLUMNS = {
     "semi_membership": "doc_id BIGINT",
     "anti_membership": "doc_id BIGINT",
     "union_labelled": "kind VARCHAR, nation BIGINT, n BIGINT",
+    "prefixed_union": "name VARCHAR, nation BIGINT",
     "key_intersection": "k BIGINT",
     "set_difference": "a BIGINT, b BIGINT",
     "merge_right_precedence": "k BIGINT, v BIGINT",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import kmer_code, revcomp
+from ..functions.seq import revcomp
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -20,11 +20,24 @@ def write_fasta(refs: DataFrame, path: str) -> None:
     refs.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(path)
 
 
-def read_pore_model(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """(kmer, code, level_mean) of a tab-separated model with or without header lines."""
-    rows = spark.read.text(path).where(~F.col("value").rlike("^(#|kmer)")).select(F.split("value", "\t").alias("p"))
+def read_pore_model(spark: SparkSession, path: str) -> DataFrame:
+    """(kmer, code, level_mean, level_stdv, sd_mean, sd_stdv) of a tab-separated model of two or five columns, with or without header
+    lines; columns that aren't there are null. The code has two bits a base, so k is the length of the k-mers themselves."""
+    rows = spark.read.text(path).where(~F.col("value").rlike("^(#|kmer)") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("p"))
     kmer = F.get("p", F.lit(0))
-    return rows.select(kmer.alias("kmer"), kmer_code(kmer, k).alias("code"), F.get("p", F.lit(1)).cast("double").alias("level_mean"))
+    digits = F.translate(F.regexp_replace(F.upper(kmer), "[^ACGTU]", "A"), "ACGTU", "01233")
+    numbers = [F.get("p", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("level_mean", "level_stdv", "sd_mean", "sd_stdv"), 1)]
+    return rows.select(kmer.alias("kmer"), F.conv(digits, 4, 10).cast("long").alias("code"), *numbers)
+
+
+def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(place, day, value) of comma-separated lines without a header."""
+    return spark.read.csv(path, schema="place string, day date, value double")
+
+
+def write_decisions(decided: DataFrame, path: str) -> None:
+    """Decisions (is_target, source, read_id, final_len, last_score, keep) as tab-separated text, each part with a header line."""
+    decided.select("is_target", "source", "read_id", "final_len", "last_score", "keep").write.csv(path, sep="\t", header=True)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -39,20 +52,37 @@ def write_fastq(reads: DataFrame, path: str) -> None:
     reads.select(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines with their 0-based number in the file, whatever the number of splits it is read in.
+
+    A split's lines are consecutive in its task, so a line's place is its id less the split's lowest one, plus the lines of the
+    splits before; only a row a split is sorted for that.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return lines.join(splits, ["file", "start"]).select("file", (F.col("id") - F.col("low") + F.col("before")).alias("line"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, nth, read_id, seq, qual) of files with four lines a record; gzip is read by suffix. A file is one row until its
-    records are exploded, as a quality line may look like a header; an incomplete last record is left out."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("l"))
-    records = F.floor(F.size("l") / 4).cast("int")
-    nth = F.when(records > 0, F.sequence(F.lit(0), records - 1)).otherwise(F.array().cast("array<int>"))
-    one = F.transform(nth, lambda i: F.struct(i.alias("nth"), F.split_part(F.substr(F.get("l", i * 4), F.lit(2)), F.lit(" "), F.lit(1)).alias("read_id"), F.translate(F.get("l", i * 4 + 1), "Uu", "Tt").alias("seq"), F.get("l", i * 4 + 3).alias("qual")))
-    return rows.select("file", F.explode(one).alias("r")).select("file", "r.*")
+    """(file, nth, read_id, seq, qual) of files with four lines a record; gzip is read by suffix. Lines are numbered, so large
+    files are split and quality lines may look like headers; an incomplete last record is left out."""
+    rows = numbered_lines(spark, path).withColumns({"nth": F.floor(F.col("line") / 4), "part": F.col("line") % 4})
+    part = lambda i: F.max(F.when(F.col("part") == i, F.col("value")))
+    records = rows.groupBy("file", "nth").agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual")).where("qual is not null")
+    return records.select("file", "nth", F.split_part(F.substr("head", F.lit(2)), F.lit(" "), F.lit(1)).alias("read_id"), F.translate("seq", "Uu", "Tt").alias("seq"), "qual")
 
 
 def lock_step(one: DataFrame, two: DataFrame) -> DataFrame:
-    """The i-th records of two files side by side; the shorter file ends the result."""
-    side = lambda df, n: df.select("nth", F.col("read_id").alias(f"read_id_{n}"), F.col("seq").alias(f"seq_{n}"))
-    return side(one, 1).join(side(two, 2), "nth")
+    """The i-th records of the n-th files of two sides, in order of their names; the shorter file ends the result."""
+
+    def side(df, n):
+        files = df.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).alias("pair"))  # a row a file
+        return df.join(files, "file").select("pair", "nth", F.col("read_id").alias(f"read_id_{n}"), F.col("seq").alias(f"seq_{n}"))
+
+    return side(one, 1).join(side(two, 2), ["pair", "nth"]).drop("pair")
 
 
 def write_sam(rows: DataFrame, refs: DataFrame, path: str) -> None:
