@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,66 +16,84 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_lock = threading.Lock()
+#: The scopes around the code that runs, outermost first: each scratch() adds one. A thread starts without any.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tracewarp-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    with _lock:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tracewarp.dir", None)
+        if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tracewarp-")
+            spark.conf.set("spark.tracewarp.dir", base)
     return base.rstrip("/")
 
 
-#: What has been written and not removed: (path, table or None), with an open list for each scratch() around the code that runs.
-_open: list[list[tuple[str, str | None]]] = [[]]
+def _session(spark: SparkSession) -> str:
+    """A name for this session's tables, kept in its own settings."""
+    with _lock:
+        if not (name := spark.conf.get("spark.tracewarp.scope", None)):
+            name = uuid.uuid4().hex[:12]
+            spark.conf.set("spark.tracewarp.scope", name)
+    return name
+
+
+def _scope(spark: SparkSession) -> tuple[str, ...]:
+    return (_session(spark), *_scopes.get())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tracewarp/{name}-{uuid.uuid4().hex[:12]}"
-    _open[-1].append((path, None))
-    return path
+    """A path of its own in the folder of the scope that runs, so that removing a scope removes it."""
+    return "/".join([shared_dir(spark), "tracewarp", *_scope(spark), f"{name}-{uuid.uuid4().hex[:12]}"])
 
 
-def remove(spark: SparkSession, things: list[tuple[str, str | None]]) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path, table in things:
-        if table:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _remove_scope(spark: SparkSession, scope: tuple[str, ...]) -> None:
+    for row in spark.sql(f"SHOW TABLES LIKE 'tracewarp_{'_'.join(scope)}_*'").collect():
+        spark.sql(f"DROP TABLE IF EXISTS {row['tableName']}")
+    remove(spark, "/".join([shared_dir(spark), "tracewarp", *scope]))
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Removes the intermediate tables written inside, when left. Results that outlive it must be written before with keep()."""
-    _open.append([])
+    token = _scopes.set((*_scopes.get(), uuid.uuid4().hex[:12]))
     try:
         yield
     finally:
-        remove(spark, _open.pop())
+        scope = _scope(spark)
+        _scopes.reset(token)
+        _remove_scope(spark, scope)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """written(), for the code outside of the innermost scratch()."""
-    _open.append([])
+    token = _scopes.set(_scopes.get()[:-1])
     try:
         return written(df, name)
     finally:
-        made = _open.pop()
-        _open[-2 if len(_open) > 1 else -1].extend(made)
+        _scopes.reset(token)
 
 
 def release(spark: SparkSession) -> None:
-    """Removes all that operators have written for this session's lazy results. These can't be read afterwards."""
-    for made in _open:
-        remove(spark, made)
-        made.clear()
+    """Removes all that operators have written for this session's lazy results, in whatever thread. These can't be read afterwards."""
+    _remove_scope(spark, (_session(spark),))
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation. ``by`` parts its files."""
-    path = new_path(df.sparkSession, name)
+    return saved(df, new_path(df.sparkSession, name), compression, by)
+
+
+def saved(df: DataFrame, path: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
     out = df.write.option("compression", compression)
     (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -82,8 +102,7 @@ def written(df: DataFrame, name: str, compression: str = "snappy", by: str | Non
 def bucketed(df: DataFrame, name: str, key: str, compression: str = "zstd") -> DataFrame:
     """Like written(), with rows in buckets of key, so that grouping by key later needs no shuffle of these rows."""
     spark = df.sparkSession
-    table, path = f"tracewarp_{uuid.uuid4().hex}", new_path(spark, name)
-    _open[-1].append((path, table))
+    table, path = f"tracewarp_{'_'.join(_scope(spark))}_{uuid.uuid4().hex[:12]}", new_path(spark, name)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = df.write.option("path", path).option("compression", compression)
     out.bucketBy(parts, key).saveAsTable(table)
@@ -139,20 +158,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     """
     spark = edges.sparkSession
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    e = written(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), f"{name}-0")
+    place = new_path(spark, f"{name}-0")
+    e = saved(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), place)
     sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last, n = sign(e), 0
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, f"{name}-l{n}")
+        half, old, place = new_path(spark, f"{name}-l{n}"), place, new_path(spark, f"{name}-s{n}")
+        large = saved(large, half)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-s{n}")
+        e = saved(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), place)
         now, n = sign(e), n + 1
-        remove(spark, _open[-1][-3:-1])  # the last round's table, and this one's first half
-        del _open[-1][-3:-1]
+        for path in (old, half):
+            remove(spark, path)
         if now == last:
             break
         last = now
