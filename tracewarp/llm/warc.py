@@ -206,7 +206,8 @@ def normalise(root: str, decided: DataFrame, level: int = 6) -> DataFrame:
             raise ValueError("a file holds other records than those written to it")
         return pa.Table.from_batches([_batch([(f"{target}/{place}.warc.gz", f"{target}/{place}.idx", count)], ARCHIVES)])
 
-    return written(decided.groupBy("file").applyInArrow(rewrite, ARCHIVES), "warc-archives")
+    parts = int(decided.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few and small, what they stand for isn't
+    return written(decided.repartition(parts, "file").groupBy("file").applyInArrow(rewrite, ARCHIVES), "warc-archives")
 
 
 def member(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
