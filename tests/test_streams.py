@@ -1,12 +1,18 @@
+import collections
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import brute
+
 from tracewarp.config import options
 from tracewarp.functions.sketch import minimizers, seeds
 from tracewarp.operators.abundance import region_coverage, tick_distances
-from tracewarp.operators.mapping import anchors, build_index, map_reads
-from tracewarp.streaming.mapper import ChunkMapper, chunk_events, run_until
+from tracewarp.operators import mapping
+from tracewarp.operators.mapping import map_reads
+from tracewarp.streaming.mapper import chunk_events, map_chunks, run_until, save_tiles
 
 SIGNAL = "signal array<double>"
 
@@ -42,38 +48,107 @@ def test_presets_reach_the_mapper(spark, world, w):
     assert map_reads(frame, refs, options("viral", w=w, least_aligned=None)).where("ref_id is not null").count() >= 2
 
 
-@pytest.mark.parametrize("w", [0, 3])
-def test_chunks_gather_the_hits_of_whole_reads(spark, world, tmp_path, w):
+def replay(spark, chunks, refs, refs_df, o):
+    """Decisions by the rules written out: chunks is {read: [events, ...]}."""
+    index = mapping.build_index(refs_df, o.e, o.w, o.least_change)
+    rows = [(i, k, x) for i, parts in chunks.items() for k, x in enumerate(parts) if len(x) >= o.least_events]
+    df = spark.createDataFrame([(i * 1000 + k, x) for i, k, x in rows], f"read_id long, {SIGNAL}")
+    hits = collections.defaultdict(list)
+    for h in mapping.anchors(df, index, o.e, o.w, o.least_change).collect():
+        hits[divmod(h["read_id"], 1000)].append(h)
+    out = {}
+    for i, parts in chunks.items():
+        kept, events, first = [], [], None
+        for k, x in enumerate(parts[: o.most_chunks]):
+            if len(x) >= o.least_events:
+                strands = collections.defaultdict(list)
+                for ref, strand, cells in kept:
+                    strands[ref, strand] += cells
+                for h in hits[i, k]:
+                    strands[h["ref_id"], h["strand"]].append((h["t"], h["q"] + len(events)))
+                events += x
+                found = brute.primaries(strands, events, refs, o)
+                kept = [(c["ref_id"], c["strand"], c["anchors"]) for c in found]
+                first = found[0] if found else None
+            if (first and first["confident"]) or k + 1 == o.most_chunks:
+                out[i] = (k + 1, *(first[c] if first else None for c in PLACES), bool(first and first["confident"]))
+                break
+    return out
+
+
+def drained(writer, triggers):
+    """Runs a stream until so many triggers with rows are over; timers keep it busy, so it doesn't end by itself."""
+    q, end = writer.start(), time.time() + 120
+    try:
+        while time.time() < end and len({p["batchId"] for p in q.recentProgress if p["numInputRows"]}) < triggers and q.isActive:
+            time.sleep(0.3)
+        assert q.exception() is None and time.time() < end
+    finally:
+        q.stop()
+
+
+PLACES = ["ref_id", "strand", "t_start", "t_end", "q_start", "q_end", "n_anchors", "mapq"]
+
+
+@pytest.mark.parametrize("changes", [{}, {"least_aligned": None}, {"least_change": None, "w": 3}, {"least_aligned": None, "best_chains": 1, "ratio": 3.0}])
+def test_streamed_decisions_equal_the_rules(spark, tmp_path, changes):
+    o = options("viral", **{"least_aligned": 4.0, "least_events": 8, "most_chunks": 4, "least_anchors": 3, **changes})
+    rng = np.random.default_rng(11)
+    refs = {(i, s): np.repeat(rng.normal(0, 1.2, 160), rng.integers(1, 3, 160)).tolist() for i in range(3) for s in (0, 1)}  # flat pairs
+    refs[1, 0][100:150] = refs[2, 1][50:100]
+    refs_df = spark.createDataFrame([(i, s, x) for (i, s), x in refs.items()], f"ref_id long, strand int, {SIGNAL}")
+    reads = {0: refs[1, 0][20:100], 1: refs[2, 1][40:140], 2: rng.normal(0, 1.2, 60).tolist(), 3: refs[0, 0][:24], 4: refs[1, 0][95:150] + refs[0, 1][10:80], 5: refs[0, 1][30:70] + [9.0] * 5 + refs[0, 1][70:150]}
+    cut = {0: [20, 40, 60], 1: [30, 35, 60, 80], 2: [15, 30, 45], 3: [10, 20], 4: [20, 40, 70], 5: [40, 45, 90]}
+    chunks = {i: [x[a:b] for a, b in zip([0, *cut[i]], [*cut[i], len(x)])] for i, x in reads.items()}
+    want = replay(spark, chunks, refs, refs_df, o)
+    kind = "read_id long, chunk int, events array<double>"
+    for trigger, ks in enumerate([(0,), (1, 2), (3, 4)]):  # chunks of one trigger come in any order; read 5's last one is late
+        rows = [(i, k, p[k]) for i, p in chunks.items() for k in reversed(ks) if k < len(p)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(i, 9, [0.0] * 20) for i in reads], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # late ones
+    save_tiles(refs_df, str(tmp_path / "tiles"), 4096)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    index = mapping.build_index(refs_df, o.e, o.w, o.least_change)
+    found = map_chunks(stream, index, o, str(tmp_path / "tiles"), 3_600_000)
+    drained(found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")), 4)
+    got = {r["read_id"]: tuple(r[c] for c in ["chunks", *PLACES, "confident"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    late = {i for i in reads if i not in want}
+    assert {i: x for i, x in got.items() if i not in late} == want and sum(x[-1] for x in want.values()) >= 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(got)
+    states = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "kept").load()
+    events = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "events").load()
+    left = {r[0] for df in (states, events) for r in df.select("key.read_id").collect()}
+    assert not left & set(got)  # decided reads have left the state
+
+
+def test_one_chunk_decides_like_the_batch(spark, world, tmp_path):
     refs, reads = world
-    o = options("viral", w=w, least_anchors=10_000, least_events=8, most_chunks=99)  # no read is ever decided
-    parts = {i: [s[:15], s[15:22], s[22:40], s[40:]] for i, s in reads.items()}
-    whole = [(i, [x for p in ps if len(p) >= 8 for x in p]) for i, ps in parts.items()]
-    index = build_index(refs, o.e, o.w)
-    mapper = ChunkMapper(index, refs, str(tmp_path / "state"), o)
-    for batch, ks in enumerate([(0,), (1, 2), (3,)]):
-        rows = spark.createDataFrame([(i, k, ps[k]) for i, ps in parts.items() for k in reversed(ks)], "read_id long, chunk int, events array<double>")
-        mapper(rows, batch)
-        mapper(rows, batch)  # a trigger that runs twice changes nothing
-    got = spark.read.parquet(str(tmp_path / "state/hits-2"))
-    want = anchors(spark.createDataFrame(whole, f"read_id long, {SIGNAL}"), index, o.e, o.w)
-    key = lambda df: sorted((r["read_id"], r["ref_id"], r["strand"], r["t"], r["q"]) for r in df.collect())
-    assert len(key(want)) > 0 and key(got) == key(want)
-    assert mapper.decided(spark, 2).count() == 0
-
-
-def test_confident_reads_leave_and_late_chunks_are_ignored(spark, world, tmp_path):
+    o = options("viral", least_aligned=5.0, least_events=8, most_chunks=1)
+    frame = spark.createDataFrame([(i, 0, s) for i, s in reads.items()], "read_id long, chunk int, events array<double>")
+    frame.write.parquet(str(tmp_path / "in"))
+    save_tiles(refs, str(tmp_path / "tiles"))
+    found = map_chunks(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), mapping.build_index(refs, o.e, o.w, o.least_change), o, str(tmp_path / "tiles"))
+    drained(found.writeStream.format("memory").queryName("one_chunk").option("checkpointLocation", str(tmp_path / "cp")), 1)
+    names = [*PLACES, "confident"]
+    batch = {r["read_id"]: tuple(r[c] for c in names) for r in map_reads(frame.select("read_id", F.col("events").alias("signal")), refs, o).collect()}
+    got = {r["read_id"]: tuple(r[c] for c in names) for r in spark.table("one_chunk").collect()}
+    assert got == {i: (*x[:-1], bool(x[-1])) for i, x in batch.items()} and sum(x[-1] for x in got.values()) >= 2
+
+
+def test_idle_reads_leave(spark, world, tmp_path):
     refs, reads = world
-    o = options("viral", least_aligned=5.0, least_events=8, most_chunks=3)
-    chunks = [(i, k, s[20 * k : 20 * k + 20]) for i, s in reads.items() for k in range(3)]
-    for k in range(3):
-        spark.createDataFrame([c for c in chunks if c[1] == k], "read_id long, chunk int, events array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("read_id long, chunk int, events array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    mapper = ChunkMapper(build_index(refs, o.e, o.w), refs, str(tmp_path / "state"), o)
-    last = run_until(stream, mapper, lambda batch: False, str(tmp_path / "cp"))
-    got = mapper.decided(spark, last).collect()
-    by = {r["read_id"]: r for r in got}
-    assert len(got) == len(by) and by[0]["ref_id"] == 1 and by[0]["confident"] and by[0]["chunks"] < 3 and by[1]["ref_id"] == 2
-    assert not by[2]["confident"] and by[2]["chunks"] == 3
+    o = options("viral", least_aligned=None, least_events=8, most_chunks=9, least_anchors=1000)  # never decided
+    kind = "read_id long, chunk int, events array<double>"
+    spark.createDataFrame([(0, 0, reads[0])], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    found = map_chunks(stream, mapping.build_index(refs, o.e, o.w, o.least_change), o, idle_ms=500)
+    q = found.writeStream.format("memory").queryName("idle_reads").option("checkpointLocation", str(tmp_path / "cp")).start()
+    end = time.time() + 90
+    while time.time() < end and spark.table("idle_reads").count() == 0:
+        time.sleep(1)
+    q.stop()
+    row = spark.table("idle_reads").first()
+    assert (row["read_id"], row["chunks"], row["confident"], row["ref_id"]) == (0, 1, False, None)
 
 
 def test_run_until_stops_at_coverage(spark, tmp_path):

@@ -8,7 +8,9 @@ from dataclasses import dataclass, replace
 @dataclass(frozen=True)
 class MapOptions:
     """e events a seed, minimizers over w seeds (0: every seed), the least change from one event to the next (None: any), chaining
-    limits, and how chains are scored and judged."""
+    limits, and how chains are scored and judged. prune: chain ends need least_score and half of the read's best score so far.
+    Alignments go from anchor to anchor (sparse) or from a chain's first to its last one, in a band of ``share`` of the events
+    (banded) or over the whole matrix."""
 
     e: int = 6
     w: int = 0
@@ -20,10 +22,13 @@ class MapOptions:
     least_anchors: int = 2
     least_score: float = 10.0
     best_chains: int = 3
+    prune: bool = True
     ratio: float = 1.2
     over_mean: float = 5.0
     bonus: float = 0.4
     share: float = 0.1
+    sparse: bool = True
+    banded: bool = True
     least_aligned: float | None = 20.0
     least_events: int = 50
     most_chunks: int = 30

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,19 +43,19 @@ def discrete_normalize(a: Column, reach: int = 4, levels: int = 256) -> Column:
     return bound(mean(a).cast("long"), body)
 
 
-def stall_end(a: Column, high: float = 3.0) -> Column:
-    """Where an initial stall ends, in steps of three samples: two means in a row above, then two in a row below; 0 without one."""
-    n = F.floor(F.size(a) / 3).cast("int")
-    means = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.get(a, i * 3) + F.get(a, i * 3 + 1) + F.get(a, i * 3 + 2)) / 3)).otherwise(F.array().cast("array<double>"))
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(False).alias("up"), F.lit(-1).alias("end"))
+def stall_end(a: Column, high: float = 3.0, width: int = 3, times: int = 2) -> Column:
+    """Where an initial stall ends, in steps of ``width`` samples: after ``times`` means in a row above, and then as many in a row below.
+    The last mean may be of fewer samples. Without a stall, or without its end, the place after the last mean, so that nothing is left."""
+    n = F.ceil(F.size(a) / width).cast("int")
+    means = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: mean(F.slice(a, i * width + 1, F.lit(width))))).otherwise(F.array().cast("array<double>"))
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("phase"))
 
     def step(s, m):
-        above = m > high
-        run = F.when(above != s["up"], s["run"] + 1).otherwise(0)
-        done = (s["end"] < 0) & s["up"] & (run == 2)
-        return F.struct((s["i"] + 1).alias("i"), F.when(run == 2, 0).otherwise(run).alias("run"), F.when(run == 2, ~s["up"]).otherwise(s["up"]).alias("up"), F.when(done, s["i"]).otherwise(s["end"]).alias("end"))
+        run = F.when(F.when(s["phase"] == 0, m > high).otherwise(m < high), s["run"] + 1).otherwise(0)
+        moved = F.struct((s["at"] + 1).alias("at"), F.when(run == times, 0).otherwise(run).alias("run"), F.when(run == times, s["phase"] + 1).otherwise(s["phase"]).alias("phase"))
+        return F.when(s["phase"] == 2, s).otherwise(moved)
 
-    return F.aggregate(means, state, step, lambda s: F.greatest(s["end"] * 3, F.lit(0)))
+    return F.aggregate(means, state, step, lambda s: s["at"] * width)
 
 
 def chunks(a: Column, size: int) -> Column:
@@ -62,18 +64,25 @@ def chunks(a: Column, size: int) -> Column:
     return F.transform(starts, lambda s: F.slice(a, s + 1, F.lit(size)))
 
 
-def limit_outliers(a: Column, limit: float = 4.0) -> Column:
-    """Samples beyond the limit: clipped to it if the sample before (as already changed) or after is at or beyond it too, else
-    the mean of both neighbours. The fold carries the changed samples, as a window would see the old ones."""
-    n = F.size(a)
+def limited(x: np.ndarray, limit: float = 4.0, near: float = 3.0) -> np.ndarray:
+    """A signal without samples beyond the limit, first above and then below: one whose right neighbour is beyond ``near``, or whose left
+    one (as already changed) is beyond the limit, is clipped; others become the mean of their neighbours, or the only one's value."""
+    x = x.copy()
+    for sign in (1.0, -1.0):
+        x *= sign
+        for i in np.flatnonzero(x > limit):
+            after, before = x[i + 1 : i + 2], x[i - 1 : i] if i else x[:0]
+            crowd = (after > near).any() or (before > limit).any()
+            x[i] = limit if crowd or len(x) == 1 else np.concatenate([before, after]).mean()
+        x *= sign
+    return x
 
-    def step(done, i):
-        x, before, after = F.get(a, i), F.element_at(done, -1), F.get(a, i + 1)
-        sides = [(x > limit, (before >= limit) | (after >= limit), limit), (x < -limit, (before <= -limit) | (after <= -limit), -limit)]
-        new = x
-        for far, crowd, edge in sides:
-            new = F.when(far & crowd, edge).when(far, (before + after) / 2).otherwise(new)
-        return F.concat(done, F.array(new))
 
-    inner = F.aggregate(F.sequence(F.lit(1), n - 2), F.slice(a, 1, 1), step, lambda done: F.concat(done, F.slice(a, -1, 1)))
-    return F.when(n >= 3, inner).otherwise(a)
+def limit_outliers(a: Column, limit: float = 4.0, near: float = 3.0) -> Column:
+    """limited() of an array, in Arrow batches: only its outliers are walked."""
+
+    @F.pandas_udf("array<double>")
+    def run(signals: pd.Series) -> pd.Series:
+        return signals.map(lambda x: None if x is None else limited(np.asarray(x, float), limit, near))
+
+    return run(a)

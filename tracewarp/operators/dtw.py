@@ -19,19 +19,42 @@ def _padded(signals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radius: int | None = None, slanted: bool = True) -> np.ndarray:
+def antidiagonal_band(rows: int, columns: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest and the highest row of the band on each antidiagonal, for at least as many rows as columns.
+
+    A step down moves the band's centre to the next row, and to the next column where the slanted diagonal gets there. The
+    antidiagonals through these centres have the odd one of r and r + 1 cells; where both move, the one in between has the even
+    number. r is the radius and its share of the difference of the lengths, rounded up.
+    """
+    r = radius + -(-(rows - columns) * radius // rows)
+    odd, even = (r, r + 1) if r % 2 else (r + 1, r)
+    row = np.arange(rows)
+    column = columns * row // rows
+    low, high = np.zeros(rows + columns - 1, int), np.full(rows + columns - 1, -1)
+    low[row + column], high[row + column] = row - odd // 2, row + odd // 2
+    both = np.flatnonzero(np.diff(column, prepend=0))
+    between = row[both] + column[both] - 1
+    low[between], high[between] = row[both] - even // 2, row[both] + even // 2 - 1
+    return low, high
+
+
+def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radius: int | None = None, slanted: bool = True, antidiagonal: bool = False) -> np.ndarray:
     """Costs of aligning each a with its b (or, if free, with the best part of b); steps right, down and both, L1 cost.
 
     A band takes the longer signal as rows and keeps the columns within radius of floor(columns * row / rows); radius grows
     with the difference of the lengths, so that the corner stays in reach. A band that isn't slanted keeps the columns within
-    radius of the row itself, and costs infinity if the corner is outside. Filling beyond a signal's end never reaches
-    the cells before it. An empty signal costs infinity.
+    radius of the row itself, and costs infinity if the corner is outside. An antidiagonal band keeps the cells of
+    antidiagonal_band(). Filling beyond a signal's end never reaches the cells before it. An empty signal costs infinity.
     """
     if radius is not None and not free:
         a, b = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
     (left, rows), (right, columns) = _padded(list(a)), _padded(list(b))
     out, cols, every = np.full(len(rows), np.inf), np.arange(right.shape[1]), np.arange(len(rows))
     reach = None if radius is None else radius + np.ceil(np.maximum(0, rows - columns) * radius / np.maximum(rows, 1)) * slanted
+    if radius is not None and antidiagonal:
+        low, high = np.zeros((len(rows), left.shape[1] + right.shape[1]), int), np.full((len(rows), left.shape[1] + right.shape[1]), -1)
+        for k in np.flatnonzero(columns):
+            low[k, : rows[k] + columns[k] - 1], high[k, : rows[k] + columns[k] - 1] = antidiagonal_band(int(rows[k]), int(columns[k]), radius)
     row = np.full(right.shape, np.inf)
     for i in range(left.shape[1]):
         cost = np.abs(left[:, i, None] - right)
@@ -42,9 +65,11 @@ def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radi
                 best[:, 1:] = np.inf
         centre = columns * i // np.maximum(rows, 1) if slanted else np.full(len(rows), i)
         inside = None if reach is None else np.abs(cols - centre[:, None]) <= reach[:, None]
+        if reach is not None and antidiagonal:
+            inside = (low[:, i : i + len(cols)] <= i) & (high[:, i : i + len(cols)] >= i)
         if inside is not None:
             best = np.where(inside, best, np.inf)
-        # right steps: the smallest best[k] + cost[k+1..j] is a running minimum against the summed costs
+        # right steps: the smallest best[k] + cost[k+1..j] is a running minimum against the summed costs; a row's cells in a band are adjacent
         total = cost.cumsum(1)
         row = np.minimum.accumulate(best - total, 1) + total
         if inside is not None:
@@ -56,8 +81,8 @@ def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radi
     return out
 
 
-def warp(a: np.ndarray, b: np.ndarray, free: bool = False, radius: int | None = None) -> float:
-    return float(warp_many([a], [b], free, radius)[0])
+def warp(a: np.ndarray, b: np.ndarray, free: bool = False, radius: int | None = None, antidiagonal: bool = False) -> float:
+    return float(warp_many([a], [b], free, radius, True, antidiagonal)[0])
 
 
 def bonus_many(s: list[np.ndarray], r: list[np.ndarray], bonus: float = 10.0, most: int = 10) -> np.ndarray:
@@ -125,7 +150,7 @@ def pairs_cost(pairs: DataFrame, kind: str = "global", radius: int | None = None
         out = np.full(len(left), np.inf)
         for at in _blocks(left, right):
             x, y = [left[k] for k in at], [right[k] for k in at]
-            out[at] = bonus_many(x, y) if kind == "bonus" else warp_many(x, y, kind == "free", radius, kind != "diagonal")
+            out[at] = bonus_many(x, y) if kind == "bonus" else warp_many(x, y, kind == "free", radius, kind != "diagonal", kind == "antidiagonal")
         return pd.Series(out)
 
     return pairs.withColumn("cost", cost("a", "b"))

@@ -21,12 +21,14 @@ def listed(cells: Column, *fields: str) -> Column:
     return F.array_join(F.transform(cells, lambda x: F.concat(F.lit("("), F.concat_ws(",", *(x[f].cast("string") for f in fields)), F.lit(")"))), "")
 
 
-def paf_rows(found: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
+def paf_rows(found: DataFrame, reads: DataFrame, refs: DataFrame, chains: bool = True) -> DataFrame:
     """One row for each read of map_reads(): the twelve columns and ``tags`` (name:type:value, tab-separated).
 
     reads has (read_id, samples, events), refs (ref_id, len). Only a confident mapping has places; for the others the columns from
     the third to the eleventh are null and the quality is 0. Places on the reverse strand count from the reference's start, and
-    the mean gaps divide by the number of anchors. Columns chunks, ms, path and anchors of found become tags if they are there.
+    the mean gaps divide by the number of anchors. s1, s2 and sm are chaining scores, whatever judged the chains, and "0" without any.
+    Columns chunks and ms of found become tags if they are there. A confident mapping's path, with its score, and its anchors
+    (with ``chains``) are tags too.
     """
     rows = found.join(reads.select("read_id", "samples", F.col("events").alias("n_events")), "read_id").join(refs.select("ref_id", "len"), "ref_id", "left")
     scale = position_scale(F.col("samples"), F.col("n_events"))
@@ -37,20 +39,18 @@ def paf_rows(found: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
     on = lambda c: F.when(sure, c)
     has = lambda c, other: F.col(c) if c in found.columns else F.lit(other)
     number = lambda c: F.format_string("%.6f", F.coalesce(c.cast("double"), F.lit(0.0)))
-    by = "aligned" if "aligned" in found.columns else "score"
+    score = lambda c: F.when(F.coalesce(F.col("n"), F.lit(0)) > 0, number(c)).otherwise("0")
     count = F.coalesce(F.col("n_anchors"), F.lit(0))
     gap = lambda side: (F.col(f"{side}_end") - F.col(f"{side}_start")) / F.col("n_anchors")
     tags = [
         ("mt:f:", number(has("ms", 0.0))), ("ci:i:", has("chunks", 1).cast("string")), ("sl:i:", F.col("samples").cast("string")), ("cm:i:", count.cast("string")),
-        ("nc:i:", F.coalesce(F.col("n"), F.lit(0)).cast("string")), ("s1:f:", number(F.col(by))), ("s2:f:", number(F.col("s2"))), ("sm:f:", number(F.col("mean"))),
-        ("at:f:", number(gap("t"))), ("aq:f:", number(gap("q"))),
+        ("nc:i:", F.coalesce(F.col("n"), F.lit(0)).cast("string")), ("s1:f:", score(F.col("score"))), ("s2:f:", score(F.col("score_s2"))), ("sm:f:", score(F.col("score_mean"))),
+        ("at:f:", score(gap("t"))), ("aq:f:", score(gap("q"))),
     ]
-    if "aligned" in found.columns:
-        tags.append(("alns:f:", number(F.col("aligned"))))
     if "path" in found.columns:
-        tags.append(("aln:s:", listed(F.col("path"), "i", "j", "d")))
-    if "anchors" in found.columns:
-        tags.append(("anchors:s:", listed(F.reverse("anchors"), "q", "t")))
+        tags += [("alns:f:", on(number(F.col("aligned")))), ("aln:s:", on(listed(F.col("path"), "i", "j", "d")))]
+    if chains and "anchors" in found.columns:
+        tags.append(("anchors:s:", on(listed(F.reverse("anchors"), "q", "t"))))
     return rows.select(
         F.col("read_id").cast("string").alias("qname"), F.when(sure, whole(F.col("q_end"))).otherwise(whole(F.col("n_events"))).alias("qlen"),
         on(whole(F.col("q_start"))).alias("qstart"), on(whole(F.col("q_end"))).alias("qend"), on(F.when(F.col("strand") == 1, "-").otherwise("+")).alias("strand"),
