@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +103,39 @@ def sketch(events: Column, e: int = 6, w: int = 0, least: float | None = None) -
         return of(events)
     moved = lambda kept: F.transform(of(F.transform(kept, lambda x: x["value"])), lambda x: F.struct(F.get(kept, x["pos"])["pos"].alias("pos"), x["hash"].alias("hash")))
     return bound(kept_events(events, least), moved)
+
+
+def seeds_of(x: np.ndarray, e: int = 6, w: int = 0, least: float | None = None, bits: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of sketch() for one signal, for code that holds signals itself."""
+    at = np.arange(len(x))
+    if least is not None and len(x):
+        kept = [0]
+        for i, v in enumerate(x):
+            if abs(v - x[kept[-1]]) >= least:
+                kept.append(i)
+        at = np.array(kept)
+    y = x[at]
+    if len(y) < e:
+        return np.zeros(0, int), np.zeros(0, np.int64)
+    size = np.abs(y)
+    power = np.where(size < 2.0**-126, -127, np.floor(np.log2(np.maximum(size, 2.0**-126)))).astype(np.int64)
+    codes = np.where(y < 0, 16, 0) + np.where(size >= 2, 8, 0) + (power + 127) % 8
+    k = np.zeros(len(y) - e + 1, np.int64)
+    for j in range(e):
+        k |= codes[j : len(codes) - e + 1 + j] << bits * (e - 1 - j)
+    k &= MASK32
+    k = ((k ^ MASK32) + (k << 21 & MASK32)) & MASK32
+    k ^= k >> 24
+    k = (k + (k << 3) + (k << 8)) & MASK32
+    k ^= k >> 14
+    k = (k + (k << 2) + (k << 4)) & MASK32
+    k ^= k >> 28
+    k = (k + (k << 31)) & MASK32
+    if not w:
+        return at[e - 1 :], k
+    width = min(w, len(k))
+    low = np.lib.stride_tricks.sliding_window_view(k, width).min(1)
+    edge = np.full(width - 1, -1)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, low, edge]), width)
+    some = (around == k[:, None]).any(1)
+    return at[: len(k)][some], k[some]

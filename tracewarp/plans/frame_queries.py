@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import options
 from ..functions import seq, signal, sketch
-from ..operators import abundance, dtw, events, expected, mapping, ranking
+from ..operators import abundance, dtw, events, expected, mapping, mutate, ranking, runtime
 from ..session import table
 from ..sources import paf
-from . import sql_queries
+from . import sql_functions, sql_queries
 
 TEMPLATE = [50.0, 20.0, 80.0, 40.0, 60.0, 10.0, 90.0, 30.0]
 
@@ -44,7 +44,7 @@ def chunk_explode(spark, sf_dir):
 
 def trimmed(spark, sf_dir):
     """Signals past their stall and ten samples more, at most thirty of them; short ones are dropped."""
-    z = traces(spark, sf_dir).withColumn("z", signal.zscore(F.col("signal"))).withColumn("end", signal.stall_end(F.col("z"), 0.8))
+    z = traces(spark, sf_dir).withColumn("z", signal.zscore(F.col("signal"))).withColumn("end", signal.stall_end(F.col("z"), 0.2))
     out = z.withColumn("part", F.slice("signal", F.col("end") + 11, F.lit(30))).where(F.size("part") >= 20)
     return out.select("read_id", F.col("end").cast("long").alias("stall_end"), F.size("part").cast("long").alias("n"))
 
@@ -275,22 +275,26 @@ def shuffled(spark, sf_dir):
     return ranking.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, 42)
 
 
-def mutated(spark, sf_dir):
-    """Sequences with about one base in fifty replaced, at places and by bases that hashes of the position decide."""
-    def swap(c, i):
-        h = F.pmod(F.xxhash64(i, F.lit(7)), F.lit(150)).cast("int")
-        return F.when(h < 3, F.get(F.array(*map(F.lit, "ACGT")), F.pmod(F.instr(F.lit("ACGT"), c) + h, F.lit(4)).cast("int"))).otherwise(c)
+def _mutated(spark, sf_dir, n, kind):
+    """(doc_id, seq, new): sequences before and after n changes."""
+    refs = sequences(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "seq")
+    new = mutate.joined(mutate.mutated(mutate.pieces(refs), n, kind)).select("ref_id", F.col("seq").alias("new"))
+    return refs.join(new, "ref_id", "left").select(F.col("ref_id").alias("doc_id"), "seq", F.coalesce("new", F.lit("")).alias("new"))
 
-    rows = sequences(spark, sf_dir).select("doc_id", F.split("seq", "").alias("c")).where(F.size("c") > 0)
-    changed = F.zip_with("c", F.transform("c", swap), lambda x, y: (x != y).cast("long"))
-    return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate(changed, F.lit(0).cast("long"), lambda t, x: t + x).alias("changes"))
+
+def mutated(spark, sf_dir):
+    """Places that differ after twenty substitutions in each sequence."""
+    rows = _mutated(spark, sf_dir, 20, "substitute")
+    changed = F.zip_with(F.split("seq", ""), F.split("new", ""), lambda x, y: (~x.eqNullSafe(y)).cast("long"))
+    return rows.select("doc_id", F.char_length("seq").cast("long").alias("n"), F.aggregate(changed, F.lit(0).cast("long"), lambda t, x: t + x).alias("changes"))
 
 
 def indels(spark, sf_dir):
-    """Lengths after insertions and deletions at about one place in a hundred each."""
-    rows = sequences(spark, sf_dir)
+    """Lengths after thirty insertions and after thirty deletions in each sequence."""
     size = lambda c: F.char_length(c).cast("long")
-    return rows.select("doc_id", size("seq").alias("n"), size(seq.inserted(F.col("seq"), 100)).alias("longer"), size(seq.deleted(F.col("seq"), 100)).alias("shorter"))
+    longer, shorter = (_mutated(spark, sf_dir, 30, k) for k in ("insert", "delete"))
+    longer = longer.select("doc_id", size("seq").alias("n"), size("new").alias("longer"))
+    return longer.join(shorter.select("doc_id", size("new").alias("shorter")), "doc_id").select("doc_id", "n", "longer", "shorter")
 
 
 def smoothed(spark, sf_dir):
@@ -301,9 +305,84 @@ def smoothed(spark, sf_dir):
 
 
 def segmented(spark, sf_dir):
-    """Change points of each trace: the strongest tenth of its places, none within three samples of a stronger one."""
-    found = events.change_points(traces(spark, sf_dir), 0.1, 3)
-    return found.select("read_id", F.size("cuts").cast("long").alias("n_cuts"), F.get("cuts", F.lit(0)).cast("long").alias("first_cut"))
+    """Change points of each trace, and the means between them."""
+    found = events.change_points(traces(spark, sf_dir))
+    total = F.aggregate("means", F.lit(0.0), lambda t, x: t + x)
+    return found.select("read_id", F.size("cuts").cast("long").alias("n_cuts"), F.get("cuts", F.lit(0)).cast("long").alias("first_cut"), F.round(total, 6).alias("total"))
+
+
+def _stage_scores(spark, sf_dir):
+    """(target, s1, s2): sums of the first ten and twenty samples of each trace."""
+    first = lambda n: F.round(F.aggregate(F.slice("signal", 1, n), F.lit(0.0), lambda t, x: t + x), 6)
+    return traces(spark, sf_dir).select((F.col("read_id") % 3 == 0).alias("target"), first(10).alias("s1"), first(20).alias("s2"))
+
+
+STAGES = [("s1", [400.0 + 30 * i for i in range(10)]), ("s2", [850.0 + 40 * i for i in range(10)])]
+#: Thirty numbers of channels between 10^2 and 10^9, evenly by their logarithms.
+CHANNELS = [10 ** (2 + 7 * i / 29) for i in range(30)]
+
+
+def _run_times(spark, sf_dir):
+    kept = runtime.survivors(_stage_scores(spark, sf_dir), STAGES)
+    return runtime.runtimes(kept, [1000, 2000], CHANNELS)
+
+
+def read_until_runtime(spark, sf_dir):
+    """Seconds of a run with two stages of rejection, for every number of channels and pair of thresholds."""
+    places = ["thr_1", "thr_2", F.round("channels", 3).alias("channels")]
+    return _run_times(spark, sf_dir).select(*places, F.round(F.log("duration"), 9).alias("log_duration"), F.round("deciding", 9).alias("deciding"))
+
+
+def channel_scaling(spark, sf_dir):
+    """For every number of channels the pair of thresholds with the shortest run, and how much shorter it is than one without rejection."""
+    rows = _run_times(spark, sf_dir).withColumn("d", F.round(F.log("duration"), 9))
+    best = rows.groupBy("channels").agg(F.min(F.struct("d", "thr_1", "thr_2", "duration")).alias("x"))
+    gain = runtime.simple_runtime(F.col("channels")) / F.col("x.duration")
+    return best.select(F.round("channels", 3).alias("channels"), F.col("x.thr_1").alias("thr_1"), F.col("x.thr_2").alias("thr_2"), F.round(gain, 6).alias("gain"))
+
+
+def primary_chains(spark, sf_dir):
+    """Order lines as chains of a read: the best one, judged by the chains that overlap no better one on their reference."""
+    o = F.col("l_partkey")
+    found = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("read_id"), (F.col("l_suppkey") % 3).alias("ref_id"), (F.col("l_linenumber") % 2).cast("int").alias("strand"), F.round("l_extendedprice", 2).alias("score"), F.col("l_quantity").cast("int").alias("n_anchors"),
+        (o % 200).cast("int").alias("t_start"), (o % 200 + F.col("l_quantity").cast("long")).cast("int").alias("t_end"), F.col("l_linenumber").cast("int").alias("q_start"), F.col("l_linenumber").cast("int").alias("q_end"),
+    )
+    best = mapping.primary(found)
+    return best.select("read_id", "ref_id", "score", F.col("n").cast("long").alias("n"), F.round("score_mean", 4).alias("mean"), F.col("mapq").cast("long").alias("mapq"), "confident")
+
+
+def mapping_path(spark, sf_dir):
+    """Mappings with the paths of their alignments, as the text has them: cells, their differences and the score."""
+    o = options("viral", least_aligned=0.0)
+    reads, refs = vectors(spark, sf_dir), _refs(spark, sf_dir)
+    found = mapping.with_path(_mapped(spark, sf_dir), reads, refs, o)
+    sizes = reads.select("read_id", (F.size("signal") * 10).cast("long").alias("samples"), F.size("signal").alias("events"))
+    rows = paf.parse_paf(paf.paf_lines(paf.paf_rows(found, sizes, refs.select("ref_id", F.size("signal").alias("len")))))
+    total = F.aggregate("aln", F.lit(0.0), lambda t, x: t + x["d"])
+    return rows.where("aln is not null").select("qname", "tname", F.size("aln").cast("long").alias("cells"), F.round(total, 4).alias("cost"), F.element_at("tags", "alns").cast("double").alias("aligned"))
+
+
+def sql_sketch(spark, sf_dir):
+    """seeds_e3 by the SQL table function."""
+    sql_functions.register(spark)
+    text = "SELECT v.read_id, CAST(s.pos AS BIGINT) AS pos, s.hash FROM {v} v, LATERAL sketch(v.signal, 3) s"
+    return spark.sql(text, v=vectors(spark, sf_dir))
+
+
+def sql_warping(spark, sf_dir):
+    """Costs of vectors and class signals by the SQL functions."""
+    sql_functions.register(spark)
+    text = "SELECT read_id, ref_id, round(dtw_global(a, b), 4) AS whole, round(sdtw(a, b), 4) AS part FROM {p}"
+    return spark.sql(text, p=_pairs(spark, sf_dir))
+
+
+def sql_path(spark, sf_dir):
+    """Costs of vectors and their own class's signal, summed over the cells of the SQL table function's paths."""
+    sql_functions.register(spark)
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("label").cast("long").alias("ref_id"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("a"))
+    text = "SELECT p.read_id, p.ref_id, round(sum(c.d), 4) AS cost FROM {p} p, LATERAL dtw_path(p.a, p.b) c GROUP BY p.read_id, p.ref_id"
+    return spark.sql(text, p=own.join(consensus(spark, sf_dir), "ref_id"))
 
 
 def running_abundance(spark, sf_dir):
@@ -369,6 +448,7 @@ QUERIES = {
     "expected_signal": expected_signal, "stepped_reference": stepped_reference, "dtw_diagonal": diagonal, "paf_table": paf_table, "anchor_log": anchor_log, "drawn": drawn, "shuffled": shuffled, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
     "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 6), "dtw_semiglobal": warping("free"),
     "sdtw_bonus": warping("bonus"), "dtw_path": warping_path, "nearest_class": nearest_class, "indels": indels, "smoothed": smoothed, "segmented": segmented,
+    "read_until_runtime": read_until_runtime, "channel_scaling": channel_scaling, "primary_chains": primary_chains, "mapping_path": mapping_path, "sql_sketch": sql_sketch, "sql_warping": sql_warping, "sql_path": sql_path,
     "running_abundance": running_abundance, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "discard_curve": discard_curve, "map_reads": mapped, "map_minimizers": mapped_minimizers, "paf_round_trip": paf_round_trip, "mutated": mutated, "sequence_until": sequence_until,
 }
 
@@ -438,7 +518,50 @@ g AS (SELECT tick, 0 AS i, 0 AS far, 0.0::DOUBLE AS most FROM t UNION ALL
   SELECT g.tick, g.i + 1, CASE WHEN dist > most THEN g.i + 1 ELSE far END, greatest(dist, most) FROM g JOIN e ON e.tick = g.tick AND e.i = g.i + 1 AND e.j = g.far)
 SELECT tick::BIGINT AS tick, round(max(most), 12) AS distance, tick > 5 AND max(most) <= 0.0005 AS stop FROM g GROUP BY tick"""
 
+def _runs_sql() -> str:
+    """Table d (thr_1, thr_2, channels, deciding, duration, simple): every read against every pair of thresholds."""
+    m = runtime.RunModel()
+    a, b = m.shares()
+    useful, total, busy = m.simple()
+    stay = [m.capture + x / m.samples_a_second for x in (m.target_length, m.other_length)]
+    lists = [", ".join(f"({t!r}::DOUBLE)" for t in x) for x in (STAGES[0][1], STAGES[1][1], CHANNELS)]
+    spent = " + ".join(f"{share!r} * (count_if({who} AND s1 >= thr_1) * {m.rejected(1000)!r} + count_if({who} AND s1 < thr_1 AND s2 >= thr_2) * {m.rejected(2000)!r} + count_if({who} AND s1 < thr_1 AND s2 < thr_2) * {stay[k]!r})" for k, (share, who) in enumerate(((a, "target"), (b, "NOT target"))))
+    return _S + f""", r AS (SELECT user_id % 3 = 0 AS target, round(sum(value) FILTER (WHERE pos < 10), 6) AS s1, round(sum(value) FILTER (WHERE pos < 20), 6) AS s2 FROM s GROUP BY user_id),
+        p AS (SELECT thr_1, thr_2, {a!r} * count_if(target AND s1 < thr_1 AND s2 < thr_2) * {(m.target_length - m.target_trim) / m.samples_a_second!r} / ({spent}) AS share
+              FROM r, (VALUES {lists[0]}) x(thr_1), (VALUES {lists[1]}) y(thr_2) GROUP BY ALL),
+        c AS (SELECT channels, least(1.0, {m.throughput!r} / (channels * {m.samples_a_second!r} * {busy / total!r})) AS deciding FROM (VALUES {lists[2]}) z(channels)),
+        d AS (SELECT thr_1, thr_2, channels, deciding, {m.wanted()!r} / ((deciding * share + (1 - deciding) * {useful / total!r}) * channels * {m.samples_a_second!r} + 0.0001) AS duration,
+              {m.wanted()!r} / (channels * {m.samples_a_second!r} * {useful / total!r}) AS simple FROM p, c) """
+
+
+_PRIMARY = """WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_suppkey % 3 AS ref, round(l_extendedprice, 2) AS score, l_quantity::INT AS n_anchors, (l_partkey % 200)::INT AS lo, (l_partkey % 200 + l_quantity::INT)::INT AS hi, l_linenumber AS ln FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, n_anchors DESC, ref DESC, ln % 2 DESC, lo DESC, hi DESC, ln DESC) AS rn FROM l),
+g AS (SELECT k, 1 AS rn, [{'ref': ref, 'lo': lo, 'hi': hi, 'score': score, 'n': n_anchors}] AS kept, true AS going FROM r WHERE rn = 1 UNION ALL
+  SELECT g.k, r.rn, CASE WHEN g.going AND r.score >= g.kept[-1].score / 3 AND len(list_filter(g.kept, lambda x: x.ref = r.ref AND greatest(x.lo, r.lo) <= least(x.hi, r.hi))) = 0
+    THEN list_append(g.kept, {'ref': r.ref, 'lo': r.lo, 'hi': r.hi, 'score': r.score, 'n': r.n_anchors}) ELSE g.kept END, g.going AND r.score >= g.kept[-1].score / 3 FROM g JOIN r ON r.k = g.k AND r.rn = g.rn + 1),
+f AS (SELECT k, arg_max(kept, rn) AS kept FROM g GROUP BY k),
+m AS (SELECT k, kept, kept[1] AS x, len(kept) AS n, list_avg(list_transform(kept, lambda x: x.score)) AS mean, kept[2].score AS s2 FROM f)
+SELECT k AS read_id, x.ref AS ref_id, x.score AS score, n, round(mean, 4) AS mean, CASE WHEN n = 1 THEN 60 ELSE greatest(0, least(60, trunc(40 * (1 - s2 / x.score))))::BIGINT END AS mapq,
+  CASE WHEN n = 1 THEN x.n >= 2 ELSE x.score / s2 >= 1.2 OR x.score >= 5 * mean END AS confident FROM m"""
+
+_TRIMMED = _S + """, m AS (SELECT user_id, avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n FROM s GROUP BY user_id),
+    e AS (SELECT user_id, pos // 3 AS e, avg(CASE WHEN sd > 0 THEN (value - mu) / sd ELSE 0 END) AS z FROM s JOIN m USING (user_id) GROUP BY 1, 2),
+    w AS (SELECT *, lag(z) OVER (PARTITION BY user_id ORDER BY e) AS before FROM e),
+    u AS (SELECT user_id, min(e) AS up FROM w WHERE z > 0.2 AND before > 0.2 GROUP BY user_id),
+    d AS (SELECT w.user_id, min(e) AS down FROM w JOIN u USING (user_id) WHERE e >= up + 2 AND z < 0.2 AND before < 0.2 GROUP BY w.user_id),
+    t AS (SELECT m.user_id, n, CASE WHEN down IS NULL THEN 3 * ((n + 2) // 3) ELSE 3 * (down + 1) END AS stall_end FROM m LEFT JOIN d USING (user_id))
+    SELECT user_id AS read_id, stall_end::BIGINT AS stall_end, least(30, n - stall_end - 10)::BIGINT AS n FROM t WHERE n - stall_end - 10 >= 20"""
+
 ORACLES = {
+    "trimmed": _TRIMMED,
+    "read_until_runtime": _runs_sql() + "SELECT thr_1, thr_2, round(channels, 3) AS channels, round(ln(duration), 9) AS log_duration, round(deciding, 9) AS deciding FROM d",
+    "channel_scaling": _runs_sql() + ", e AS (SELECT *, row_number() OVER (PARTITION BY channels ORDER BY round(ln(duration), 9), thr_1, thr_2) AS rn FROM d) SELECT round(channels, 3) AS channels, thr_1, thr_2, round(simple / duration, 6) AS gain FROM e WHERE rn = 1",
+    "primary_chains": _PRIMARY,
+    "mutated": _SEQ + "x AS (SELECT 1) SELECT doc_id, length(seq)::BIGINT AS n, least(20, length(seq))::BIGINT AS changes FROM d",
+    "indels": _SEQ + "x AS (SELECT 1) SELECT doc_id, length(seq)::BIGINT AS n, (length(seq) + least(30, length(seq)))::BIGINT AS longer, (length(seq) - least(30, length(seq)))::BIGINT AS shorter FROM d",
+    "sql_sketch": _SEEDS + " SELECT read_id, pos::BIGINT AS pos, hash::BIGINT AS hash FROM h6",
+    "sql_warping": f"SELECT read_id, ref_id, x.cost AS whole, y.cost AS part FROM ({_warp_sql() + _COSTS}) x JOIN ({_warp_sql(free=True) + _COSTS}) y USING (read_id, ref_id)",
+    "sql_path": _warp_sql() + "SELECT read_id, ref_id::BIGINT AS ref_id, round(cost, 4) AS cost FROM w JOIN embeddings e ON e.vec_id = read_id AND e.label = ref_id",
     "signal_from_events": _S + "SELECT user_id AS read_id, count(*) AS n, round(arg_min(value, pos), 6) AS first, round(arg_max(value, pos), 6) AS last FROM s GROUP BY user_id",
     "chunk_explode": _S + "SELECT user_id AS read_id, (pos // 20)::BIGINT AS chunk, count(*) AS n, round(sum(value ORDER BY pos), 4) AS total FROM s GROUP BY 1, 2",
     "tstat_w3": _tstat_sql(3),
