@@ -349,7 +349,7 @@ def primary_chains(spark, sf_dir):
         (o % 200).cast("int").alias("t_start"), (o % 200 + F.col("l_quantity").cast("long")).cast("int").alias("t_end"), F.col("l_linenumber").cast("int").alias("q_start"), F.col("l_linenumber").cast("int").alias("q_end"),
     )
     best = mapping.primary(found)
-    return best.select("read_id", "ref_id", "score", F.col("n").cast("long").alias("n"), F.round("score_mean", 4).alias("mean"), F.col("mapq").cast("long").alias("mapq"), "confident")
+    return best.select("read_id", "ref_id", "score", F.col("n").cast("long").alias("n"), F.round(F.col("score_mean") * F.col("n"), 2).alias("total"), F.col("mapq").cast("long").alias("mapq"), "confident")
 
 
 def mapping_path(spark, sf_dir):
@@ -535,13 +535,13 @@ def _runs_sql() -> str:
 
 
 _PRIMARY = """WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_suppkey % 3 AS ref, round(l_extendedprice, 2) AS score, l_quantity::INT AS n_anchors, (l_partkey % 200)::INT AS lo, (l_partkey % 200 + l_quantity::INT)::INT AS hi, l_linenumber AS ln FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, n_anchors DESC, ref DESC, ln % 2 DESC, lo DESC, hi DESC, ln DESC) AS rn FROM l),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, n_anchors DESC, ref DESC, ln % 2 DESC, lo DESC, hi DESC, ln DESC) AS rn FROM l),
 g AS (SELECT k, 1 AS rn, [{'ref': ref, 'lo': lo, 'hi': hi, 'score': score, 'n': n_anchors}] AS kept, true AS going FROM r WHERE rn = 1 UNION ALL
   SELECT g.k, r.rn, CASE WHEN g.going AND r.score >= g.kept[-1].score / 3 AND len(list_filter(g.kept, lambda x: x.ref = r.ref AND greatest(x.lo, r.lo) <= least(x.hi, r.hi))) = 0
     THEN list_append(g.kept, {'ref': r.ref, 'lo': r.lo, 'hi': r.hi, 'score': r.score, 'n': r.n_anchors}) ELSE g.kept END, g.going AND r.score >= g.kept[-1].score / 3 FROM g JOIN r ON r.k = g.k AND r.rn = g.rn + 1),
 f AS (SELECT k, arg_max(kept, rn) AS kept FROM g GROUP BY k),
 m AS (SELECT k, kept, kept[1] AS x, len(kept) AS n, list_avg(list_transform(kept, lambda x: x.score)) AS mean, kept[2].score AS s2 FROM f)
-SELECT k AS read_id, x.ref AS ref_id, x.score AS score, n, round(mean, 4) AS mean, CASE WHEN n = 1 THEN 60 ELSE greatest(0, least(60, trunc(40 * (1 - s2 / x.score))))::BIGINT END AS mapq,
+SELECT k AS read_id, x.ref AS ref_id, x.score AS score, n, round(mean * n, 2) AS total, CASE WHEN n = 1 THEN 60 ELSE greatest(0, least(60, trunc(40 * (1 - s2 / x.score))))::BIGINT END AS mapq,
   CASE WHEN n = 1 THEN x.n >= 2 ELSE x.score / s2 >= 1.2 OR x.score >= 5 * mean END AS confident FROM m"""
 
 _TRIMMED = _S + """, m AS (SELECT user_id, avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n FROM s GROUP BY user_id),
