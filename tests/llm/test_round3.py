@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyarrow import fs
 
-from tracewarp.llm import clustering, common, embedding_dedup, simhash_dedup, source_divergence, warc
+from tracewarp.llm import clustering, common, embedding_dedup, packing, simhash_dedup, source_divergence, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -235,3 +235,42 @@ def test_calls_at_the_same_time(spark):
     for t in threads:
         t.join()
     assert not failed and found == [True] * 4
+
+
+# packing
+
+
+def best_fit_decreasing(lengths, size):
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else size) - x)
+    return len(gaps)
+
+
+def test_plans_are_never_longer_than_best_fit():
+    rng = np.random.default_rng(12)
+    better = 0
+    for k in range(30):
+        m = int(rng.integers(5, 700))
+        skewed = [np.minimum(1024, rng.lognormal(rng.uniform(3, 6.5), rng.uniform(0.3, 1.5), m).astype(int) + 1), rng.integers(1, 1025, m), np.minimum(1024, rng.geometric(1 / rng.uniform(50, 500), m)), rng.choice([1, 7, 340, 342, 511, 683, 1000], m)][k % 4]
+        counts = collections.Counter(skewed.tolist())
+        patterns = packing.plan(counts)
+        used = collections.Counter()
+        for times, p in patterns:
+            assert times > 0 and 0 < sum(p) <= 1024
+            for x in p:
+                used[x] += times
+        assert used == counts
+        plain = best_fit_decreasing(skewed.tolist(), 1024)
+        assert sum(t for t, _ in patterns) <= plain == sum(t for t, _ in packing.best_fit(counts))
+        better += sum(t for t, _ in patterns) < plain
+    assert better >= 1
+
+
+def test_plans_of_large_counts_are_as_short_as_their_scaled_ones():
+    counts = {1: 10**9, 400: 7 * 10**8, 624: 3 * 10**8, 1000: 5, 24: 10**6}
+    patterns = packing.plan(counts)
+    assert len(patterns) < 100 and sum(t for t, _ in patterns) <= sum(t for t, _ in packing.best_fit(counts))

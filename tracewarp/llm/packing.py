@@ -3,9 +3,10 @@
 Documents become pieces of at most ``size`` tokens. Only the count of pieces of each length matters for the plan, so the
 plan is made from at most ``size`` numbers, whatever the corpus. Lengths are taken from the longest down; the gap that
 a length leaves is looked up among single lengths, pair sums and triple sums of what is still available, and an exact
-combination is consumed as often as its counts allow. What finds no exact complement is filled by best fit: the residual
-lengths whose sum comes closest to the gap. Every step uses up at least one length, so the plan has a few thousand patterns at most: a table of slots (length, first rank, end
-rank, first sequence, offset) whose size is bounded by ``size`` and not by the data.
+combination is consumed as often as its counts allow. What finds no exact complement is packed by best fit. Of several plans, whose
+exact combinations go down to different lengths, the one with the fewest sequences is taken, which is never worse than best fit alone.
+Every step uses up at least one length or entry, so a plan has a few thousand patterns at most: a table of slots (length,
+first rank, end rank, first sequence, offset) whose size is bounded by ``size`` and not by the data.
 
 Each piece then needs its rank among the pieces of its length. A written table of pieces has one row a piece with the
 task that made it and its number among that task's pieces of the length; ranks follow from the counts of (task, length)
@@ -19,6 +20,7 @@ are taken in the order of their rows; an empty table gives no sequence. Columns
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 from collections import Counter
@@ -106,8 +108,78 @@ def fullest(left: np.ndarray, gap: int) -> list[int]:
     return sorted(out, reverse=True)
 
 
+def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
+    """Patterns (how often, lengths) by best fit in falling order of length: each piece goes where the least room is left that it fits.
+    Sequences with equal contents are one entry that is split where pieces run out, so steps follow lengths and not pieces."""
+    open_: dict[int, list[list]] = {}
+    gaps: list[int] = []
+
+    def add(gap: int, times: int, lengths: list[int]) -> None:
+        if gap not in open_:
+            open_[gap] = []
+            bisect.insort(gaps, gap)
+        open_[gap].append([times, lengths])
+
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n:
+            k = bisect.bisect_left(gaps, x)
+            if k == len(gaps):
+                full, rest = divmod(n, size // x)
+                for times, pieces in ((full, size // x), (min(rest, 1), rest)):
+                    if times:
+                        add(size - pieces * x, times, [x] * pieces)
+                break
+            gap = gaps[k]
+            entry = open_[gap][-1]
+            times = min(n, entry[0])
+            n, entry[0] = n - times, entry[0] - times
+            if not entry[0]:
+                open_[gap].pop()
+                if not open_[gap]:
+                    del open_[gap], gaps[k]
+            add(gap - x, times, [*entry[1], x])
+    return [(times, lengths) for entries in open_.values() for times, lengths in entries]
+
+
+def _exact(counts: dict[int, int], size: int, floor: int) -> tuple[list[tuple[int, list[int]]], dict[int, int]]:
+    """Patterns of exact combinations, and the counts that are left: all single complements, then pairs and triples in the gaps of lengths
+    of at least ``floor``."""
+    left, patterns = np.zeros(size + 1, np.int64), []
+    for length, n in counts.items():
+        left[length] = n
+    sums = Sums(left)
+    single = lambda gap, first: (gap,) if sums.has(gap, first) else None
+    for look, low in ((single, 1), (sums.pair, floor), (sums.find, floor)):
+        for first in range(size, low - 1, -1):
+            while left[first]:
+                more = look(size - first, first) if first < size else ()
+                if more is None:
+                    break
+                lengths = [first, *more]
+                times = min(int(left[x]) // k for x, k in Counter(lengths).items())
+                for x in lengths:
+                    left[x] -= times
+                patterns.append((times, lengths))
+    return patterns, {int(x): int(left[x]) for x in np.flatnonzero(left)}
+
+
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
-    """Patterns (how often, lengths) that use up counts; no pattern's lengths sum to over size."""
+    """Patterns (how often, lengths) that use up counts; no pattern's lengths sum to over size.
+
+    Pairs and triples that fill a gap exactly may take short pieces that later gaps need. So several plans are made, whose exact
+    combinations go down to different lengths, and the shortest one is taken: of equal ones that with the most exact combinations.
+    One of them has single complements only, which best fit would choose anyway, so no plan is longer than best fit's.
+    """
+    tries = [_greedy(counts, size)]
+    for floor in dict.fromkeys((1, *(size * k // 16 for k in (4, 6, 8, 9, 10, 11, 12, 13, 14, 15)), size + 1)):
+        exact, rest = _exact(counts, size, max(1, floor))
+        tries.append(exact + best_fit(rest, size))
+    return min(tries, key=lambda patterns: sum(n for n, _ in patterns))
+
+
+def _greedy(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+    """Lengths from the longest down, each with an exact combination if there is one, else with what fills most of its gap."""
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
