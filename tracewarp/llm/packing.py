@@ -172,7 +172,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]
     One of them has single complements only, which best fit would choose anyway, so no plan is longer than best fit's.
     """
     tries = [_greedy(counts, size)]
-    for floor in dict.fromkeys((1, *(size * k // 16 for k in (4, 6, 8, 9, 10, 11, 12, 13, 14, 15)), size + 1)):
+    for floor in (*(size * k // 16 for k in (6, 10, 12, 14)), size + 1):
         exact, rest = _exact(counts, size, max(1, floor))
         tries.append(exact + best_fit(rest, size))
     return min(tries, key=lambda patterns: sum(n for n, _ in patterns))
