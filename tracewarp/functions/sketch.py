@@ -30,9 +30,9 @@ def hash_mix(k: Column) -> Column:
     return k
 
 
-def kept_events(a: Column, least: float = 0.3, chunk: int = 256) -> Column:
+def kept_events(a: Column, least: float = 0.3, chunk: int = 256, last: Column | None = None) -> Column:
     """(pos, value) of the events that differ from the last kept one by at least ``least``, which the fold carries. The result grows
-    chunk by chunk, so that a long signal isn't copied for each event."""
+    chunk by chunk, so that a long signal isn't copied for each event. ``last`` is the last one kept before the array (null: none)."""
     kind = "array<struct<pos:int,value:double>>"
     every = F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.cast("double").alias("value")))
 
@@ -45,7 +45,8 @@ def kept_events(a: Column, least: float = 0.3, chunk: int = 256) -> Column:
             inner = F.aggregate(F.slice(events, k * chunk + 1, F.lit(chunk)), F.struct(acc["last"].alias("last"), F.array().cast(kind).alias("out")), keep)
             return bound(inner, lambda x: F.struct(x["last"].alias("last"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
-        start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
+        before = F.lit(None) if last is None else last
+        start = F.struct(before.cast("double").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
         chunks = F.sequence(F.lit(0), F.floor((F.size(events) - 1) / chunk).cast("int"))
         return F.when(F.size(events) > 0, F.aggregate(chunks, start, part, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(kind))
 

@@ -16,6 +16,50 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(F.get(F.split(F.get(parts, F.lit(0)), r"\s"), F.lit(0)), F.lit("")).alias("name"), seq.alias("seq")).withColumn("len", F.char_length("seq"))
 
 
+def read_fasta_tiles(spark: SparkSession, path: str, size: int = 1 << 20, overlap: int = 0, block: int = 4096) -> DataFrame:
+    """(file, line, name, at, seq): the records of FASTA files in tiles of ``size`` letters, each with the next ``overlap`` ones too, so that a
+    long record is never one row. line is that of the record's header, which tells records of one name apart; at counts letters.
+
+    Lines are numbered, and a line's place in its record is a running sum of letters, first within a block of lines and then over
+    the blocks' sums. A record without letters has no tile; letters before the first header belong to no record and go.
+    """
+    lines = numbered_lines(spark, path).withColumn("block", F.floor(F.col("line") / block))
+    head = F.col("value").startswith(">")
+    lines = lines.withColumns({"head": head, "seq": F.when(head, "").otherwise(F.translate(F.regexp_replace("value", r"\s", ""), "Uu", "Tt"))})
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    before = F.coalesce(F.sum(F.char_length("seq")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = lines.withColumn("letters", before)
+    last = lambda c: F.max(F.when(F.col("head"), F.col(c))).over(inside)
+    rows = rows.withColumns({"head_line": last("line"), "head_letters": last("letters")})
+    sums = rows.groupBy("file", "block").agg(F.sum(F.char_length("seq")).alias("n"), F.max("head_line").alias("block_line"), F.max("head_letters").alias("block_letters"))
+    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("from", F.coalesce(F.sum("n").over(past), F.lit(0)))  # a row a block
+    sums = sums.withColumns({"past_line": F.max("block_line").over(past), "past_letters": F.max(F.col("from") + F.col("block_letters")).over(past)})
+    placed = rows.join(sums.select("file", "block", "from", "past_line", "past_letters"), ["file", "block"])
+    record = F.coalesce("head_line", "past_line")
+    start = F.coalesce(F.col("from") + F.col("head_letters"), F.col("past_letters"))
+    placed = placed.select("file", record.alias("record"), (F.col("from") + F.col("letters") - start).alias("pos"), "seq", "head", "value")
+    names = placed.where("head").select("file", "record", F.split_part(F.regexp_replace(F.substr("value", F.lit(2)), r"\s", " "), F.lit(" "), F.lit(1)).alias("name"))
+    found = placed.where("seq <> '' and record is not null").select("file", "record", "pos", "seq")
+    tiles = overlapping(found.withColumn("n", F.char_length("seq")), ["file", "record"], "pos", "n", size, 0, overlap)
+    cut = F.substring("seq", F.col("low") + 1, F.col("high") - F.col("low"))
+    parts = tiles.select("file", "record", "tile", F.struct((F.col("pos") + F.col("low")).alias("at"), cut.alias("seq")).alias("p"))
+    whole = parts.groupBy("file", "record", "tile").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    whole = whole.select("file", "record", (F.col("tile") * size).alias("at"), F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("seq"))
+    return whole.join(names, ["file", "record"]).select("file", F.col("record").alias("line"), "name", "at", "seq")
+
+
+def overlapping(rows: DataFrame, keys: list[str], at: str, n: str, size: int, back: int, ahead: int) -> DataFrame:
+    """rows, each a run of n places from at, for every tile of ``size`` places that they touch, with the next ``ahead`` and the last ``back`` ones:
+    tile, and the places low (included) to high of the run that the tile has."""
+    first = F.greatest(F.floor((F.col(at) - ahead) / size), F.lit(0))
+    last = F.floor((F.col(at) + F.col(n) - 1 + back) / size)
+    rows = rows.where(F.col(n) > 0).select("*", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("tile"))
+    low = F.greatest(F.lit(0), F.col("tile") * size - back - F.col(at)).cast("int")
+    high = F.least(F.col(n), (F.col("tile") + 1) * size + ahead - F.col(at)).cast("int")
+    return rows.withColumns({"low": low, "high": high}).where("low < high")
+
+
 def write_fasta(refs: DataFrame, path: str) -> None:
     refs.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(path)
 
