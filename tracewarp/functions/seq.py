@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .signal import bound
@@ -36,21 +38,6 @@ def kmers(seq: Column, k: int) -> Column:
     return bound(F.split(seq, ""), body)
 
 
-def _picked(i: Column, every: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(every)) == 0
-
-
-def deleted(seq: Column, every: int, seed: int = 11) -> Column:
-    """A sequence without about one base in ``every``, at places that a hash of the position and the seed decides."""
-    return F.array_join(F.filter(F.split(seq, ""), lambda c, i: ~_picked(i, every, seed)), "")
-
-
-def inserted(seq: Column, every: int, seed: int = 13) -> Column:
-    """A sequence with a base put in before about one in ``every``."""
-    base = lambda i: F.get(F.array(*map(F.lit, "ACGT")), F.pmod(F.xxhash64(i, F.lit(seed + 1)), F.lit(4)).cast("int"))
-    return F.array_join(F.transform(F.split(seq, ""), lambda c, i: F.when(_picked(i, every, seed) & (c != ""), F.concat(base(i), c)).otherwise(c)), "")
-
-
 def common_prefix(texts: Column) -> Column:
     """The longest prefix that all texts of an array share."""
 
@@ -60,3 +47,54 @@ def common_prefix(texts: Column) -> Column:
         return F.left(x, F.array_max(lengths))
 
     return F.aggregate(texts, F.get(texts, F.lit(0)), both)
+
+
+def field_after(text: Column, key: str) -> Column:
+    """What follows the last ``key`` in a text up to the next underscore; null where the key isn't there."""
+    return F.when(F.contains(text, F.lit(key)), F.split_part(F.element_at(F.split(text, r"\Q" + key + r"\E"), -1), F.lit("_"), F.lit(1)))
+
+
+def run_settings(name: Column) -> Column:
+    """(preset, fill, radius, border) of a run's name such as preset_dtwfillmethod_banded=0.1_dtwborderconstraint_sparse."""
+    fill, border = field_after(name, "dtwfillmethod_"), field_after(name, "dtwborderconstraint_")
+    radius = field_after(name, "dtwfillmethod_banded=").try_cast("double")
+    return F.struct(F.split_part(name, F.lit("_"), F.lit(1)).alias("preset"), fill.alias("fill"), radius.alias("radius"), border.alias("border"))
+
+
+def named(text: Column, names: list[tuple[str, str]]) -> Column:
+    """The name that goes with the first part that a text holds, or the text itself."""
+    out = None
+    for part, name in names:
+        out = F.when(F.contains(text, F.lit(part)), name) if out is None else out.when(F.contains(text, F.lit(part)), name)
+    return text if out is None else out.otherwise(text)
+
+
+def kmer_counts(rows: DataFrame, text: str, k: int) -> DataFrame:
+    """(code, n) of all k-mers, k <= 10, of the letters A, C, G, T of texts (U counts as T): tasks count codes of two bits a letter in an
+    array of 4^k numbers, and only these are shuffled."""
+    letters = np.full(256, 4, np.uint8)
+    for code, both in enumerate(("Aa", "Cc", "Gg", "TtUu")):
+        for c in both.encode():
+            letters[c] = code
+
+    def run(batches):
+        total = np.zeros(4**k, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                d = letters[np.frombuffer(x.as_py() or b"", np.uint8)]
+                d = d[d < 4].astype(np.int32)
+                if len(d) >= k:
+                    codes = d[: len(d) - k + 1]
+                    for j in range(1, k):
+                        codes = codes * 4 + d[j : len(d) - k + 1 + j]
+                    total += np.bincount(codes, minlength=4**k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
+
+    found = rows.select(F.col(text).cast("binary")).mapInArrow(run, "code long, n long")
+    return found.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def kmer_of(code: Column, k: int) -> Column:
+    """The letters of a code of two bits each."""
+    return F.concat(*(F.substring(F.lit("ACGT"), F.shiftright(code, 2 * (k - 1 - j)).bitwiseAND(F.lit(3).cast("long")).cast("int") + 1, F.lit(1)) for j in range(k)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,17 @@ def limit_outliers(a: Column, limit: float = 4.0, near: float = 3.0) -> Column:
         return signals.map(lambda x: None if x is None else limited(np.asarray(x, float), limit, near))
 
     return run(a)
+
+
+def interpolated(points: DataFrame, places: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
+    """places (key, x) with y, on the straight line between the points (key, x, y) around it; beyond the ends, the end's y. Points and
+    places meet in one sorted pass over a key. A key without points gives null; of points with equal x the smallest y counts."""
+    at = points.where(F.col(x).isNotNull()).groupBy(key, x).agg(F.min(y).alias("_y"))
+    both = at.select(key, F.col(x).alias("_x"), F.col("_y"), F.lit(0).alias("_place")).unionByName(places.select(key, F.col(x).alias("_x"), F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_place")))
+    order = Window.partitionBy(key).orderBy("_x", "_place")
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    point = F.when(F.col("_place") == 0, F.struct("_x", "_y"))
+    rows = both.withColumns({"low": F.last(point, True).over(before), "high": F.first(point, True).over(after)}).where("_place = 1")
+    inner = F.col("low._y") + (F.col("_x") - F.col("low._x")) * (F.col("high._y") - F.col("low._y")) / (F.col("high._x") - F.col("low._x"))
+    line = F.when(F.col("low").isNull(), F.col("high._y")).when(F.col("high").isNull() | (F.col("low._x") == F.col("_x")), F.col("low._y")).otherwise(inner)
+    return rows.select(key, F.col("_x").alias(x), line.alias(y))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import options
 from ..functions import seq, signal, sketch
-from ..operators import abundance, dtw, events, expected, mapping, mutate, ranking, runtime
-from ..session import table
+from ..operators import abundance, dtw, events, expected, long_references, mapping, mutate, ranking, runtime
+from ..session import shared_folder, table
 from ..sources import paf
 from . import sql_functions, sql_queries
 
@@ -76,13 +76,29 @@ def reverse_complement(spark, sf_dir):
 
 
 def kmer_histogram(spark, sf_dir):
-    """Counts of 4-mers. Sequences are cut into short overlapping pieces first, as a place in a string takes a scan; codes come after the count."""
-    rows = sequences(spark, sf_dir).where(F.char_length("seq") >= 4)
-    starts = F.explode(F.sequence(F.lit(1), F.char_length("seq") - 3, F.lit(256)))
-    pieces = rows.select("seq", starts.alias("i")).select(F.substring("seq", F.col("i"), F.lit(259)).alias("piece"))
-    places = pieces.select("piece", F.explode(F.sequence(F.lit(1), F.char_length("piece") - 3)).alias("j"))
-    counts = places.groupBy(F.substring("piece", F.col("j"), F.lit(4)).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("kmer", seq.kmer_code(F.col("kmer"), 4).cast("long").alias("code"), "n")
+    """Counts of 4-mers."""
+    counts = seq.kmer_counts(table(spark, sf_dir, "documents"), "text", 4)
+    return counts.select(seq.kmer_of(F.col("code"), 4).alias("kmer"), "code", "n")
+
+
+def interpolation(spark, sf_dir):
+    """Values of traces at places between the samples and beyond their ends."""
+    rows = samples(spark, sf_dir).select("user_id", F.col("pos").cast("double").alias("x"), F.col("value").alias("y"))
+    places = rows.select("user_id", (F.col("x") * 1.07 - 1.3).alias("x"))
+    return signal.interpolated(rows, places, "user_id").select("user_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def tiled_signal(spark, sf_dir):
+    """expected_signal from sequences in tiles: no row holds a whole one."""
+    k, size = 4, 512
+    refs = sequences(spark, sf_dir).where(F.char_length("seq") >= k)
+    tiles = refs.select("doc_id", F.explode(F.sequence(F.lit(0), F.char_length("seq") - k, F.lit(size))).alias("at"), "seq").select(F.col("doc_id").alias("ref_id"), "at", F.substring("seq", F.col("at") + 1, F.lit(size + k - 1)).alias("seq"))
+    s = F.col("signal")
+    rows = long_references.tiled_signals(tiles, _model(spark), k, f"{shared_folder(spark)}/tracewarp-tiles")
+    size = F.sum(F.aggregate(s, F.lit(0.0), lambda t, x: t + F.abs(x))) / F.sum(F.size(s))
+    first = F.max(F.when(F.col("start") == 0, F.get(s, F.lit(0))))
+    found = rows.groupBy("ref_id", "strand").agg(F.sum(F.size(s)).alias("n"), F.round(first, 5).alias("first"), F.round(F.max(F.array_max(s)), 5).alias("top"), F.round(size, 5).alias("mean_size"))
+    return found.select(F.col("ref_id").alias("doc_id"), F.col("strand").cast("long").alias("strand"), "n", "first", "top", "mean_size")
 
 
 def coverage_bins(spark, sf_dir):
@@ -448,7 +464,7 @@ QUERIES = {
     "expected_signal": expected_signal, "stepped_reference": stepped_reference, "dtw_diagonal": diagonal, "paf_table": paf_table, "anchor_log": anchor_log, "drawn": drawn, "shuffled": shuffled, "quantize": quantized, "seeds_e3": seed_rows, "seed_frequency": seed_frequency, "anchor_counts": anchor_counts,
     "minimizer_w5": minimizers, "distinct_events": deduplicated_events, "dtw_global": warping("global"), "dtw_banded": warping("global", 6), "dtw_semiglobal": warping("free"),
     "sdtw_bonus": warping("bonus"), "dtw_path": warping_path, "nearest_class": nearest_class, "indels": indels, "smoothed": smoothed, "segmented": segmented,
-    "read_until_runtime": read_until_runtime, "channel_scaling": channel_scaling, "primary_chains": primary_chains, "mapping_path": mapping_path, "sql_sketch": sql_sketch, "sql_warping": sql_warping, "sql_path": sql_path,
+    "read_until_runtime": read_until_runtime, "channel_scaling": channel_scaling, "primary_chains": primary_chains, "mapping_path": mapping_path, "sql_sketch": sql_sketch, "sql_warping": sql_warping, "sql_path": sql_path, "interpolation": interpolation, "tiled_signal": tiled_signal,
     "running_abundance": running_abundance, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "discard_curve": discard_curve, "map_reads": mapped, "map_minimizers": mapped_minimizers, "paf_round_trip": paf_round_trip, "mutated": mutated, "sequence_until": sequence_until,
 }
 
@@ -552,11 +568,19 @@ _TRIMMED = _S + """, m AS (SELECT user_id, avg(value) AS mu, stddev_pop(value) A
     t AS (SELECT m.user_id, n, CASE WHEN down IS NULL THEN 3 * ((n + 2) // 3) ELSE 3 * (down + 1) END AS stall_end FROM m LEFT JOIN d USING (user_id))
     SELECT user_id AS read_id, stall_end::BIGINT AS stall_end, least(30, n - stall_end - 10)::BIGINT AS n FROM t WHERE n - stall_end - 10 >= 20"""
 
+_EXPECTED = _LEVELS + """m AS (SELECT *, avg(x) OVER p AS mu, stddev_pop(x) OVER p AS sd FROM l WHERE x IS NOT NULL WINDOW p AS (PARTITION BY doc_id, strand)),
+        z AS (SELECT doc_id, strand, i, CASE WHEN sd > 1e-9 THEN (x - mu) / sd ELSE 0 END AS z FROM m)
+        SELECT doc_id, strand::BIGINT AS strand, count(*) AS n, round(arg_min(z, i), 5) AS first, round(max(z), 5) AS top, round(avg(abs(z)), 5) AS mean_size FROM z GROUP BY 1, 2"""
+
 ORACLES = {
     "trimmed": _TRIMMED,
     "read_until_runtime": _runs_sql() + "SELECT thr_1, thr_2, round(channels, 3) AS channels, round(ln(duration), 9) AS log_duration, round(deciding, 9) AS deciding FROM d",
     "channel_scaling": _runs_sql() + ", e AS (SELECT *, row_number() OVER (PARTITION BY channels ORDER BY round(ln(duration), 9), thr_1, thr_2) AS rn FROM d) SELECT round(channels, 3) AS channels, thr_1, thr_2, round(simple / duration, 6) AS gain FROM e WHERE rn = 1",
     "primary_chains": _PRIMARY,
+    "interpolation": _S + """, p AS (SELECT user_id, pos::DOUBLE AS x, value AS y FROM s), q AS (SELECT user_id, x * 1.07 - 1.3 AS x FROM p),
+        l AS (SELECT q.user_id, q.x, p.x AS x0, p.y AS y0 FROM q ASOF LEFT JOIN p ON q.user_id = p.user_id AND q.x >= p.x),
+        h AS (SELECT l.*, p.x AS x1, p.y AS y1 FROM l ASOF LEFT JOIN p ON l.user_id = p.user_id AND l.x <= p.x)
+        SELECT user_id, round(x, 6) AS x, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (x - x0) * (y1 - y0) / (x1 - x0) END, 6) AS y FROM h""",
     "mutated": _SEQ + "x AS (SELECT 1) SELECT doc_id, length(seq)::BIGINT AS n, least(20, length(seq))::BIGINT AS changes FROM d",
     "indels": _SEQ + "x AS (SELECT 1) SELECT doc_id, length(seq)::BIGINT AS n, (length(seq) + least(30, length(seq)))::BIGINT AS longer, (length(seq) - least(30, length(seq)))::BIGINT AS shorter FROM d",
     "sql_sketch": _SEEDS + " SELECT read_id, pos::BIGINT AS pos, hash::BIGINT AS hash FROM h6",
@@ -582,9 +606,8 @@ ORACLES = {
     "minimizer_w5": _SEEDS + """, m AS (SELECT read_id, pos, min(hash) OVER (PARTITION BY read_id ORDER BY pos ROWS 4 PRECEDING) AS low, count(*) OVER (PARTITION BY read_id ORDER BY pos ROWS 4 PRECEDING) AS n FROM h6)
         SELECT DISTINCT h6.read_id, h6.pos::BIGINT AS pos, hash::BIGINT AS hash FROM h6 JOIN m ON h6.read_id = m.read_id AND m.n = 5 AND m.pos BETWEEN h6.pos AND h6.pos + 4 AND m.low = h6.hash""",
     "array_norm": sql_queries.ORACLES["discrete_norm_4"],
-    "expected_signal": _LEVELS + """m AS (SELECT *, avg(x) OVER p AS mu, stddev_pop(x) OVER p AS sd FROM l WHERE x IS NOT NULL WINDOW p AS (PARTITION BY doc_id, strand)),
-        z AS (SELECT doc_id, strand, i, CASE WHEN sd > 1e-9 THEN (x - mu) / sd ELSE 0 END AS z FROM m)
-        SELECT doc_id, strand::BIGINT AS strand, count(*) AS n, round(arg_min(z, i), 5) AS first, round(max(z), 5) AS top, round(avg(abs(z)), 5) AS mean_size FROM z GROUP BY 1, 2""",
+    "expected_signal": _EXPECTED,
+    "tiled_signal": _EXPECTED,
     "stepped_reference": _LEVELS + """o AS (SELECT doc_id, strand, size, i, CASE WHEN i <= size - 4 THEN x * 100 ELSE 0 END AS x FROM l),
         m AS (SELECT *, trunc(avg(x) OVER (PARTITION BY doc_id, strand)) AS mu FROM o), h AS (SELECT *, greatest(trunc(avg(abs(x - mu)) OVER (PARTITION BY doc_id, strand)), 1) AS mad FROM m),
         q AS (SELECT doc_id, strand * size + i - 1 AS place, trunc((greatest(least((x - mu) / mad, 4), -4) + 4) * 32)::BIGINT AS code FROM h)

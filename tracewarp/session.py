@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,16 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without, and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tracewarp-")
+    return base.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """The table of that name under sf_dir, by a path that only Spark needs to open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -75,8 +75,9 @@ def read_pore_model(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(place, day, value) of comma-separated lines without a header."""
-    return spark.read.csv(path, schema="place string, day date, value double")
+    """(place, day, value) of comma-separated lines without a header; months and days of one digit are read too."""
+    rows = spark.read.csv(path, schema="place string, day string, value double")
+    return rows.withColumn("day", F.try_to_date("day", "yyyy-M-d") if hasattr(F, "try_to_date") else F.to_date("day", "yyyy-M-d"))
 
 
 def write_decisions(decided: DataFrame, path: str) -> None:
@@ -129,18 +130,29 @@ def lock_step(one: DataFrame, two: DataFrame) -> DataFrame:
     return side(one, 1).join(side(two, 2), ["pair", "nth"]).drop("pair")
 
 
-def write_sam(rows: DataFrame, refs: DataFrame, path: str) -> None:
-    """Rows (read_id, strand, ref_id, t_start, mapq, cigar, seq, qual) as alignment text in parts, with the header lines of refs
-    (ref_id, len) in a part of their own under header/. Sequences on strand 1 are reverse complements; unmapped rows have flag 4."""
-    header = refs.select(F.concat(F.lit("@SQ\tSN:"), F.col("ref_id").cast("string"), F.lit("\tLN:"), F.col("len").cast("string")).alias("value"))
-    header.write.text(f"{path}/header")
+def write_sam(rows: DataFrame, refs: DataFrame, path: str, program: str = "tracewarp") -> None:
+    """Rows (read_id, strand, ref_id, t_start, mapq, cigar, seq, qual) as alignment text in parts, of which the first has the header lines,
+    with refs (ref_id, len): the parts one after the other are one file.
+
+    With columns q_start and q_end (excluded) the ends of a sequence that aren't aligned are soft-clipped, with nm and md these tags follow.
+    Sequences and qualities on strand 1 are reversed, their clips too; unmapped rows have flag 4 and no cigar.
+    """
+    names = refs.select(F.lit(1).alias("turn"), F.concat(F.lit("@SQ\tSN:"), F.col("ref_id").cast("string"), F.lit("\tLN:"), F.col("len").cast("string")).alias("value"))
+    ends = refs.sparkSession.createDataFrame([(0, "@HD\tVN:1.6\tSO:unknown"), (2, f"@PG\tID:{program}\tPN:{program}")], "turn int, value string")
     lost, back = F.col("ref_id").isNull(), F.coalesce(F.col("strand") == 1, F.lit(False))
     flag = F.when(lost, 4).when(back, 16).otherwise(0)
     text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
     place = F.when(lost, 0).otherwise(F.col("t_start") + 1)
+    cigar = text("cigar", "*")
+    if {"q_start", "q_end"} <= set(rows.columns):
+        clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
+        ends = [clip(F.col("q_start")), clip(F.char_length("seq") - F.col("q_end"))]
+        cigar = F.when(F.col("cigar").isNull(), "*").otherwise(F.when(back, F.concat(ends[1], "cigar", ends[0])).otherwise(F.concat(ends[0], "cigar", ends[1])))
     seq, qual = F.when(back, revcomp(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual"))
-    fields = [F.col("read_id").cast("string"), flag.cast("string"), text("ref_id", "*"), place.cast("string"), text("mapq", "0"), text("cigar", "*"), F.lit("*"), F.lit("0"), F.lit("0"), seq, qual]
-    rows.select(F.concat_ws("\t", *fields).alias("value")).write.text(f"{path}/records")
+    fields = [F.col("read_id").cast("string"), flag.cast("string"), text("ref_id", "*"), place.cast("string"), text("mapq", "0"), F.when(lost, "*").otherwise(cigar), F.lit("*"), F.lit("0"), F.lit("0"), seq, qual]
+    fields += [F.concat(F.lit(tag), F.col(c).cast("string")) for c, tag in (("nm", "NM:i:"), ("md", "MD:Z:")) if c in rows.columns]
+    header = names.union(ends).coalesce(1).sortWithinPartitions("turn", "value").select("value")  # a line a reference
+    header.union(rows.select(F.concat_ws("\t", *fields).alias("value"))).write.text(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

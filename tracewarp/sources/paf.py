@@ -112,3 +112,21 @@ def anchors_of_mappings(anchors: DataFrame, paf: DataFrame) -> DataFrame:
     wanted = paf.where("tname is not null").select("qname", "tname", "strand", F.col("anchors").alias("chain")).dropDuplicates(["qname", "tname", "strand"])
     rows = anchors.join(wanted, ["qname", "tname", "strand"])
     return rows.withColumn("chained", F.exists(F.coalesce("chain", F.array().cast("array<struct<q:int,t:int>>")), lambda x: (x["q"] == F.col("q")) & (x["t"] == F.col("t")))).drop("chain")
+
+
+def read_times(rows: DataFrame, verdict: str = "rf") -> DataFrame:
+    """One row of means over parse_paf() rows that carry a verdict tag (tp, fp, fn, tn or na): milliseconds a chunk and their median over all
+    that have scores, milliseconds over those that aren't na, and bases and chunks of mapped, unmapped and all reads. What has no reads
+    is infinite. Rows of the short form, without scores, have milliseconds only."""
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    long = tag("cm").isNotNull()
+    mt, chunks, kind = tag("mt").try_cast("double"), tag("ci").try_cast("long"), tag(verdict)
+    mapped = F.col("tname").isNotNull()
+    some = rows.where(kind.isNotNull())
+    inf = F.lit(float("inf"))
+    mean = lambda when, x: F.coalesce(F.avg(F.when(when, x)), inf)
+    out = [mean(long, mt / chunks).alias("mean_chunk_time"), F.coalesce(F.median(F.when(long, mt / chunks)), inf).alias("median_chunk_time")]
+    out += [mean(kind != "na", mt).alias("mean_time"), F.coalesce(F.median(F.when(kind != "na", mt)), inf).alias("median_time")]
+    for name, when in (("mapped", long & mapped), ("unmapped", long & ~mapped), ("all", long)):
+        out += [mean(when, F.col("qlen")).alias(f"bases_{name}"), mean(when, chunks).alias(f"chunks_{name}")]
+    return some.agg(*out)
