@@ -146,8 +146,8 @@ def write_sam(rows: DataFrame, refs: DataFrame, path: str, program: str = "trace
     cigar = text("cigar", "*")
     if {"q_start", "q_end"} <= set(rows.columns):
         clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
-        ends = [clip(F.col("q_start")), clip(F.char_length("seq") - F.col("q_end"))]
-        cigar = F.when(F.col("cigar").isNull(), "*").otherwise(F.when(back, F.concat(ends[1], "cigar", ends[0])).otherwise(F.concat(ends[0], "cigar", ends[1])))
+        left, right = clip(F.col("q_start")), clip(F.char_length("seq") - F.col("q_end"))
+        cigar = F.when(F.col("cigar").isNull(), "*").otherwise(F.when(back, F.concat(right, "cigar", left)).otherwise(F.concat(left, "cigar", right)))
     seq, qual = F.when(back, revcomp(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual"))
     fields = [F.col("read_id").cast("string"), flag.cast("string"), text("ref_id", "*"), place.cast("string"), text("mapq", "0"), F.when(lost, "*").otherwise(cigar), F.lit("*"), F.lit("0"), F.lit("0"), seq, qual]
     fields += [F.concat(F.lit(tag), F.col(c).cast("string")) for c, tag in (("nm", "NM:i:"), ("md", "MD:Z:")) if c in rows.columns]
