@@ -274,3 +274,12 @@ def test_plans_of_large_counts_are_as_short_as_their_scaled_ones():
     counts = {1: 10**9, 400: 7 * 10**8, 624: 3 * 10**8, 1000: 5, 24: 10**6}
     patterns = packing.plan(counts)
     assert len(patterns) < 100 and sum(t for t, _ in patterns) <= sum(t for t, _ in packing.best_fit(counts))
+
+
+def test_long_runs_are_found():
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        n, at = int(rng.integers(390, 410)), int(rng.integers(0, 700))
+        text = "ab c" * (at // 4) + "x" * (at % 4) + (" x"[k % 2] * n if k % 3 else "\u2003\n" * (n // 2)) + "d\te " * int(rng.integers(0, 99))
+        assert packing.has_long_run(text) == bool(packing._LONG.search(text))
+    assert not packing.has_long_run("") and packing.has_long_run("é" * 400)

@@ -35,7 +35,13 @@ from .common import written
 
 SIZE, END = 1024, 2
 #: Texts with such runs, or with a special token's text, go to the slower of the two encoders, which is built for them.
-_LONG = re.compile(r"\S{400}|\s{400}")
+_LONG, _BLANK = re.compile(r"\S{400}|\s{400}"), re.compile(r"\s")
+
+
+def has_long_run(text: str) -> bool:
+    """Whether _LONG is found. Such a run has a whole block of 200 from a multiple of 200 on, so that texts without one aren't searched."""
+    blocks = (text[k : k + 200] for k in range(0, len(text) - 199, 200))
+    return any(not _BLANK.search(b) or b.isspace() for b in blocks) and _LONG.search(text) is not None
 
 
 class Sums:
@@ -237,7 +243,7 @@ class Encoder:
             self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special) or _LONG.search(text):
+        if self.fast is None or any(s in text for s in self.special) or has_long_run(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
