@@ -141,17 +141,22 @@ def _blocks(a: list[np.ndarray], b: list[np.ndarray]):
     return [order[k : k + step] for k in range(0, len(order), step)]
 
 
+def batch_costs(a: list, b: list, kind: str = "global", radius: int | None = None) -> np.ndarray:
+    """Costs of pairs, block by block; an empty or missing signal costs infinity."""
+    left, right = ([np.asarray([] if x is None else x, float) for x in s] for s in (a, b))
+    out = np.full(len(left), np.inf)
+    for at in _blocks(left, right):
+        x, y = [left[k] for k in at], [right[k] for k in at]
+        out[at] = bonus_many(x, y) if kind == "bonus" else warp_many(x, y, kind == "free", radius, kind != "diagonal", kind == "antidiagonal")
+    return out
+
+
 def pairs_cost(pairs: DataFrame, kind: str = "global", radius: int | None = None) -> DataFrame:
     """pairs with columns a and b (arrays) and their cost; other columns stay. Rows are independent, so nothing is shuffled."""
 
     @F.pandas_udf("double")
     def cost(a: pd.Series, b: pd.Series) -> pd.Series:
-        left, right = ([np.asarray([] if x is None else x, float) for x in s] for s in (a, b))
-        out = np.full(len(left), np.inf)
-        for at in _blocks(left, right):
-            x, y = [left[k] for k in at], [right[k] for k in at]
-            out[at] = bonus_many(x, y) if kind == "bonus" else warp_many(x, y, kind == "free", radius, kind != "diagonal", kind == "antidiagonal")
-        return pd.Series(out)
+        return pd.Series(batch_costs(list(a), list(b), kind, radius))
 
     return pairs.withColumn("cost", cost("a", "b"))
 

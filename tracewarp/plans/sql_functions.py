@@ -19,13 +19,12 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, N
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.sketch import seeds_of
-from ..operators.dtw import path, warp_many
+from ..operators.dtw import batch_costs, path
 from ..operators.events import detect
 
 
-def _costs(a: pd.Series, b: pd.Series, **how) -> pd.Series:
-    out = [None if x is None or y is None else float(warp_many([np.asarray(x, float)], [np.asarray(y, float)], **how)[0]) for x, y in zip(a, b, strict=True)]
-    return pd.Series(out, dtype=object).astype("Float64")
+def _costs(a: pd.Series, b: pd.Series, kind: str = "global", radius: int | None = None) -> pd.Series:
+    return pd.Series(batch_costs(list(a), list(b), kind, radius), index=a.index).astype("Float64").mask(a.isna() | b.isna())
 
 
 @F.pandas_udf(DoubleType())
@@ -37,13 +36,13 @@ def dtw_global(a: pd.Series, b: pd.Series) -> pd.Series:
 def dtw_banded(a: pd.Series, b: pd.Series, radius: pd.Series) -> pd.Series:
     out = pd.Series(index=a.index, dtype="Float64")
     for r, part in radius.groupby(radius):
-        out[part.index] = _costs(a[part.index], b[part.index], radius=int(r), antidiagonal=True)
+        out[part.index] = _costs(a[part.index], b[part.index], "antidiagonal", int(r))
     return out
 
 
 @F.pandas_udf(DoubleType())
 def sdtw(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _costs(a, b, free=True)
+    return _costs(a, b, "free")
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
