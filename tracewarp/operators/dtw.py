@@ -172,7 +172,9 @@ def pairs_path(pairs: DataFrame, free: bool = False) -> DataFrame:
     return pairs.withColumn("_r", trace("a", "b")).select("*", "_r.cost", "_r.path").drop("_r")
 
 
-def against(reads: DataFrame, targets: DataFrame, most: int = 1000) -> DataFrame:
-    """Every read with every target. Up to ``most`` targets are broadcast; more of them meet the reads partition by partition."""
-    few = targets.limit(most + 1).count() <= most
-    return reads.crossJoin(F.broadcast(targets) if few else targets)
+def against(reads: DataFrame, targets: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """Every read with every target. Targets whose arrays have ``most`` bytes at most are broadcast; more of them meet the reads partition
+    by partition, as the result is every pair in any case."""
+    arrays = [c for c, kind in targets.dtypes if kind.startswith("array")]
+    held = targets.agg(F.sum(sum((F.size(c) for c in arrays), F.lit(1)) * 8).alias("n")).first()["n"] or 0
+    return reads.crossJoin(F.broadcast(targets) if held <= most else targets)
