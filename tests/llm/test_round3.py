@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyarrow import fs
 
-from tracewarp.llm import clustering, common, embedding_dedup, packing, simhash_dedup, source_divergence, warc
+from tracewarp.llm import clustering, common, embedding_dedup, mixing, packing, simhash_dedup, source_divergence, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -285,3 +285,40 @@ def test_long_runs_are_found():
         text = "ab c" * (at // 4) + "x" * (at % 4) + (" x"[k % 2] * n if k % 3 else "\u2003\n" * (n // 2)) + "d\te " * int(rng.integers(0, 99))
         assert packing.has_long_run(text) == bool(packing._LONG.search(text))
     assert not packing.has_long_run("") and packing.has_long_run("é" * 400)
+
+
+# mixing
+
+
+@pytest.mark.parametrize(("most_sources", "heavy"), [(4, 30_000), (1, 900)])
+def test_small_sources_share_a_queue(spark, most_sources, heavy):
+    """Sources that share a queue run out one by one; by bisection of the fluid schedule, at every slot the queue and the others are less than a block off."""
+    rng = np.random.default_rng(most_sources)
+    sizes = {f"s{k:02}": int(n) for k, n in enumerate([heavy, 700, 500, *rng.integers(1, 400, 37)])}
+    names = sorted(sizes, key=lambda k: (-sizes[k], k))
+    size = 8
+    sizes[names[-1]] += -sum(sizes[k] for k in names[most_sources:]) % size  # the queue ends with a whole block, as the fluid schedule does
+    docs = spark.createDataFrame(pd.DataFrame({"source": np.repeat(list(sizes), list(sizes.values()))}).assign(doc_id=range(sum(sizes.values()))))
+    rows = mixing.mix(docs, block=size, most_sources=most_sources).toPandas()
+    assert sorted(rows["doc_id"]) == list(range(len(rows))) and rows["place"].is_unique
+    names = sorted(sizes, key=lambda k: (-sizes[k], k))
+    alone = np.array([k < most_sources for k in range(len(names))])
+    n = np.array([sizes[k] / size for k in names])
+    ends = np.where(alone, np.ceil(n), n)
+    w = np.sqrt(n)
+    had = pd.crosstab(rows["slot"], rows["source"])[names].cumsum().to_numpy() / size
+    slots = rows["slot"].max() + 1
+    assert len(had) == slots
+    off, shared_off, own_off = 0.0, 0.0, 0.0
+    for t in range(1, slots):
+        low, high = 0.0, (ends / w).max()
+        for _ in range(60):
+            v = (low + high) / 2
+            low, high = (v, high) if np.minimum(w * v, ends).sum() < t else (low, v)
+        fluid = np.minimum(w * v, ends)
+        gap = np.abs(had[t - 1] - fluid)
+        full = np.where(np.ceil(n) == np.ceil(had[t - 1]), np.ceil(n), had[t - 1])  # a last, short block is a block
+        off = max(off, np.abs(full - fluid)[alone].max())
+        shared_off = max(shared_off, abs(had[t - 1][~alone].sum() - fluid[~alone].sum()))
+        own_off = max(own_off, gap[~alone].max())
+    assert off < 1 and shared_off < 1 and own_off < 1.25, (off, shared_off, own_off)

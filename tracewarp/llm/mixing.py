@@ -14,8 +14,12 @@ each, then the second of each, and so on. place is that order.
 
 Numbers inside a source come from buckets of its rows, so that a source with a third of all rows isn't one task: a row
 number within (source, bucket) plus the sizes of the buckets before it. Their number follows the table's size. Where
-there are more than ``most_sources`` sources, those with the smallest weights are scheduled as one: it has their weights'
-sum, and its rows stand in the order of their own virtual times, numbered through buckets of that time.
+there are more than ``most_sources`` sources, those with the smallest weights share one queue. What the fluid schedule has
+served it by virtual time v is the sum of min(w[k] v, rows[k]) over its own sources, so it slows down as they run out one
+by one; its blocks lie between the times at which that sum passes whole blocks, and these times go into the same exact
+schedule. The sum is exact at ``CUTS`` times and linear between. The queue's rows stand in the order of their own virtual
+times, each source beginning at a phase of its own, and are numbered through buckets of that time. So the queue is less than
+a block off its share, like any source, and each of its sources follows it by rows (less than 1.25 blocks in the tests).
 
 Defined results: rows with a null source are a source of their own; repeated rows are numbered one by one; ties are
 broken by doc_id and then by the hash of the text; sources without a given weight get ``others``; weights of zero or
@@ -26,42 +30,74 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import unpacked, whole, written
 
-SHARES, STRIPE, BUCKET_ROWS = 1 << 40, 1024, 100_000
+SHARES, STRIPE, BUCKET_ROWS, CUTS, SCALE = 1 << 40, 1024, 100_000, 1 << 16, 1 << 100
 
 
-def whole_weights(weights: list[float]) -> list[int]:
-    """Weights as whole numbers, one at least, that sum to about SHARES."""
+def whole_weights(weights: list[float], scale: float | None = None) -> list[int]:
+    """Weights as whole numbers, one at least: times scale, or so that they sum to about SHARES."""
     if any(not w > 0 for w in weights):
         raise ValueError("weights must be positive")
-    total = math.fsum(weights)
-    return [max(1, round(w / total * SHARES)) for w in weights]
+    scale = SHARES / math.fsum(weights) if scale is None else scale
+    return [max(1, round(w * scale)) for w in weights]
 
 
-def schedule(weights: list[int], blocks: list[int]) -> list[tuple[int, int]]:
-    """(source, block) of each slot: among the released blocks, the one due first."""
+def crossings(cuts: list[tuple[int, int, float]], last: float, size: int) -> list[float]:
+    """Virtual times at which sources have had 1, 2, ... blocks of size rows together, the last one maybe short.
+
+    cuts: (number, rows, weight) of the sources that end in a cut of the time up to last, when all have ended.
+    """
+    rows, left, points = 0, math.fsum(w for _, _, w in cuts), []
+    for number, n, w in sorted(cuts):
+        start, end = number / CUTS * last, (number + 1) / CUTS * last
+        points.append((start, rows + start * left))
+        rows, left = rows + n, max(left - w, 0.0)
+        points.append((end, rows + end * left))
+    time, served, out = 0.0, 0.0, []
+    for then, now in points:  # without ends between two edges, the sum is linear
+        while now > served and (len(out) + 1) * size <= now:
+            out.append(time + ((len(out) + 1) * size - served) / (now - served) * (then - time))
+        time, served = then, max(now, served)
+    out = out[: rows // size]
+    return out + [last] * (-(-rows // size) - len(out))
+
+
+def schedule(weights: list[int], blocks: list[int], shared: list[float] = ()) -> list[tuple[int, int]]:
+    """(source, block) of each slot: among the released blocks, the one due first. shared has the virtual times at which
+    the blocks of one more queue, numbered len(weights), end."""
     order = sorted((i for i in range(len(weights)) if blocks[i]), key=lambda i: blocks[i] / weights[i])
     active, gone = [0] * (len(order) + 1), [0] * (len(order) + 1)  # weight still there, and blocks of those gone, after so many ends
     active[0] = sum(weights[i] for i in order)
     for k, i in enumerate(order):
         active[k + 1], gone[k + 1] = active[k] - weights[i], gone[k] + blocks[i]
-    ended = dict.fromkeys(order, 0)
+    times = [0]  # of the shared queue's blocks, as whole numbers of 1 / SCALE
+    for time in shared:
+        times.append(max(int(time * SCALE), times[-1] + 1))
+    queue, many = len(weights), len(shared)
+    ended = dict.fromkeys([*order, queue], 0)
 
     def served(i: int, j: int) -> tuple[int, int]:
         """The fluid schedule's slots when source i has had j blocks, rounded down and up."""
+        above, below = (j, weights[i]) if i < queue else (times[j], SCALE)  # the virtual time
         k = ended[i]
-        while order[k] != i and blocks[order[k]] * weights[i] <= j * weights[order[k]]:
+        while k < len(order) and order[k] != i and blocks[order[k]] * below <= above * weights[order[k]]:
             k += 1
         ended[i] = k
-        over = j * active[k]
-        return gone[k] + over // weights[i], gone[k] - (-over // weights[i])
-
-    released, due, out = [(0, i, 0) for i in order], [], []
+        b = bisect_right(times, above * SCALE // below) - 1 if many else 0
+        over, under = above * active[k], below
+        if b < many:
+            step = times[b + 1] - times[b]
+            over, under = over * step + above * SCALE - times[b] * below, below * step
+        return gone[k] + b + over // under, gone[k] + b - (-over // under)
+
+    blocks = [*blocks, many]
+    released, due, out = [(0, i, 0) for i in ended if blocks[i]], [], []
     for t in range(sum(blocks)):
         while released and released[0][0] <= t:
             _, i, j = heapq.heappop(released)
@@ -111,16 +147,23 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block:
     rest = len(top)
     blocks, shares = [-(-r["n"] // size) for r in top], [r["weight"] for r in top]
     queued = numbered.join(heavy, F.col("source").eqNullSafe(F.col("hs")), "left").drop("hs", "bucket")
-    if rest == most_sources and (tail := sources.agg(F.sum("weight"), F.sum("n"), F.count(F.lit(1)), F.max(F.col("n") / F.col("weight"))).first())[2] > rest:
-        queued = written(queued, "mix-queued")
-        many = queued.where("queue is null").join(sources.select(F.col("source").alias("ss"), "weight"), F.col("source").eqNullSafe(F.col("ss")))
-        many = many.withColumn("time", (F.col("number") + 0.5) / F.col("weight")).withColumn("queue", F.lit(rest))
-        many = many.withColumn("span", F.least(F.floor(F.col("time") / F.lit(tail[3]) * buckets), F.lit(buckets - 1))).drop("ss", "weight", "number")
-        many = _numbered(many, "queue", "span", ["time", "doc_id", "tie"], "mix-tail").drop("time", "span")
-        queued = queued.where("queue is not null").unionByName(many)
-        blocks.append(-(-(tail[1] - sum(r["n"] for r in top)) // size))
-        shares.append(tail[0] - math.fsum(shares))
-    slots = [(i, j, t) for t, (i, j) in enumerate(schedule(whole_weights(shares), blocks))] if top else []
+    scale, shared = SHARES / math.fsum(shares) if rest else 1.0, []
+    if rest == most_sources:
+        tail = sources.join(heavy, F.col("source").eqNullSafe(F.col("hs")), "left").where("queue is null").select(F.col("source").alias("ss"), "n", "weight")
+        weight, last = tail.agg(F.sum("weight"), F.max(F.col("n") / F.col("weight"))).first()
+        if weight is not None:
+            scale = SHARES / (math.fsum(shares) + weight)
+            cut = F.least(F.floor(F.col("n") / F.col("weight") / F.lit(last) * CUTS), F.lit(CUTS - 1))
+            cuts = tail.groupBy(cut.alias("cut")).agg(F.sum("n"), F.sum("weight")).collect()  # CUTS rows at most
+            shared = [time / size / scale for time in crossings([tuple(c) for c in cuts], last, size)]
+            queued = written(queued, "mix-queued")
+            phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
+            time = (F.col("number") + phase) / F.col("weight")
+            many = queued.where("queue is null").join(tail, F.col("source").eqNullSafe(F.col("ss"))).withColumns({"time": time, "queue": F.lit(rest)})
+            many = many.withColumn("span", F.least(F.floor(F.col("time") / F.lit(last) * buckets), F.lit(buckets - 1))).drop("ss", "n", "weight", "number")
+            many = _numbered(many, "queue", "span", ["time", "doc_id", "tie"], "mix-tail").drop("time", "span")
+            queued = queued.where("queue is not null").unionByName(many)
+    slots = [(i, j, t) for t, (i, j) in enumerate(schedule(whole_weights(shares, scale), blocks, shared))] if top else []
     table = F.broadcast(spark.createDataFrame(slots, "sq int, sb long, slot long"))  # most_slots + most_sources + 1 rows at most
     queued = queued.withColumns({"block": F.floor(F.col("number") / size).cast("long"), "nth": F.pmod("number", F.lit(size)).cast("int")})
     placed = queued.join(table, (F.col("queue") == F.col("sq")) & (F.col("block") == F.col("sb")))
