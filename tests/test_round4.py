@@ -31,3 +31,14 @@ def test_warc_query_has_the_columns_of_its_sql(spark):
     from tracewarp.llm import warc
 
     assert warc.op12_warc(spark, SF).columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+def same_letters(spark):
+    return spark.createDataFrame([(n, c * n) for n, c in ((60, "A"), (172, "C"), (213, "G"), (232, "T"), (143, "A"), (122, "C"))] + [(7, "ACGTTGCA" * 90)], "doc_id long, text string")
+
+
+def test_signals_of_one_letter_are_constant(spark, tmp_path):
+    """The mean of equal levels may be off by a bit, which isn't spread."""
+    for k, name in enumerate(("expected_signal", "tiled_signal")):
+        got, want = differing(spark, tmp_path / str(k), name, documents=same_letters(spark))
+        assert got == want

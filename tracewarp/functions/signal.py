@@ -24,10 +24,10 @@ def mean(a: Column) -> Column:
 
 
 def zscore(a: Column) -> Column:
-    """Population z-scores; zeros where the signal is constant."""
+    """Population z-scores; zeros where the signal is constant, whatever the rounding of its mean."""
 
     def body(m):
-        sd = F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))
+        sd = F.when(F.array_min(a) < F.array_max(a), F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m)))))
         return bound(sd, lambda s: F.transform(a, lambda x: F.when(s > 0, (x - m) / s).otherwise(0.0)))
 
     return bound(mean(a), body)

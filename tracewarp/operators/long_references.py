@@ -35,12 +35,12 @@ def tiled_signals(tiles: DataFrame, model: DataFrame, k: int, folder: str) -> Da
     places = F.char_length("seq") - (k - 1)
     raw = _written(own.select("ref_id", "at", places.alias("n"), F.explode(F.array(F.struct(F.lit(0).alias("strand"), lookup(F.col("seq"), F.col("levels"), k).alias("x")), F.struct(F.lit(1).alias("strand"), lookup(revcomp(F.col("seq")), F.col("levels"), k).alias("x")))).alias("s")).select("ref_id", "at", "n", "s.strand", "s.x"), folder, "levels")
     total = lambda f: F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + f(v)))
-    mean = raw.groupBy(*KEYS).agg((total(lambda v: v) / F.sum("n")).alias("mean"), F.sum("n").alias("size"))
+    mean = raw.groupBy(*KEYS).agg((total(lambda v: v) / F.sum("n")).alias("mean"), F.sum("n").alias("size"), (F.min(F.array_min("x")) < F.max(F.array_max("x"))).alias("varied"))
     around = raw.join(F.broadcast(mean) if mean.limit(10_001).count() <= 10_000 else mean, KEYS)
-    spread = around.groupBy(*KEYS).agg(F.sqrt(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean")))) / F.first("size")).alias("sd"))
+    spread = around.groupBy(*KEYS).agg(F.sqrt(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean")))) / F.first("size")).alias("sd"))  # of a constant signal only rounding
     rows = around.join(F.broadcast(spread) if spread.limit(10_001).count() <= 10_000 else spread, KEYS)
     start = F.when(F.col("strand") == 0, F.col("at")).otherwise(F.col("size") - F.col("at") - F.col("n"))
-    return rows.select(*KEYS, start.cast("long").alias("start"), F.transform("x", lambda v: F.when(F.col("sd") > 0, (v - F.col("mean")) / F.col("sd")).otherwise(0.0)).alias("signal"))
+    return rows.select(*KEYS, start.cast("long").alias("start"), F.transform("x", lambda v: F.when(F.col("varied") & (F.col("sd") > 0), (v - F.col("mean")) / F.col("sd")).otherwise(0.0)).alias("signal"))
 
 
 def kept_in_tiles(signals: DataFrame, least: float, folder: str, rounds: int = 1000) -> DataFrame:
