@@ -42,3 +42,32 @@ def test_signals_of_one_letter_are_constant(spark, tmp_path):
     for k, name in enumerate(("expected_signal", "tiled_signal")):
         got, want = differing(spark, tmp_path / str(k), name, documents=same_letters(spark))
         assert got == want
+
+
+def test_expanding_means_are_summed_in_order(spark, tmp_path):
+    """User 414's first 40 samples have the mean 55, but their sum in order of time is a bit less: so it is for each of six copies, whatever rows meet first."""
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{SF}/../sf0.1/events.parquet")
+    copies = events.crossJoin(spark.range(6)).select(F.col("event_id") + F.col("id") * 100_000, "ts", (F.col("user_id") + F.col("id") * 100_000).alias("user_id"), "event_type", "value", "props")
+    copies.withColumnRenamed(copies.columns[0], "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    x = np.array([r["value"] for r in events.where("user_id = 414").orderBy("ts", "event_id").collect()])[:40]
+    mu = int(np.cumsum(x)[-1] / 40)
+    mad = int(np.cumsum(np.abs(x - mu))[-1] / 40)
+    want = [int((max(min((v - mu) / mad, 4), -4) + 4) * 32) for v in x[20:]]
+    got = registry.QUERIES["expanding_norm"](spark, str(tmp_path)).where("user_id % 100000 = 414 and pos between 20 and 39").orderBy("user_id", "pos").collect()
+    assert mu == 54 and [r["code"] for r in got] == want * 6
+
+
+def test_expanding_levels_by_brute_force():
+    from tracewarp.functions.signal import expanding_levels
+
+    x = np.random.default_rng(5).normal(60, 20, 75).round(2)
+    x[30] = np.nan
+    got = expanding_levels(x)
+    for i, v in enumerate(x):
+        seen = x[: (i // 20 + 1) * 20]
+        seen = seen[~np.isnan(seen)]
+        mu = int(seen.mean())
+        mad = max(int(np.abs(seen - mu).mean()), 1)
+        assert got[i] == (256 if np.isnan(v) else int((max(min((v - mu) / mad, 4), -4) + 4) * 32))

@@ -43,6 +43,33 @@ def discrete_normalize(a: Column, reach: int = 4, levels: int = 256) -> Column:
     return bound(mean(a).cast("long"), body)
 
 
+def expanding_levels(x: np.ndarray, block: int = 20, reach: int = 4, levels: int = 256) -> np.ndarray:
+    """discrete_normalize() of each block of samples by the whole mean and deviation of all samples up to its end. Sums run from the first
+    sample on, so their rounding doesn't hang on how rows meet. A missing sample (NaN) counts for no mean and has the top level."""
+    known = ~np.isnan(x)
+    ends = np.minimum(np.arange(block, len(x) + block, block), len(x)) - 1
+    n = np.cumsum(known)[ends]
+    some = n > 0
+    mu, mad = np.zeros(len(ends)), np.ones(len(ends))
+    mu[some] = np.trunc(np.cumsum(np.where(known, x, 0.0))[ends[some]] / n[some])
+    for m in np.unique(mu[some]):  # whole means are few, however many blocks there are
+        at = some & (mu == m)
+        mad[at] = np.maximum(np.trunc(np.cumsum(np.where(known, np.abs(x - m), 0.0))[ends[at]] / n[at]), 1.0)
+    of = np.arange(len(x)) // block
+    z = np.where(known, (x - mu[of]) / mad[of], float(reach))
+    return np.trunc((np.maximum(np.minimum(z, float(reach)), float(-reach)) + reach) * levels / (2 * reach)).astype(np.int64)
+
+
+def expanding_normalize(a: Column, block: int = 20) -> Column:
+    """expanding_levels() of an array, in Arrow batches."""
+
+    @F.pandas_udf("array<long>")
+    def run(signals: pd.Series) -> pd.Series:
+        return signals.map(lambda x: None if x is None else expanding_levels(np.asarray(x, float), block))
+
+    return run(a)
+
+
 def stall_end(a: Column, high: float = 3.0, width: int = 3, times: int = 2) -> Column:
     """Where an initial stall ends, in steps of ``width`` samples: after ``times`` means in a row above, and then as many in a row below.
     The last mean may be of fewer samples. Without a stall, or without its end, the place after the last mean, so that nothing is left."""
