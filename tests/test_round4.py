@@ -71,3 +71,25 @@ def test_expanding_levels_by_brute_force():
         mu = int(seen.mean())
         mad = max(int(np.abs(seen - mu).mean()), 1)
         assert got[i] == (256 if np.isnan(v) else int((max(min((v - mu) / mad, 4), -4) + 4) * 32))
+
+
+def test_differences_of_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tracewarp.functions.seq import clean, differences
+
+    rows = [("ACGT", "ACGT"), ("ACGT", "AGGTA"), ("", ""), ("GG", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select(differences(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [0, 2, 0, 2]
+    assert spark.createDataFrame([("a, cgu!\nxXt",)], "t string").select(clean(F.col("t"))).first()[0] == "ACGTT"
+
+
+def test_a_piece_offers_its_smallest_places_only(spark):
+    """The chosen places are the n smallest of a sequence however it is cut, and no list of a piece's places is joined."""
+    from tracewarp.operators import mutate
+
+    refs = spark.createDataFrame([(1, "ACGT" * 2000), (2, "ACG")], "ref_id long, seq string")
+    found = [{(r["ref_id"], r["at"] + r["i"], r["h"]) for r in mutate.sampled_places(mutate.pieces(refs, size), 20).collect()} for size in (64, 1000, 9000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 23
+    plan = mutate.sampled_places(mutate.pieces(refs), 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,24 @@ from .signal import bound
 
 def clean(text: Column) -> Column:
     """The letters A, C, G, T of a text; U counts as T."""
-    return F.regexp_replace(F.translate(F.upper(text), "U", "T"), "[^ACGT]", "")
+    return F.regexp_replace(F.translate(F.upper(text), "U", "T"), "[^ACGT]+", "")
 
 
 def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
+def differences(a: Column, b: Column) -> Column:
+    """In how many places two ASCII texts differ; places that only the longer one has are among them."""
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = ((np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)) for u, v in zip(x, y, strict=True))
+        return pd.Series([np.count_nonzero(u[: len(v)] != v[: len(u)]) + abs(len(u) - len(v)) for u, v in pairs], dtype="int64")
+
+    return run(a.cast("binary"), b.cast("binary"))
+
+
 def kmer_code(kmer: Column, k: int) -> Column:
     """2 bits a base, the first one highest; ambiguous bases count as A."""
     code = F.lit(0)

@@ -1,8 +1,8 @@
 """Sequences with exactly n substitutions, insertions or deletions, however long they are and however they are cut.
 
-Places are the n smallest hashes of (sequence, place, seed). To find them, places are counted by the top bits of their hash: all bins
-below the one in which the n-th lies are taken whole, and only that bin is ranked. Edits then go to the pieces they are in, and a
-running sum over the pieces moves what follows.
+Places are the n smallest hashes of (sequence, place, seed), by bits of the hash and then the hash itself. A piece offers its own n smallest
+ones; these are counted by bin: all bins below the one in which the n-th lies are taken whole, and that one up to it. Edits then go to
+the pieces they are in, and a running sum over the pieces moves what follows.
 """
 
 from __future__ import annotations
@@ -20,18 +20,17 @@ def pieces(refs: DataFrame, size: int = PIECE) -> DataFrame:
 
 
 def sampled_places(parts: DataFrame, n: int, seed: int = 1, bins: int = BINS) -> DataFrame:
-    """(ref_id, at, i, h): n places of every sequence, or all of a shorter one; i counts within the piece at ``at``."""
-    h = F.xxhash64("ref_id", F.col("at") + F.col("i"), F.lit(seed))
-    places = parts.select("ref_id", "at", F.explode(F.sequence(F.lit(0), F.char_length("seq") - 1)).alias("i")).withColumn("h", h)
-    places = places.withColumn("bin", F.pmod(F.shiftrightunsigned("h", 32), F.lit(bins)))
-    counts = places.groupBy("ref_id", "bin").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("ref_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = counts.select("ref_id", "bin", before.alias("before"), "n").where(F.col("before") < n)
-    near = places.join(wanted, ["ref_id", "bin"])
-    whole = near.where(F.col("before") + F.col("n") <= n).select("ref_id", "at", "i", "h")
-    rank = F.row_number().over(Window.partitionBy("ref_id").orderBy("h", "at", "i"))
-    cut = near.where(F.col("before") + F.col("n") > n).withColumn("r", rank).where(F.col("r") <= n - F.col("before"))
-    return whole.unionByName(cut.select("ref_id", "at", "i", "h"))
+    """(ref_id, at, i, h): n places of every sequence, or all of a shorter one; i counts within the piece at ``at``. No piece has more than n of
+    them, so only its own n smallest leave it."""
+    hashes = F.transform(F.sequence(F.lit(0), F.char_length("seq") - 1), lambda i: F.xxhash64("ref_id", F.col("at") + i, F.lit(seed)))
+    bin_of = lambda h: F.pmod(F.shiftrightunsigned(h, 32), F.lit(bins))
+    least = F.slice(F.sort_array(F.transform(hashes, lambda h, i: F.struct(bin_of(h).alias("bin"), h.alias("h"), i.alias("i")))), 1, n)
+    places = parts.select("ref_id", "at", F.explode(least).alias("x"))
+    held = places.groupBy("ref_id", "x.bin").agg(F.sort_array(F.collect_list(F.struct("x.h", "at", "x.i"))).alias("p"))
+    before = F.coalesce(F.sum(F.size("p")).over(Window.partitionBy("ref_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = held.withColumn("before", before).where(F.col("before") < n)
+    found = wanted.select("ref_id", F.explode(F.slice("p", F.lit(1), (n - F.col("before")).cast("int"))).alias("x"))
+    return found.select("ref_id", "x.at", "x.i", "x.h")
 
 
 def _letter(h: Column) -> Column:
@@ -58,6 +57,8 @@ def mutated(parts: DataFrame, n: int, kind: str, seed: int = 1) -> DataFrame:
     last = F.coalesce(F.element_at(ends, F.when(F.size(ends) > 0, -1).otherwise(F.lit(None))) + 1, F.lit(0))
     rows = rows.select("ref_id", "at", F.size("edits").alias("n"), F.concat(F.array_join(gaps, ""), _between(F.col("seq"), last, F.char_length("seq"))).alias("seq"))
     moved = {"substitute": 0, "insert": 1, "delete": -1}[kind]
+    if not moved:
+        return rows.select("ref_id", "at", "seq")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("ref_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.select("ref_id", (F.col("at") + before * moved).alias("at"), "seq").where("seq <> ''")
 
