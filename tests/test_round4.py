@@ -124,3 +124,17 @@ def test_the_least_cost_is_no_more_than_the_cost():
         x, y = rng.normal(0, 1, rng.integers(2, 9)), rng.normal(0, 1, rng.integers(2, 9))
         for radius in (None, 1):
             assert least_cost(x, y) <= warp(x, y, False, radius, True) - abs(x[-1] - y[-1]) + 1e-9
+
+
+def test_all_trusted_rows_are_counted_or_held(spark):
+    """Without a bound by the caller no trusted row is left out of both the model and the thresholds."""
+    import inspect
+
+    from tracewarp.llm import quality_classifier
+
+    assert inspect.signature(quality_classifier.perplexities).parameters["max_trusted"].default is None
+    docs = spark.createDataFrame([(i if i < 60 else None, "en", f"plain words number {i} go here") for i in range(64)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    found = quality_classifier.perplexities(docs, labels).collect()
+    roles = {r["doc_id"]: r["role"] for r in found if r["doc_id"] is not None}
+    assert len(found) == 64 and {i for i, r in roles.items() if r} == set(range(50)) and {1, 2} <= set(roles.values())

@@ -1,8 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams of bytes, trained on trusted text.
 
-Trusted text is that of documents labelled good and, where labels say so, not toxic: a sample of at most ``max_trusted`` labelled rows, the smallest by
-a hash of doc_id. One in ``held_out`` of them stays out of training. Means and thresholds come from these and from all
-trusted rows beyond the sample: only the fit is bounded. An n-gram is the integer of its bytes, so keys are exact. Counts are tables partitioned by key: the
+Trusted text is that of all documents labelled good and, where labels say so, not toxic. One in ``held_out`` of them, by a hash of doc_id, stays
+out of training: means and thresholds come from these, and counts from all others. Only a caller that gives ``max_trusted`` bounds the fit, to
+the labelled rows with the smallest hashes; all trusted rows beyond them then count for means and thresholds. An n-gram is the integer of its bytes, so keys are exact. Counts are tables partitioned by key: the
 highest order has occurrence counts; each lower order has continuation counts, grouped from the distinct n-grams above.
 
 Documents are cut into chunks of whole texts. A chunk asks once for each of its distinct n-grams, which are few beside
@@ -20,7 +20,7 @@ wider. It is widened for the mean's own error, and holds where it is more. A lan
 about the median of its own documents, with the same spread.
 
 Defined results: a null or empty text has no perplexity and isn't kept; a null language is one of its own; repeated rows
-are scored each; without trusted rows every text has perplexity 256 and is kept. Among rows for the bounded sample the hash and
+are scored each; without trusted rows every text has perplexity 256 and is kept. Among rows for a bounded fit the hash and
 then the smaller doc_id decide; a perplexity equal to the threshold is kept; texts of any length are scored whole; an empty
 table gives an empty result. Extra columns are kept whatever their names.
 """
@@ -142,13 +142,14 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(clean).select(F.col("doc_id").cast("long").alias("_good")).where("_good is not null").distinct()
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_trusted: int = 50_000, held_out: int = 5, chunk_bytes: int = 32 << 20) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_trusted: int | None = None, held_out: int = 5, chunk_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, tx (the text's hash), lang, role, bits and n (bytes) of every row of docs, as a written table."""
     every = written(trusted_ids(labels), "quality-trusted")
-    good = F.broadcast(every.orderBy(F.xxhash64("_good"), "_good").limit(max_trusted))  # 8 bytes a row
+    good = every if max_trusted is None else F.broadcast(every.orderBy(F.xxhash64("_good"), "_good").limit(max_trusted))
     role = F.when(F.col("_good").isNull(), 0).when(F.crc32(F.col("_good").cast("string")) % held_out == 0, HELD).otherwise(TRAIN)
-    marked = docs.select(F.col("doc_id").cast("long"), "lang", "text").join(good, F.col("doc_id") == F.col("_good"), "left")
-    marked = marked.select("doc_id", "lang", role.alias("role"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text")
+    marked = rows.where("doc_id is not null").join(good, F.col("doc_id") == F.col("_good"), "left").select("doc_id", "lang", role.alias("role"), "text")
+    marked = marked.unionByName(rows.where("doc_id is null").select("doc_id", "lang", F.lit(0).alias("role"), "text"))
     tables = _counts(marked.where(F.col("role") == TRAIN), order)
     chunks = _chunks(marked, chunk_bytes, order)
     requests = chunks.where("key is not null").select("chunk", "key")
@@ -169,6 +170,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_tru
 
     schema = "doc_id long, tx long, lang string, role int, bits double, n long"
     scored = written(rows.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(score, schema), "quality-scores")
+    if max_trusted is None:
+        return scored
     named = scored.where("doc_id is not null").select("doc_id", "tx", "lang", "role", "bits", "n")
     beyond = written(every.join(good, "_good", "left_anti").select(F.col("_good").alias("doc_id"), F.lit(True).alias("_held")), "quality-held")
     if beyond.isEmpty():
