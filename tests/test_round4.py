@@ -138,3 +138,11 @@ def test_all_trusted_rows_are_counted_or_held(spark):
     found = quality_classifier.perplexities(docs, labels).collect()
     roles = {r["doc_id"]: r["role"] for r in found if r["doc_id"] is not None}
     assert len(found) == 64 and {i for i, r in roles.items() if r} == set(range(50)) and {1, 2} <= set(roles.values())
+
+
+def test_the_popcount_grid_proposes_near_duplicates(spark):
+    from tracewarp.llm import minhash_dedup
+
+    nodes = spark.createDataFrame([(1, 0), (2, 3), (3, 1 << 40 | 1 << 3), (4, 0b11111), (5, 3)], "node long, fp long")
+    got = {frozenset((r["node"], r["hub"])) for r in minhash_dedup.grid_pairs(nodes).collect()}
+    assert got == {frozenset(p) for p in ((1, 2), (1, 3), (2, 5))}
