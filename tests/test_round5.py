@@ -36,3 +36,37 @@ def test_hits_by_classes_are_all_hits(spark):
         want = want.groupBy(F.col("read_id").cast("string"), "strand").agg(F.count(F.lit(1)), F.sum("q"), F.sum("t"))
         got = mapping.class_hits(logged, classes, others_only=others)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
+
+
+def test_texts_of_the_classifier_stay_where_they_are(spark, tmp_path):
+    """Where trusted ids are too many to be broadcast, the rows with texts aren't shuffled to meet them. Roles are those of the ids."""
+    import zlib
+
+    from tracewarp.llm import quality_classifier
+
+    n = 200
+    rows = [(i, "en", f"text {i} of some words") for i in range(n)] + [(None, "en", "no id"), (3, "en", "again")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 5 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    sent = []
+
+    def shuffled(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "doc_id" in line]
+
+    def chunks(given, *rest):
+        sent.extend(shuffled(given))
+        return made(given, *rest)
+
+    made = quality_classifier._chunks
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    quality_classifier._chunks = chunks
+    try:
+        found = quality_classifier.perplexities(docs, labels, order=2).collect()
+    finally:
+        quality_classifier._chunks = made
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sent == [] and len(found) == n + 2
+    of = lambda i: 0 if i is None or i % 4 == 0 or i % 5 == 0 else quality_classifier.HELD if zlib.crc32(str(i).encode()) % 5 == 0 else quality_classifier.TRAIN
+    assert all(r["role"] == of(r["doc_id"]) for r in found) and {r["role"] for r in found} == {0, 1, 2}

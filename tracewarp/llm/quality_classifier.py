@@ -9,7 +9,7 @@ Documents are cut into chunks of whole texts. A chunk asks once for each of its
 its bytes. The distinct requests of all chunks go through the orders from the lowest up: requests join the counts, the
 contexts and the next lower order by key, and give interpolated probabilities. These go back to the chunks that asked,
 and a co-grouped task adds up the documents' bits. Texts are written once, compressed and in buckets of chunks, and never
-shuffled.
+shuffled: which of them are trusted goes to their chunks as ids, and a co-grouped task counts the n-grams of those to train on.
 
 Perplexities are per byte, and those of short texts are drawn towards their language's mean over trusted text as if
 ``prior`` bytes of it stood before them. A document is kept if this smoothed perplexity is at most its language's
@@ -28,16 +28,18 @@ table gives an empty result. Extra columns are kept whatever their names.
 from __future__ import annotations
 
 import math
+from itertools import islice
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, skew_join, written
+from .common import bucketed, written
 
 ORDER = 5
 #: What a document is to the model: one of its training texts, or a trusted text that it hasn't seen and thresholds come from.
@@ -54,9 +56,9 @@ def grams(raw: bytes, order: int) -> np.ndarray:
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int, order: int) -> DataFrame:
-    """Rows of documents (doc_id, row, z) and rows of requests (key) by chunk, as a table in buckets of chunk."""
-    schema = "chunk long, doc_id long, tx long, lang string, role int, z binary, key long"
-    names = ["chunk", "doc_id", "tx", "lang", "role", "z", "key"]
+    """Rows of documents (doc_id, tx, lang, z) and rows of requests (key) by chunk, as a table in buckets of chunk."""
+    schema = "chunk long, doc_id long, tx long, lang string, z binary, key long"
+    names = ["chunk", "doc_id", "tx", "lang", "z", "key"]
 
     def flush(chunk, rows, raws):
         pack, asked = zstandard.ZstdCompressor(level=6), []
@@ -64,16 +66,16 @@ def _chunks(docs: DataFrame, chunk_bytes: int, order: int) -> DataFrame:
             part = rows[i : i + 512]
             asked.append(np.unique(np.concatenate([grams(r, order) for r in raws[i : i + 512]])))
             z = [pack.compress(r) for r in raws[i : i + 512]]
-            cols = [pa.array([chunk] * len(part), pa.int64()), *(pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int32()))), pa.array(z, pa.binary()), pa.nulls(len(part), pa.int64())]
+            cols = [pa.array([chunk] * len(part), pa.int64()), *(pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string()))), pa.array(z, pa.binary()), pa.nulls(len(part), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names)
         keys = np.unique(np.concatenate(asked))
         n = len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(keys)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(keys)], names)
 
     def run(batches):
         task, made, size, rows, raws = TaskContext.get().partitionId(), 0, 0, [], []
         for b in batches:
-            for *row, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
+            for *row, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 rows.append(row)
                 raws.append(raw)
@@ -84,20 +86,41 @@ def _chunks(docs: DataFrame, chunk_bytes: int, order: int) -> DataFrame:
         if rows:
             yield from flush((task << 32) + made, rows, raws)
 
-    return bucketed(docs.select("doc_id", F.xxhash64("text"), "lang", "role", "text").mapInArrow(run, schema), "quality-chunks", "chunk")
+    return bucketed(docs.select("doc_id", F.xxhash64("text"), "lang", "text").mapInArrow(run, schema), "quality-chunks", "chunk")
+
+
+COUNTS = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+
+
+def _counted(raws, order: int):
+    """Batches of the distinct n-grams of texts and their numbers, each of 512 texts."""
+    raws = iter(raws)
+    while some := list(islice(raws, 512)):
+        keys, n = np.unique(np.concatenate([grams(r, order) for r in some]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], schema=COUNTS)
+
+
+def _trained(texts: DataFrame, members: DataFrame, order: int) -> DataFrame:
+    """(key, c): n-grams of the texts (chunk, doc_id, z) that members (home, member) name in their chunk, by chunk. Only members are shuffled."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        mine = left["z"].filter(pc.is_in(left["doc_id"], value_set=right["member"].combine_chunks()))
+        return pa.Table.from_batches(_counted((unpack.decompress(z.as_py()) for z in mine), order), COUNTS)
+
+    return texts.groupBy("chunk").cogroup(members.groupBy("home")).applyInArrow(run, "key long, c long")
 
 
 def _counts(trusted: DataFrame, order: int) -> list[DataFrame]:
-    """Tables (key, c) of orders 1 to order: continuation counts, and occurrences for the highest order."""
+    """Tables (key, c) of orders 1 to order: continuation counts, and occurrences for the highest order, of trusted (text), or of its n-grams
+    where these are counted in parts (key, c)."""
 
     def run(batches):
         for b in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(0)]
-            for i in range(0, len(texts), 512):
-                keys, n = np.unique(np.concatenate([grams(t, order) for t in texts[i : i + 512]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "c"])
+            yield from _counted(((t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(0)), order)
 
-    top = trusted.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    parts = trusted if "key" in trusted.columns else trusted.select("text").mapInArrow(run, "key long, c long")
+    top = parts.groupBy("key").agg(F.sum("c").alias("c"))
     tables = [written(top, f"quality-{order}")]
     for k in range(order - 1, 0, -1):
         shorter = tables[0].select(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("key"))
@@ -144,17 +167,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_trusted: int | None = None, held_out: int = 5, chunk_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, tx (the text's hash), lang, role, bits and n (bytes) of every row of docs, as a written table."""
-    every = written(trusted_ids(labels), "quality-trusted")
-    good = every if max_trusted is None else F.broadcast(every.orderBy(F.xxhash64("_good"), "_good").limit(max_trusted))
-    role = F.when(F.col("_good").isNull(), 0).when(F.crc32(F.col("_good").cast("string")) % held_out == 0, HELD).otherwise(TRAIN)
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text")
-    marked = rows.where("doc_id is not null").join(good, F.col("doc_id") == F.col("_good"), "left").select("doc_id", "lang", role.alias("role"), "text")
-    marked = marked.unionByName(rows.where("doc_id is null").select("doc_id", "lang", F.lit(0).alias("role"), "text"))
-    tables = _counts(marked.where(F.col("role") == TRAIN), order)
-    chunks = _chunks(marked, chunk_bytes, order)
+    every = trusted_ids(labels)
+    role = F.when(F.crc32(F.col("_good").cast("string")) % held_out == 0, HELD).otherwise(TRAIN)
+    if max_trusted is None:
+        roles = every.select("_good", role.alias("role"))
+    else:
+        good = every.orderBy(F.xxhash64("_good"), "_good").limit(max_trusted).select("_good", role.alias("role"))
+        roles = every.join(F.broadcast(good), "_good", "left").select("_good", F.coalesce("role", F.lit(HELD)).alias("role"))
+    roles = written(roles, "quality-trusted")
+    chunks = _chunks(docs.select(F.col("doc_id").cast("long"), "lang", "text"), chunk_bytes, order)
+    texts = chunks.where("z is not null")
+    members = texts.select(F.col("chunk").alias("home"), F.col("doc_id").alias("member")).join(roles.where(F.col("role") == TRAIN), F.col("member") == F.col("_good")).select("home", "member")
+    tables = _counts(_trained(texts.select("chunk", "doc_id", "z"), members, order), order)
     requests = chunks.where("key is not null").select("chunk", "key")
     answers = requests.join(probabilities(requests, tables), "key").select(F.col("chunk").alias("asker"), "key", F.log2("p").cast("float").alias("bits"))
-    rows = chunks.where("z is not null").select("chunk", "doc_id", "tx", "lang", "role", "z")
+    rows = texts.select("chunk", "doc_id", "tx", "lang", "z")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, bits = right["key"].to_numpy(), right["bits"].to_numpy().astype(float)
@@ -165,19 +192,14 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_tru
             raw = unpack.decompress(z.as_py())
             found.append(-float(bits[np.searchsorted(keys, grams(raw, order))].sum()) if raw else 0.0)
             size.append(len(raw))
-        scored = left.select(["doc_id", "tx", "lang", "role"]).append_column("bits", pa.array(found, pa.float64()))
+        scored = left.select(["doc_id", "tx", "lang"]).append_column("bits", pa.array(found, pa.float64()))
         return scored.append_column("n", pa.array(size, pa.int64()))
 
-    schema = "doc_id long, tx long, lang string, role int, bits double, n long"
+    schema = "doc_id long, tx long, lang string, bits double, n long"
     scored = written(rows.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(score, schema), "quality-scores")
-    if max_trusted is None:
-        return scored
-    named = scored.where("doc_id is not null").select("doc_id", "tx", "lang", "role", "bits", "n")
-    beyond = written(every.join(good, "_good", "left_anti").select(F.col("_good").alias("doc_id"), F.lit(True).alias("_held")), "quality-held")
-    if beyond.isEmpty():
-        return scored
-    marked = skew_join(named, beyond, ["doc_id"], "left").withColumn("role", F.when(F.col("_held"), HELD).otherwise(F.col("role"))).drop("_held")
-    return written(marked.unionByName(scored.where("doc_id is null")), "quality-marked")
+    of = lambda role: ("doc_id", "tx", "lang", role.alias("role"), "bits", "n")
+    named = scored.where("doc_id is not null").join(roles, F.col("doc_id") == F.col("_good"), "left").select(*of(F.coalesce("role", F.lit(0))))
+    return written(named.unionByName(scored.where("doc_id is null").select(*of(F.lit(0)))), "quality-roles")
 
 
 def _limit(lang, spread: float, least: int, deviations: float) -> float:
