@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """The table of that name under sf_dir, by a path that only Spark needs to open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df, name: str):
+    """df as a table in the shared folder, for what is read more than once and takes long to make."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
