@@ -46,15 +46,19 @@ def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radi
     radius of the row itself, and costs infinity if the corner is outside. An antidiagonal band keeps the cells of
     antidiagonal_band(). Filling beyond a signal's end never reaches the cells before it. An empty signal costs infinity.
     """
+    if radius is not None and antidiagonal and not free:
+        out = np.full(len(a), np.inf)
+        shapes, of = np.unique([(len(x), len(y)) for x, y in zip(a, b, strict=True)], axis=0, return_inverse=True)
+        for k, (n, m) in enumerate(shapes.tolist()):
+            at = np.flatnonzero(of.reshape(-1) == k)
+            if n and m:
+                out[at] = warp_alike(np.array([a[i] for i in at], float).T, np.array([b[i] for i in at], float).T, radius)
+        return out
     if radius is not None and not free:
         a, b = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
     (left, rows), (right, columns) = _padded(list(a)), _padded(list(b))
     out, cols, every = np.full(len(rows), np.inf), np.arange(right.shape[1]), np.arange(len(rows))
     reach = None if radius is None else radius + np.ceil(np.maximum(0, rows - columns) * radius / np.maximum(rows, 1)) * slanted
-    if radius is not None and antidiagonal:
-        low, high = np.zeros((len(rows), left.shape[1] + right.shape[1]), int), np.full((len(rows), left.shape[1] + right.shape[1]), -1)
-        for k in np.flatnonzero(columns):
-            low[k, : rows[k] + columns[k] - 1], high[k, : rows[k] + columns[k] - 1] = antidiagonal_band(int(rows[k]), int(columns[k]), radius)
     row = np.full(right.shape, np.inf)
     for i in range(left.shape[1]):
         cost = np.abs(left[:, i, None] - right)
@@ -65,8 +69,6 @@ def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radi
                 best[:, 1:] = np.inf
         centre = columns * i // np.maximum(rows, 1) if slanted else np.full(len(rows), i)
         inside = None if reach is None else np.abs(cols - centre[:, None]) <= reach[:, None]
-        if reach is not None and antidiagonal:
-            inside = (low[:, i : i + len(cols)] <= i) & (high[:, i : i + len(cols)] >= i)
         if inside is not None:
             best = np.where(inside, best, np.inf)
         # right steps: the smallest best[k] + cost[k+1..j] is a running minimum against the summed costs; a row's cells in a band are adjacent
@@ -81,6 +83,33 @@ def warp_many(a: list[np.ndarray], b: list[np.ndarray], free: bool = False, radi
     return out
 
 
+def warp_alike(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> np.ndarray:
+    """Costs of pairs of equal lengths, a column of a with a column of b each, in the antidiagonal band of ``radius`` (None: over the whole matrix)."""
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    d = np.arange(n + m - 1)
+    low, high = (0 * d, d) if radius is None else antidiagonal_band(n, m, radius)
+    low, high = np.maximum(np.maximum(low, d - m + 1), 0).tolist(), np.minimum(np.minimum(high, d), n - 1).tolist()
+    step, parts = max(1, BLOCK // (4 * n)), []
+    for k in range(0, a.shape[1], step):
+        x, y = a[:, k : k + step], b[::-1, k : k + step]  # so that the cells of an antidiagonal are slices of both
+        lines = [np.full((n + 1, x.shape[1]), np.inf) for _ in range(3)]  # of the cells (i, d - i), i has the place i + 1
+        for d, (i, j) in enumerate(zip(low, high, strict=True)):
+            now, last, before = lines[d % 3], lines[(d - 1) % 3], lines[(d - 2) % 3]
+            if d >= 3:
+                now[low[d - 3] + 1 : high[d - 3] + 2] = np.inf
+            if i > j:
+                continue
+            cost = np.abs(x[i : j + 1] - y[m - 1 - d + i : m - d + j])
+            if d:
+                least = np.minimum(last[i : j + 1], last[i + 1 : j + 2])
+                cost += np.minimum(least, before[i : j + 1], out=least)
+            now[i + 1 : j + 2] = cost
+        parts.append(now[n].copy())
+    return np.concatenate(parts)
+
+
 def warp(a: np.ndarray, b: np.ndarray, free: bool = False, radius: int | None = None, antidiagonal: bool = False) -> float:
     return float(warp_many([a], [b], free, radius, True, antidiagonal)[0])
 
